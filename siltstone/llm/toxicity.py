@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import byte_buffer, coded_words, identified, offsets_of, slices
 
-#: The fit's bounded sample: labelled documents of each class.
-DOCS_PER_CLASS = 1000
+#: The fit's bounded sample: labelled documents of either class.
+TOXIC_DOCS, OTHER_DOCS = 1000, 2000
 #: An n-gram counts in the fit if it occurs in so many documents: rarer ones only tell documents apart.
-LEAST_DOCS = 6
+LEAST_DOCS = 5
 #: What a share of clean documents above the threshold costs, against an equal share of toxic ones below it.
 FALSE_COST = 4
 #: Documents in which an n-gram must occur to move at half the full rate.
-SUPPORT = 30
+SUPPORT = 40
 BUCKETS, DIMS, PASSAGE, GAIN = 1 << 17, 8, 50, 50.0
-EPOCHS, RATE, DECAY, RELABEL = 30, 0.1, 1e-3, (14, 20)
+EPOCHS, RATE, DECAY, RELABEL = 44, 0.15, 1e-3, 16
 NGRAMS = (3, 4, 5)
 
 
@@ -126,32 +126,35 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     held[np.flatnonzero(y == 1)[0]] = held[np.flatnonzero(y == 0)[0]] = False
     fit = np.flatnonzero(~held)
     codes, words, counts = coded_words(pa.array([texts[i] for i in fit], pa.string()))
-    bucket, each = features(words)
-    doc_of = np.repeat(np.arange(len(fit)), counts)
-    pair = np.unique(codes.astype(np.int64) * len(fit) + doc_of)  # (word, document)
-    first = offsets_of(each)[:-1]
-    per = each[pair // len(fit)]
-    seen = bucket[np.repeat(first[pair // len(fit)] - offsets_of(per)[:-1], per) + np.arange(int(per.sum()))] * len(fit) + np.repeat(pair % len(fit), per)
-    support = np.bincount(np.unique(seen) // len(fit), minlength=BUCKETS)
+    parts = [features(words.slice(at, 1 << 15)) for at in range(0, len(words), 1 << 15)]
+    bucket, each = np.concatenate([x.astype(np.int32) for x, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
+    first, text_at, support = offsets_of(each)[:-1], offsets_of(counts), np.zeros(BUCKETS, np.int32)
+    for i in range(len(fit)):
+        own = np.unique(codes[text_at[i] : text_at[i + 1]])
+        n = each[own]
+        support[np.unique(bucket[np.repeat(first[own] - offsets_of(n)[:-1], n) + np.arange(int(n.sum()))])] += 1
     often = support >= LEAST_DOCS
-    del seen, pair, per
     keep = often[bucket]
     size = each
     each = np.add.reduceat(keep.astype(np.int64), first)
     bucket = bucket[keep]
     some = np.flatnonzero(each)  # words with a bucket left
-    used, bucket = np.unique(bucket, return_inverse=True)
+    used = np.flatnonzero(often)
+    bucket = np.searchsorted(used, bucket).astype(np.int32)
     word_at = offsets_of(each)[some]
     codes, span, many = bags(codes, counts, len(words))
     begin = offsets_of(span)[:-1]
     label = owned = np.repeat(y[fit], many)
     balance = np.full(len(label), 1 / len(label))
+    full = np.flatnonzero(many)
+    passage_at = offsets_of(many)[:-1][full]
     order = np.argsort(codes, kind="stable")
     owner = np.repeat(np.arange(len(span)), span)[order]
     word_from = np.searchsorted(codes[order], np.arange(len(words)))
-    by_bucket = np.argsort(bucket, kind="stable")
+    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
     bucket_from = np.searchsorted(bucket[by_bucket], np.arange(len(used)))
-    word_of = np.repeat(np.arange(len(words)), each)[by_bucket]
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), each)[by_bucket]
     word = np.zeros((len(words), DIMS), np.float32)
     damp = (RATE * support[used] / (support[used] + SUPPORT)).astype(np.float32)[:, None]
     e = rng.normal(0, 0.1, (len(used), DIMS)).astype(np.float32)
@@ -165,10 +168,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         logit = mean @ w + b
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        if step in RELABEL:
-            # a toxic document's passages needn't all be toxic, and its label may be wrong: those that look like
-            # 99 of 100 passages of other documents count as not toxic from here on
-            label = ((owned == 1) & (p[:, 1] > np.quantile(p[owned == 0, 1], 0.99))).astype(np.int64)
+        if step >= RELABEL and (step - RELABEL) % 4 == 0:
+            # a toxic document's passages needn't all be toxic, but one is: the one that looks it most, and whatever
+            # looks more toxic than 99 of 100 passages of other documents; the rest count as not toxic
+            top = np.repeat(np.maximum.reduceat(p[:, 1], passage_at), many[full])
+            label = ((owned == 1) & ((p[:, 1] == top) | (p[:, 1] > np.quantile(p[owned == 0, 1], 0.99)))).astype(np.int64)
         p[np.arange(len(label)), label] -= 1
         d = (p * balance[:, None]).astype(np.float32)
         d_mean = (d @ w.T) * inv_span
@@ -191,11 +195,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = DOCS_PER_CLASS) -> Model:
-    """Trains on the driver, on the `docs_per_class` labelled documents of each class with the lowest hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> Model:
+    """Trains on the driver, on the `toxic_docs` and `other_docs` labelled documents of the two classes with the lowest hash of the id."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("y"))
     ranked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id")))
-    sample = ranked.where(F.col("r") <= docs_per_class).select("doc_id", "y")
+    sample = ranked.where(F.col("r") <= F.when(F.col("y") == 1, toxic_docs).otherwise(other_docs)).select("doc_id", "y")
     rows = sorted((r["doc_id"], r["text"], r["y"]) for r in identified(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").toLocalIterator())
     return train([t for _, t, _ in rows], [y for *_, y in rows])
 
