@@ -1,13 +1,16 @@
 """Toxicity with subword-bag embeddings.
 
 A word is the bag of its character n-grams (3 to 5, with word borders) and itself, hashed into a
-table of embeddings; the embeddings are averaged over words and the words' averages over a passage, and
-a linear softmax gives the class. Both are trained together in numpy. A misspelling that training never
+table of embeddings; a word's embeddings are averaged, a text averages its words, and a linear softmax
+gives the class. Both are trained together in numpy. A misspelling that training never
 saw shares most of its n-grams with the word it comes from.
 
-A few abusive words among thousands would vanish in one average over a document, so a document is
-scored by passages of PASSAGE words, all of them, and its toxicity is that of its worst passage. Training
-passages carry their document's label. The decision threshold is chosen on documents held out of the fit.
+A word that occurs c times in a text weighs sqrt(c), so that repetition doesn't fill the bag; PRIOR further words of no
+meaning are averaged in, so that a text of few words isn't judged by chance. The whole text counts, whatever its length.
+
+Plain gradient descent would first learn frequent n-grams, which tell little, and steps of equal size for all n-grams
+would learn rare ones, which know single documents by heart. So an n-gram's gradient is divided by the number of
+documents that have it: what moves first is what goes with the class.
 
 What is averaged and then mapped linearly can be mapped first, so scoring a word is a sum of one number
 for each n-gram, done once for each distinct word of a batch.
@@ -30,14 +33,13 @@ from siltstone.llm.common import byte_buffer, coded_words, identified, offsets_o
 
 #: The fit's bounded sample: labelled documents of either class.
 TOXIC_DOCS, OTHER_DOCS = 1000, 2000
-#: An n-gram counts in the fit if it occurs in so many documents: rarer ones only tell documents apart.
-LEAST_DOCS = 5
+#: An n-gram counts in the fit if it occurs in this share of its documents: rarer ones only tell documents apart.
+LEAST_SHARE, LEAST_DOCS = 0.007, 3
 #: What a share of clean documents above the threshold costs, against an equal share of toxic ones below it.
-FALSE_COST = 4
-#: Documents in which an n-gram must occur to move at half the full rate.
-SUPPORT = 40
-BUCKETS, DIMS, PASSAGE, GAIN = 1 << 17, 8, 50, 50.0
-EPOCHS, RATE, DECAY, RELABEL = 44, 0.15, 1e-3, 16
+FALSE_COST = 3
+#: Two classes part along one direction, so two dimensions are enough.
+BUCKETS, DIMS, PRIOR, GAIN = 1 << 17, 2, 60, 30.0
+EPOCHS, RATE, HEAD_RATE, DECAY = 36, 1.0, 0.05, 1e-3
 NGRAMS = (3, 4, 5)
 
 
@@ -75,21 +77,11 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order].astype(np.int64), np.bincount(owner, minlength=n)
 
 
-def passages(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where passages of texts with so many words begin, and how many each text has. Passages of a text are about equally long."""
-    many = -(-counts // PASSAGE)
-    doc = np.repeat(np.arange(len(counts)), many)
-    k = np.arange(int(many.sum())) - np.repeat(offsets_of(many)[:-1], many)
-    return offsets_of(counts)[:-1][doc] + k * counts[doc] // np.maximum(many[doc], 1), many
-
-
 def bags(codes: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, sizes, passages of each text): the distinct words of each passage, one passage after the other.
-    A word that fills a passage by repetition counts once."""
-    begin, many = passages(counts)
-    span = np.diff(np.concatenate((begin, [len(codes)])))
-    key = np.unique(np.repeat(np.arange(len(span)), span) * n_words + codes)
-    return key % n_words, np.bincount(key // n_words, minlength=len(span)), many
+    """(texts, words, weights): each text's distinct words, text by text, and what part of the bag each is."""
+    key, n = np.unique(np.repeat(np.arange(len(counts)), counts) * n_words + codes, return_counts=True)
+    text, word, weight = key // max(n_words, 1), key % max(n_words, 1), np.sqrt(n)
+    return text, word, weight / (np.bincount(text, weights=weight, minlength=len(counts)) + PRIOR)[text]
 
 
 @dataclass
@@ -103,21 +95,23 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         codes, words, counts = coded_words(texts)
-        out = np.zeros(len(counts))
         if not self.fitted or not len(codes):
-            return out
+            return np.zeros(len(counts))
         bucket, each = features(words)
-        value = np.add.reduceat(self.weight[bucket], offsets_of(each)[:-1]) / each
-        inside, span, many = bags(codes, counts, len(words))
-        mean = np.add.reduceat(value[inside], offsets_of(span)[:-1]) / PASSAGE
-        full = np.flatnonzero(many)
-        worst = np.maximum.reduceat(mean, offsets_of(many)[:-1][full])
-        out[full] = 1 / (1 + np.exp(-np.clip(GAIN * worst + self.bias, -50, 50)))
-        return out
+        value = np.add.reduceat(self.weight[bucket].astype(np.float64), offsets_of(each)[:-1]) / each
+        text, word, weight = bags(codes, counts, len(words))
+        logit = GAIN * np.bincount(text, weights=value[word] * weight, minlength=len(counts)) + self.bias
+        return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
+
+
+def _sums(index: np.ndarray, rows: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weighted sums of the rows with each index."""
+    return np.stack([np.bincount(index, weights=column * weight, minlength=n) for column in rows.T], axis=1)
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
-    """Embeddings and softmax, jointly, by Adam on all passages; a fifth of the documents sets the threshold."""
+    """Embeddings and softmax, jointly, by gradient descent with momentum over all documents at once; a fifth of them
+    is held out and sets the threshold."""
     y = np.asarray(toxic, np.int64)
     if len(set(toxic)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, False)
@@ -126,65 +120,45 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
     held[np.flatnonzero(y == 1)[0]] = held[np.flatnonzero(y == 0)[0]] = False
     fit = np.flatnonzero(~held)
     codes, words, counts = coded_words(pa.array([texts[i] for i in fit], pa.string()))
+    if not len(codes):
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, False)
     parts = [features(words.slice(at, 1 << 15)) for at in range(0, len(words), 1 << 15)]
     bucket, each = np.concatenate([x.astype(np.int32) for x, _ in parts]), np.concatenate([n for _, n in parts])
     del parts
-    first, text_at, support = offsets_of(each)[:-1], offsets_of(counts), np.zeros(BUCKETS, np.int32)
+    text, word, weight = bags(codes, counts, len(words))
+    weight *= GAIN
+    first, text_at, support = offsets_of(each)[:-1], np.searchsorted(text, np.arange(len(fit) + 1)), np.zeros(BUCKETS, np.int64)
     for i in range(len(fit)):
-        own = np.unique(codes[text_at[i] : text_at[i + 1]])
+        own = word[text_at[i] : text_at[i + 1]]
         n = each[own]
         support[np.unique(bucket[np.repeat(first[own] - offsets_of(n)[:-1], n) + np.arange(int(n.sum()))])] += 1
-    often = support >= LEAST_DOCS
-    keep = often[bucket]
-    size = each
-    each = np.add.reduceat(keep.astype(np.int64), first)
-    bucket = bucket[keep]
-    some = np.flatnonzero(each)  # words with a bucket left
-    used = np.flatnonzero(often)
-    bucket = np.searchsorted(used, bucket).astype(np.int32)
-    word_at = offsets_of(each)[some]
-    codes, span, many = bags(codes, counts, len(words))
-    begin = offsets_of(span)[:-1]
-    label = owned = np.repeat(y[fit], many)
-    balance = np.full(len(label), 1 / len(label))
-    full = np.flatnonzero(many)
-    passage_at = offsets_of(many)[:-1][full]
-    order = np.argsort(codes, kind="stable")
-    owner = np.repeat(np.arange(len(span)), span)[order]
-    word_from = np.searchsorted(codes[order], np.arange(len(words)))
-    by_bucket = np.argsort(bucket, kind="stable").astype(np.int32)
-    bucket_from = np.searchsorted(bucket[by_bucket], np.arange(len(used)))
-    word_of = np.repeat(np.arange(len(words), dtype=np.int32), each)[by_bucket]
-    word = np.zeros((len(words), DIMS), np.float32)
-    damp = (RATE * support[used] / (support[used] + SUPPORT)).astype(np.float32)[:, None]
-    e = rng.normal(0, 0.1, (len(used), DIMS)).astype(np.float32)
-    w = rng.normal(0, 0.3, (DIMS, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
-    inv_each, inv_span = (1 / size).astype(np.float32)[:, None], np.float32(GAIN / PASSAGE)
+    used = np.flatnonzero(support >= min(max(LEAST_DOCS, LEAST_SHARE * len(fit)), support.max()))
+    dense = np.full(BUCKETS, -1, np.int32)
+    dense[used] = np.arange(len(used))
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), each)
+    keep = dense[bucket] >= 0
+    bucket, word_of = dense[bucket[keep]], word_of[keep]
+    inv, n_words = (1 / each)[word_of], len(words)
+    label = y[fit]
+    share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    e, w, b = rng.normal(0, 0.01, (len(used), DIMS)), rng.normal(0, 0.5, (DIMS, 2)), np.zeros((1, 2))
+    state = [[np.zeros_like(x), 0.0] for x in (e, w, b)]
     for step in range(1, EPOCHS + 1):
-        word[some] = np.add.reduceat(e[bucket], word_at) * inv_each[some]
-        mean = np.add.reduceat(word[codes], begin) * inv_span
+        mean = _sums(text, _sums(word_of, e[bucket], inv, n_words)[word], weight, len(fit))
         logit = mean @ w + b
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        if step >= RELABEL and (step - RELABEL) % 4 == 0:
-            # a toxic document's passages needn't all be toxic, but one is: the one that looks it most, and whatever
-            # looks more toxic than 99 of 100 passages of other documents; the rest count as not toxic
-            top = np.repeat(np.maximum.reduceat(p[:, 1], passage_at), many[full])
-            label = ((owned == 1) & ((p[:, 1] == top) | (p[:, 1] > np.quantile(p[owned == 0, 1], 0.99)))).astype(np.int64)
         p[np.arange(len(label)), label] -= 1
-        d = (p * balance[:, None]).astype(np.float32)
-        d_mean = (d @ w.T) * inv_span
-        d_word = np.add.reduceat(d_mean[owner], word_from) * inv_each
-        d_e = np.add.reduceat(d_word[word_of], bucket_from) + DECAY / len(used) * e
-        for x, g, rate, (m, v) in zip((e, w, b), (d_e, mean.T @ d + DECAY * w, d.sum(axis=0)), (damp, RATE, RATE), state):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weight = np.zeros(BUCKETS, np.float32)
-    weight[used] = e @ (w[:, 1] - w[:, 0])
-    model = Model(weight, float(b[1] - b[0]), 0.5)
+        d = p * share[:, None]
+        d_e = _sums(bucket, _sums(word, (d @ w.T)[text], weight, n_words)[word_of], inv, len(used)) / support[used][:, None]
+        for x, g, rate, s, size in zip((e, w, b), (d_e, mean.T @ d + DECAY * w, d.sum(axis=0, keepdims=True)), (RATE, HEAD_RATE, HEAD_RATE), state, (np.max, np.mean, np.mean)):
+            # one step length for a whole table, by its recent gradients
+            s[0] = 0.9 * s[0] + 0.1 * g
+            s[1] = 0.95 * s[1] + 0.05 * float(size(g * g))
+            x -= rate * s[0] / (1 - 0.9**step) / np.sqrt(s[1] / (1 - 0.95**step) + 1e-20)
+    table = np.zeros(BUCKETS, np.float32)
+    table[used] = e @ (w[:, 1] - w[:, 0])
+    model = Model(table, float(b[0, 1] - b[0, 0]), 0.5)
     if held.any():
         score, truth = model.score(pa.array([texts[i] for i in np.flatnonzero(held)], pa.string())), y[held]
         if 0 < truth.sum() < len(truth):
