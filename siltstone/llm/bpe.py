@@ -168,7 +168,7 @@ class Automaton:
     def _gadgets(self, n: int, tokens: list[bytes], merges: list[tuple[int, int, int]]) -> None:
         """state_of: where a token's arc leads. A state is the tuple of what it lacks, as a linked list (rest, begin, end)."""
         state: list = [None] * n
-        dead = set()
+        dead = {t for t in range(n) if len(tokens[t]) > 1} - {made for *_, made in merges}  # no merge makes them
         for left, right, made in merges:
             came = state[right]  # where the arc `right` leads before this merge
             if left in dead or right in dead or self._lacks(state[left], self.number[right]):
