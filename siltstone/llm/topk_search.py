@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ K, K1, B = 10, 1.2, 0.75
 BLOCK = 64
 #: Text in a shard at most; a task with more makes several shards.
 SHARD_BYTES = 64 << 20
+#: Text of the queries that are broadcast at a time.
+QUERY_BYTES = 16 << 20
 INDEX = "docs binary, lengths binary, terms binary, ends binary, places binary, counts binary"
 
 
@@ -156,10 +159,19 @@ class Shard:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, query_id: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """item_id, rank, doc_id, score: the k best documents of every query. What is broadcast are the queries."""
+    """item_id, rank, doc_id, score: the k best documents of every query. What is broadcast are queries, QUERY_BYTES of
+    text at a time: more of them go round in several batches, each with an index of its own terms."""
+    asked = identified(queries, query_id, text_col)
+    size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rounds = max(1, -(-size // QUERY_BYTES))
+    batches = [asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r) if rounds > 1 else asked for r in range(rounds)]
+    return reduce(DataFrame.unionByName, (_search(docs, batch, k, id_col, text_col) for batch in batches))
+
+
+def _search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     asked: dict[int, dict[bytes, int]] = {}
-    for row in identified(queries, query_id, text_col).toLocalIterator():
+    for row in queries.toLocalIterator():
         own = asked.setdefault(row["doc_id"], {})
         for w in split_words(pa.array([row["text"]], pa.string()))[0].cast(pa.binary()).to_pylist():
             own[w] = own.get(w, 0) + 1
