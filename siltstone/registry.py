@@ -17,7 +17,7 @@ from siltstone.catalog import Manifest
 from siltstone.functions.stats import distinct_estimate, file_stats
 from siltstone.operators import profile, text
 from siltstone.plans import ir, lower, pruning, sqlfront
-from siltstone.session import CONF
+from siltstone.session import CONF, Session
 from siltstone.sources import csv, external, mixed
 from siltstone.streaming import events as streaming
 
@@ -414,6 +414,63 @@ def ext_windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "n", F.round("total", 2).alias("total"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, SUM(first) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS nth FROM e)
+SELECT user_id AS key, MIN(ts) AS session_start, MAX(ts) + INTERVAL 30 MINUTE AS session_end, COUNT(*) AS n FROM s GROUP BY user_id, nth""")
+def ext_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _ready(spark)
+    out = streaming.sessions(table(spark, sf_dir, "events"))
+    return out.select("key", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
+
+
+# --- the engine as a whole: catalog, snapshots, corpora ---
+
+
+def _two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[Session, str]:
+    session, df = Session(spark, _folder(spark)), _lines(spark, sf_dir)
+    first = session.ingest("lines", df.where("l_linenumber <= 2"), partition_by=["l_returnflag"])
+    session.ingest("lines", df.where("l_linenumber > 2"))
+    return session, first.id
+
+
+@query("SELECT l_returnflag, COUNT(*) AS n, MAX(l_quantity) AS most FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber <= 4 GROUP BY l_returnflag")
+def dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the files of two commits, without those that partition values and statistics rule out."""
+    session, _ = _two_snapshots(spark, sf_dir)
+    sql = "SELECT l_returnflag, COUNT(*) AS n, MAX(l_quantity) AS most FROM lines WHERE l_returnflag <> 'A' AND l_linenumber <= 4 GROUP BY l_returnflag"
+    explained = session.explain("lines", sql)
+    assert explained.files_after < explained.files_before
+    return session.lowered(ir.from_json(json.dumps(explained.optimized)))
+
+
+@query(f"{_PARTS} WHERE l_linenumber <= 2")
+def dataset_earlier_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session, first = _two_snapshots(spark, sf_dir)
+    return session.frame("lines", first)
+
+
+@query("SELECT 'lines' AS dataset, CAST(COUNT(*) AS BIGINT) AS rows, CAST(2 AS BIGINT) AS commits FROM lineitem")
+def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalog's manifests say, without reading the data."""
+    session, _ = _two_snapshots(spark, sf_dir)
+    out = []
+    for d in session.datasets():
+        files = session.catalog.manifests(session.catalog.current(d))
+        out.append((d.name, sum(f.rows for f in files), len(session.catalog.snapshots(d))))
+    return spark.createDataFrame(out, "dataset string, rows long, commits long")
+
+
+@query("SELECT doc_id, chunk_index FROM (SELECT NULL::VARCHAR AS doc_id, NULL::INTEGER AS chunk_index) WHERE doc_id IS NOT NULL")
+def corpus_missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the corpus that a second ingest of the same documents failed to replace, or to keep: none."""
+    session, docs = Session(spark, _folder(spark)), table(spark, sf_dir, "documents")
+    session.ingest_corpus("all", docs)
+    session.ingest_corpus("all", docs.where("doc_id % 2 = 0"))
+    want = text.chunked(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).select("doc_id", "chunk_index")
+    got = session.corpora.chunks("all").select("doc_id", "chunk_index")
+    return want.exceptAll(got).unionByName(got.exceptAll(want))
+
+
 # --- questions ---
 
 #: Fifteen kinds of question: the table asked, the question, and what the answer must equal.
