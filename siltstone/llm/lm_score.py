@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import binary_array, coded_words, identified, offsets_of, slices, split_words, written
-from siltstone.llm.token_ids import token_counts
+from siltstone.llm.token_ids import most_frequent, token_counts
 
 #: Words with an own class; two more ids are the other words (0) and the start mark (1), which never follows anything.
 VOCABULARY = 1022
@@ -209,7 +209,7 @@ def trained(ids: DataFrame, model: Model) -> Model:
 def fit(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model and the coded corpus."""
     counts = written(token_counts(docs, split_words, id_col, text_col), "word-counts")
-    top = counts.orderBy(F.desc("n"), "token").limit(size).collect()
+    top = most_frequent(counts, size)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words, n = [bytes(r["token"]) for r in top], [r["n"] for r in top]
     ids = coded(docs, words, id_col, text_col)

@@ -20,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import binary_array, byte_buffer, identified, offsets_of, slices
+from siltstone.llm.common import binary_array, byte_buffer, identified, offsets_of, slices, written
 
 VOCABULARY = 1 << 16
 
@@ -104,6 +104,22 @@ def token_counts(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np
     return identified(docs, id_col, text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, size: int) -> list[Row]:
+    """The `size` most frequent tokens, the most frequent first. A histogram of the counts' logarithms says above which
+    count they all lie, so that a task sorts and sends little more than its own share of them, not `size` of its tokens."""
+    step = F.floor(F.log2("n") * 32)
+    need, cut = size, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect(), reverse=True):
+        cut, need = row["step"], need - row["tokens"]
+        if need <= 0:
+            break
+    if cut is None or size <= 0:
+        return []
+    # written, since collect() of a limit would have every task send its rows to the driver
+    top = written(counts.where(step >= cut).orderBy(F.desc("n"), "token").limit(size), "most-frequent")
+    return sorted(top.collect(), key=lambda r: (-r["n"], bytes(r["token"])))
+
+
 @dataclass
 class Vocabulary:
     """tokens: the listed tokens' bytes; token_id, byte_id, open_id: the ids of tokens, of bytes, and of the mark before spelled bytes."""
@@ -142,10 +158,8 @@ class Vocabulary:
 def vocabulary(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> Vocabulary:
     """Counted over the whole corpus. The driver gets `size` tokens; how often bytes and the mark occur follows from
     totals over all tokens less those of the listed ones."""
-    from siltstone.llm.common import written
-
     counts = written(token_counts(docs, blank_tokens, id_col, text_col), "token-counts")
-    top = counts.orderBy(F.desc("n"), "token").limit(size).collect()
+    top = most_frequent(counts, size)
     tokens, n = [bytes(r["token"]) for r in top], np.array([r["n"] for r in top], np.int64)
     listed = set(tokens)
 

@@ -58,6 +58,13 @@ def test_ids_are_ranks_by_frequency(small):
     assert counts == sorted(counts, reverse=True)
 
 
+@pytest.mark.parametrize("size", [0, 1, 3, 10, 11, 1000])
+def test_most_frequent_with_ties(spark, size):
+    rows = [(bytes([97 + k % 26, k]), int(n)) for k, n in enumerate([5, 5, 5, 1, 1, 1, 1, 70000, 70001, 2, 9])]
+    got = token_ids.most_frequent(spark.createDataFrame(rows, "token binary, n long").repartition(3), size)
+    assert [(bytes(r["token"]), r["n"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+
+
 # --- language model ---
 
 
@@ -136,9 +143,10 @@ def ranked_by_force(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [1, 20_000, topk_search.SHARD_BYTES])
-def test_search_is_exact(spark, small, shard_bytes, monkeypatch):
+@pytest.mark.parametrize(("shard_bytes", "query_bytes"), [(1, 1 << 20), (20_000, 800), (topk_search.SHARD_BYTES, topk_search.QUERY_BYTES)])
+def test_search_is_exact(spark, small, shard_bytes, query_bytes, monkeypatch):
     monkeypatch.setattr(topk_search, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", query_bytes)
     monkeypatch.setattr(topk_search, "BLOCK", 4)
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
     queries = [(k, " ".join(t.split()[3:11])) for k, (_, t) in enumerate(rows[:40])] + [(90, ""), (91, "zzzz"), (92, "the the the")]
