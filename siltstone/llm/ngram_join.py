@@ -197,7 +197,8 @@ def _verify(texts: pa.Table, pairs: pa.Table, n: int, threshold: float, forest:
 
 def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, sets). sets: a, ha (the text that stands for the set), docs (sorted ids of all documents with that set).
-    pairs: a, ha, b, hb, jaccard."""
+    pairs: a, ha, b, hb, jaccard. With `forest` pairs may be missing between texts that others connect, so that a group of m
+    near copies costs about m comparisons, not m * m."""
     bands, rows = banding(threshold, recall)
     sketch = written(sketches(docs, n, bands, rows, id_col, text_col), "sketches")
     found = sketch.groupBy("set").agg(F.min(F.struct("doc_id", "h", "keys")).alias("first"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
@@ -209,22 +210,38 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
     homes = written(homes, "homes")
     sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
     placed = homes.join(sizes, "home").select("d", F.xxhash64("home", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("block"))
-    members = buckets.select("key", F.explode("m").alias("d")).join(placed, "d").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("d", "block"))).alias("m"))
-    left = members.select("m", F.posexplode("m").alias("i", "x"))
-    pair = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    low, high = F.least("x.block", "y.block"), F.greatest("x.block", "y.block")
-    pair = pair.select(F.xxhash64(low, high).alias("task"), F.col("x.d.a").alias("a"), F.col("x.d.ha").alias("ha"), F.col("y.d.a").alias("b"), F.col("y.d.ha").alias("hb")).distinct()
-    pair = written(pair, "candidates")
-    needed = pair.select("task", F.col("a").alias("doc_id"), F.col("ha").alias("h")).union(pair.select("task", "b", "hb")).distinct()
-    texts = identified(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    texts = texts.join(needed, ["doc_id", "h"]).select("task", "doc_id", "h", "text")
-
-    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _verify(left, right, n, threshold, forest)
-
-    own = pair.select(F.col("task").alias("of"), "a", "ha", "b", "hb")
-    out = texts.groupBy("task").cogroup(own.groupBy("of")).applyInArrow(verify, "a long, ha long, b long, hb long, jaccard double")
-    return out, sets.drop("keys")
+    placed = written(buckets.select("key", F.explode("m").alias("d")).join(placed, "d"), "placed")
+
+    def verified(x_y: DataFrame, name: str) -> DataFrame:
+        """The similar ones of pairs x, y, each a document and its block."""
+        x_y = x_y.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        task = F.xxhash64(F.least("x.block", "y.block"), F.greatest("x.block", "y.block")).alias("task")
+        pair = x_y.select(task, F.col("x.d.a").alias("a"), F.col("x.d.ha").alias("ha"), F.col("y.d.a").alias("b"), F.col("y.d.ha").alias("hb")).distinct()
+        pair = written(pair, name)
+        needed = pair.select("task", F.col("a").alias("doc_id"), F.col("ha").alias("h")).union(pair.select("task", "b", "hb")).distinct()
+        texts = identified(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+        texts = texts.join(needed, ["doc_id", "h"]).select("task", "doc_id", "h", "text")
+
+        def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _verify(left, right, n, threshold, forest)
+
+        own = pair.select(F.col("task").alias("of"), "a", "ha", "b", "hb")
+        return texts.groupBy("task").cogroup(own.groupBy("of")).applyInArrow(verify, "a long, ha long, b long, hb long, jaccard double")
+
+    entry = F.struct("d", "block")
+    if not forest:
+        members = placed.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("m"))
+        left = members.select("m", F.posexplode("m").alias("i", "x"))
+        return verified(left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")), "candidates"), sets.drop("keys")
+    # first every member of a bucket with its least one, which connects most; then only pairs that lie in one bucket but aren't connected
+    members = placed.groupBy("key").agg(F.min(entry).alias("x"), F.collect_list(entry).alias("m"))
+    stars = written(verified(members.select("x", F.explode("m").alias("y")).where("x.d <> y.d"), "stars"), "near")
+    root = components(stars.select(F.struct("a", "ha").alias("u"), F.struct(F.col("b").alias("a"), F.col("hb").alias("ha")).alias("v")))
+    rooted = placed.join(root, F.col("d") == F.col("node"), "left").select("key", F.coalesce("root", "d").alias("root"), entry.alias("x"))
+    parts = rooted.groupBy("key", "root").agg(F.collect_list("x").alias("m")).groupBy("key").agg(F.collect_list(F.struct("m")).alias("g")).where(F.size("g") > 1)
+    cross = parts.select("g", F.posexplode("g").alias("i", "p")).select(F.col("p.m").alias("p"), F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("q"))
+    cross = cross.select(F.explode("p").alias("x"), F.col("q.m").alias("q")).select("x", F.explode("q").alias("y"))
+    return stars.unionByName(verified(cross, "candidates")), sets.drop("keys")
 
 
 def joined(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
