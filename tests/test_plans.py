@@ -34,7 +34,7 @@ SHAPES = [
     "SELECT COUNT(*) AS n FROM people WHERE age = 30 AND (name = 'ann' OR cost < 5)",
     "SELECT age FROM people WHERE 35 < age ORDER BY age DESC LIMIT 1",
     "SELECT name AS who FROM people p WHERE p.cost <> 7.5 AND age > -1",
-    "SELECT age, COUNT(cost) AS n FROM people GROUP BY 1 ORDER BY 2 DESC, age LIMIT 2",
+    "SELECT age, COUNT(cost) AS n FROM people GROUP BY 1 ORDER BY 2 DESC, age NULLS LAST LIMIT 2",
 ]
 
 
