@@ -1,16 +1,19 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a word's vector linearly from those of the two words before it, and scores a word by
-the product of the prediction with the word's own vector, plus a bias. The VOCABULARY most
-frequent words of the corpus are modelled; all others are one class.
+the product of the prediction with the word's own vector, plus a bias. The vocabulary follows the corpus: every word
+that occurs LEAST times and makes up SHARE of all tokens has vectors of its own. Any other word is the class 0 as a context; as a
+target it has the class's probability times that of its spelling, by a model of bytes without the listed words' share.
+
+Words beyond the HEAD most frequent lie in groups of neighbours by frequency, as many as a group has words. Such a word's probability is its
+group's among head words and groups, times its own within the group, so a normaliser costs the root of the vocabulary's size.
 
 The vocabulary comes from counts over all documents. Training goes over every token: each task makes its own
-pass over its part of the corpus in numpy, from the same start, and the parameters are averaged,
-weighted by tokens (parameter mixing), in a shuffle of one vector a task. So all that is gathered grows with the corpus,
-while the model and the driver's memory don't.
+pass over its part of the corpus in numpy, from the same start, and the parameters are averaged (parameter mixing), a word's
+weighted by its tokens in each task. A task sends the vectors of the words it saw, so what is gathered grows with the corpus.
 
-Noise-contrastive training needs no normaliser, scoring does: log-probabilities are normalised over
-the whole vocabulary. There are only as many normalisers as pairs of words, so a worker computes each once, in batched matrix products.
+Noise-contrastive training needs no normaliser, scoring does: log-probabilities are normalised exactly, so exp(log_prob) adds up to
+one over all texts of a length. Normalisers are found in batched matrix products, once for each pair of words in a batch.
 
 Defined results: null and empty texts have 0 tokens, log_prob 0 and a null mean; a text's first words are predicted
 from a start mark; repeated rows score alike; an empty corpus gives no rows.
@@ -18,8 +21,9 @@ from a start mark; repeated rows score alike; an empty corpus gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +31,67 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import binary_array, coded_words, identified, offsets_of, slices, split_words, written
-from siltstone.llm.token_ids import most_frequent, token_counts
+from siltstone.llm.common import binary_array, byte_buffer, coded_words, identified, offsets_of, slices, split_words, written
+from siltstone.llm.token_ids import token_counts
 
-#: Words with an own class; two more ids are the other words (0) and the start mark (1), which never follows anything.
-VOCABULARY = 1022
+#: A word with vectors of its own occurs so often, and is that part of all tokens. Two more ids are the other words (0) and the start mark (1), which never follows anything.
+LEAST, SHARE = 5, 1e-7
+#: So many words are in no group.
+HEAD = 1022
 DIMS, NOISE, BATCH, RATE, SEED = 16, 64, 8192, 0.15, 11
+#: Rows of a parameter that travel together. Tokens scored at once, and contexts normalised at once.
+BLOCK, TOKENS, CONTEXTS = 4096, 1 << 18, 512
+#: The symbol before and after a word's bytes; weight of the shorter context in a spelling.
+EDGE, PRIOR = 256, 20.0
+
+
+def _trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each word, and its end: two symbols before it and itself as one number; how many each word has."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data, offsets = byte_buffer(words)
+    size = np.diff(offsets)
+    at = offsets_of(size + 3)
+    inner = np.arange(int(size.sum())) - np.repeat(offsets_of(size)[:-1], size)
+    symbols = np.full(int(at[-1]), EDGE, np.int64)
+    symbols[np.repeat(at[:-1] + 2, size) + inner] = data[np.repeat(offsets[:-1], size) + inner]
+    here = np.flatnonzero(np.arange(len(symbols)) - np.repeat(at[:-1], size + 3) >= 2)
+    return (symbols[here - 2] * 257 + symbols[here - 1]) * 257 + symbols[here], size + 1
+
+
+class Speller:
+    """Probabilities of words that aren't listed: each byte from the two before it. keys, n: trigrams by number, and how often they occur."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, listed: list[bytes]):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order].astype(np.float64)
+        self.pair = np.bincount(self.keys // 257, weights=self.n, minlength=257 * 257)
+        two = np.bincount(self.keys % (257 * 257), weights=self.n, minlength=257 * 257).reshape(257, 257)
+        even = np.full((257, 257), 1 / 257)
+        even[EDGE], even[EDGE, EDGE] = 1 / 256, 0  # no word is empty
+        self.one = (two + PRIOR * even) / (two.sum(axis=1, keepdims=True) + PRIOR)
+        self.log_rest = 0.0
+        self.log_rest = math.log1p(-float(np.exp(self.log_probs(pa.array(listed, pa.binary()))).sum()))
+
+    def probs(self, key: np.ndarray) -> np.ndarray:
+        """Of the last symbol of each trigram after the two before it."""
+        seen = np.zeros(len(key))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            seen = np.where(self.keys[at] == key, self.n[at], 0.0)
+        return (seen + PRIOR * self.one[key // 257 % 257, key % 257]) / (self.pair[key // 257] + PRIOR)
+
+    def log_probs(self, words: pa.Array) -> np.ndarray:
+        key, each = _trigrams(words)
+        total = np.concatenate(([0.0], np.cumsum(np.log(self.probs(key)))))
+        at = offsets_of(each)
+        return total[at[1:]] - total[at[:-1]] - self.log_rest
 
 
 @dataclass
 class Model:
-    """words: ids from 2 on; context vectors r, their maps c1 (the word before) and c2 (the one before that), target vectors q, biases b, log frequencies."""
+    """words: ids from 2 on; context vectors r, their maps c1 (the word before) and c2 (the one before that), target vectors q, biases b, log frequencies.
+    q, b and log_noise have a row for each id and then for each group; those of words in groups are among all such words."""
 
     words: list[bytes]
     r: np.ndarray
@@ -46,6 +100,7 @@ class Model:
     q: np.ndarray
     b: np.ndarray
     log_noise: np.ndarray
+    speller: Speller | None = None
 
     def names(self) -> tuple[str, ...]:
         return ("r", "c1", "c2", "q", "b")
@@ -54,12 +109,37 @@ class Model:
         return np.concatenate([getattr(self, n).ravel() for n in self.names()]).astype(np.float64)
 
     def with_flat(self, flat: np.ndarray) -> Model:
-        parts, at = [], 0
+        parts, at = {}, 0
         for n in self.names():
             own = getattr(self, n)
-            parts.append(flat[at : at + own.size].reshape(own.shape).astype(np.float32))
+            parts[n] = flat[at : at + own.size].reshape(own.shape).astype(np.float32)
             at += own.size
-        return Model(self.words, *parts, self.log_noise)
+        return replace(self, **parts)
+
+    @property
+    def ids(self) -> int:
+        return len(self.words) + 2
+
+    @property
+    def head(self) -> int:
+        """The first id in a group."""
+        return min(len(self.words), HEAD) + 2
+
+    @property
+    def width(self) -> int:
+        """Words in a group; the last has fewer."""
+        return max(1, math.isqrt(max(0, self.ids - self.head - 1)) + 1)
+
+    def groups(self) -> list[tuple[int, int]]:
+        return [(at, min(at + self.width, self.ids)) for at in range(self.head, self.ids, self.width)]
+
+    def outcomes(self) -> np.ndarray:
+        """Rows of q of head words and groups."""
+        return np.concatenate((np.arange(self.head), np.arange(self.ids, self.ids + len(self.groups()))))
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where the words, or their groups, are among outcomes()."""
+        return np.where(ids < self.head, ids, self.head + (ids - self.head) // self.width)
 
 
 def start(words: list[bytes], counts: np.ndarray, seed: int = SEED) -> Model:
@@ -70,15 +150,24 @@ def start(words: list[bytes], counts: np.ndarray, seed: int = SEED) -> Model:
     p[1] = 0
     p = np.maximum(p, 0.5)
     p[1] = 1e-30
-    log_noise = np.log(p / p.sum()).astype(np.float32)
     near = np.eye(DIMS, dtype=np.float32)
-    return Model(words, rng.normal(0, 0.1, (v, DIMS)).astype(np.float32), near.copy(), 0.5 * near, rng.normal(0, 0.1, (v, DIMS)).astype(np.float32), log_noise.copy(), log_noise)
+    model = Model(words, rng.normal(0, 0.1, (v, DIMS)).astype(np.float32), near.copy(), 0.5 * near, np.zeros(0), np.zeros(0), np.zeros(0))
+    groups, tail = model.groups(), p[model.head :]
+    log_noise = np.log(np.concatenate((p[: model.head] / p.sum(), tail / max(tail.sum(), 0.5), [p[a:z].sum() / p.sum() for a, z in groups]))).astype(np.float32)
+    return replace(model, q=rng.normal(0, 0.1, (len(log_noise), DIMS)).astype(np.float32), b=log_noise.copy(), log_noise=log_noise)
 
 
-def ids_of(texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(texts: pa.Array, words: pa.Array, speller: Speller) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, how many each text has, and the log-probability of the spelling of each text's other words."""
     codes, distinct, counts = coded_words(texts)
-    known = pc.fill_null(pc.add(pc.index_in(distinct.cast(pa.binary()), value_set=words), 2), 0).to_numpy(zero_copy_only=False)
-    return (known[codes] if len(codes) else np.zeros(0)).astype(np.uint16), counts
+    distinct = distinct.cast(pa.binary())
+    known = pc.fill_null(pc.add(pc.index_in(distinct, value_set=words), 2), 0).to_numpy(zero_copy_only=False)
+    spelled = np.zeros(len(distinct))
+    other = np.flatnonzero(known == 0)
+    if len(other):
+        spelled[other] = speller.log_probs(distinct.take(pa.array(other)))
+    doc = np.repeat(np.arange(len(counts)), counts)
+    return known[codes].astype(np.uint32), counts, np.bincount(doc, weights=spelled[codes], minlength=len(counts))
 
 
 def contexts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,99 +181,151 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, and the sum of each one's rows."""
     order = np.argsort(index, kind="stable")
     at = index[order]
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.zeros((n, *rows.shape[1:]), np.float32)
-    out[at[new]] = np.add.reduceat(rows[order], new, axis=0)
-    return out
+    return at[new], np.add.reduceat(rows[order], new, axis=0)
 
 
 class Trainer:
-    """One pass of noise-contrastive training with AdaGrad."""
+    """One pass of noise-contrastive training with AdaGrad. hits: how often each row was trained on, other than as noise."""
 
     def __init__(self, model: Model, seed: int):
-        self.m = Model(model.words, *(getattr(model, n).copy() for n in model.names()), model.log_noise)
+        self.m = replace(model, **{n: getattr(model, n).copy() for n in model.names()})
         self.rng = np.random.default_rng(seed)
         self.seen = {n: np.full(getattr(model, n).shape, 1e-3, np.float32) for n in model.names()}
-        self.cumulative = np.cumsum(np.exp(model.log_noise.astype(np.float64)))
+        self.outcomes = model.outcomes()
+        self.top, self.tail = ((rows, np.cumsum(np.exp(model.log_noise[rows].astype(np.float64)))) for rows in (self.outcomes, np.arange(model.head, model.ids)))
+        self.hits = {"r": np.zeros(model.ids, np.int64), "q": np.zeros(len(model.b), np.int64)}
         self.tokens = 0
 
+    def _contrast(self, h: np.ndarray, true: np.ndarray, among: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """NOISE rows drawn from `among` (rows, their shares added up) are noise for all: the gradients of h, the rows of q, and their gradients, the bias's last."""
+        m, (among, cumulative) = self.m, among
+        noise = among[np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(among) - 1)]
+        q, qn = m.q[true], m.q[noise]
+        log_k = np.float32(np.log(NOISE))
+        right = np.einsum("ij,ij->i", h, q) + m.b[true] - m.log_noise[true] - log_k
+        wrong = h @ qn.T + (m.b[noise] - m.log_noise[noise] - log_k)
+        dt = -1 / (1 + np.exp(np.clip(right, -30, 30))) / n
+        df = 1 / (1 + np.exp(-np.clip(wrong, -30, 30))) / n
+        rows = np.concatenate((np.column_stack((dt[:, None] * h, dt)), np.column_stack((df.T @ h, df.sum(axis=0)))))
+        return dt[:, None] * q + df @ qn, np.concatenate((true, noise)), rows
+
+    def _move(self, name: str, at: np.ndarray | slice, g: np.ndarray) -> None:
+        g = g * np.float32(BATCH)
+        seen = self.seen[name][at] + g * g
+        self.seen[name][at] = seen
+        getattr(self.m, name)[at] -= np.float32(RATE) * g / np.sqrt(seen)
+
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        """NOISE words drawn from the unigram distribution are noise for every token of the batch."""
         m, n = self.m, len(word)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), len(self.cumulative) - 1)
-        r1, r2, q, qn = m.r[one], m.r[two], m.q[word], m.q[noise]
+        r1, r2 = m.r[one], m.r[two]
         h = r1 @ m.c1 + r2 @ m.c2
-        log_k = np.float32(np.log(NOISE))
-        true = np.einsum("ij,ij->i", h, q) + m.b[word] - m.log_noise[word] - log_k
-        false = h @ qn.T + (m.b[noise] - m.log_noise[noise] - log_k)
-        dt = -1 / (1 + np.exp(np.clip(true, -30, 30))) / n
-        df = 1 / (1 + np.exp(-np.clip(false, -30, 30))) / n
-        dh = dt[:, None] * q + df @ qn
-        v = len(m.b)
-        grads = {
-            "q": _sum_rows(np.concatenate((word, noise)), np.concatenate((dt[:, None] * h, df.T @ h)), v),
-            "b": (np.bincount(word, weights=dt, minlength=v) + np.bincount(noise, weights=df.sum(axis=0), minlength=v)).astype(np.float32),
-            "c1": r1.T @ dh,
-            "c2": r2.T @ dh,
-            "r": _sum_rows(np.concatenate((one, two)), np.concatenate((dh @ m.c1.T, dh @ m.c2.T)), v),
-        }
-        for name, g in grads.items():
-            g = g * np.float32(BATCH)
-            self.seen[name] += g * g
-            getattr(m, name)[...] -= np.float32(RATE) * g / np.sqrt(self.seen[name])
+        dh, index, rows = self._contrast(h, self.outcomes[m.places(word)], self.top, n)
+        rare = np.flatnonzero(word >= m.head)
+        if len(rare):
+            more, index_in, rows_in = self._contrast(h[rare], word[rare], self.tail, n)
+            dh[rare] += more
+            index, rows = np.concatenate((index, index_in)), np.concatenate((rows, rows_in))
+        dr = np.concatenate((dh @ m.c1.T, dh @ m.c2.T))
+        dc1, dc2 = r1.T @ dh, r2.T @ dh
+        at, g = _summed(index, rows)
+        self._move("q", at, g[:, :-1])
+        self._move("b", at, g[:, -1])
+        self._move("c1", slice(None), dc1)
+        self._move("c2", slice(None), dc2)
+        self._move("r", *_summed(np.concatenate((one, two)), dr))
         self.tokens += n
 
     def run(self, ids: np.ndarray, counts: np.ndarray) -> None:
         one, two = contexts(ids, counts)
         for at in range(0, len(ids), BATCH):
-            self.step(one[at : at + BATCH], two[at : at + BATCH], ids[at : at + BATCH].astype(np.int64))
+            self.step(one[at : at + BATCH], two[at : at + BATCH], ids[at : at + BATCH])
+        v, rows = self.m.ids, len(self.m.b)
+        self.hits["r"] += np.bincount(one, minlength=v) + np.bincount(two, minlength=v)
+        self.hits["q"] += np.bincount(self.outcomes[self.m.places(ids)], minlength=rows) + np.bincount(ids[ids >= self.m.head], minlength=rows)
 
 
 class Scorer:
-    """Normalised log-probabilities. log_z: normalisers found so far, a square of the vocabulary's size."""
+    """Normalised log-probabilities."""
 
     def __init__(self, model: Model):
-        self.m, self.v = model, len(model.b)
-        self.h1, self.h2 = model.r @ model.c1, model.r @ model.c2
-        self.s1, self.s2 = self.h1 @ model.q.T + model.b, self.h2 @ model.q.T
-        self.possible = np.arange(self.v) != 1
-        self.log_z = np.full(self.v * self.v, np.nan, np.float32)
+        self.m, self.v = model, model.ids
+        self.h1, self.h2 = (np.column_stack((model.r @ c, np.full(self.v, 0.5, np.float32))) for c in (model.c1, model.c2))  # the bias's 1 in two halves
+        self.q = np.column_stack((model.q, model.b))
+        self.top = self.q[model.outcomes()]
+        self.top[1, -1] = -1e30
+
+    @staticmethod
+    def _log_z(logit: np.ndarray) -> np.ndarray:
+        top = logit.max(axis=1)
+        logit -= top[:, None]
+        return top + np.log(np.exp(logit, out=logit).sum(axis=1))
+
+    def _some(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        pair, which = np.unique(one * self.v + two, return_inverse=True)
+        h = self.h1[pair // self.v] + self.h2[pair % self.v]
+        log_z = np.concatenate([self._log_z(h[at : at + CONTEXTS] @ self.top.T) for at in range(0, len(h), CONTEXTS)])
+        out = np.einsum("ij,ij->i", h[which], self.top[self.m.places(ids)]) - log_z[which]
+        rare = np.flatnonzero(ids >= self.m.head)
+        rare = rare[np.argsort(ids[rare], kind="stable")]
+        for a, z in self.m.groups() if len(rare) else ():
+            first, last = np.searchsorted(ids[rare], (a, z))
+            for at in range(first, last, CONTEXTS):
+                own = rare[at : min(at + CONTEXTS, last)]
+                logit = h[which[own]] @ self.q[a:z].T
+                out[own] += logit[np.arange(len(own)), ids[own] - a]
+                out[own] -= self._log_z(logit)
+        return out.astype(np.float64)
 
     def log_probs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        pair = one * self.v + two
-        new = np.flatnonzero(np.isnan(self.log_z[pair]))
-        if len(new):
-            for part in np.array_split(u := np.unique(pair[new]), max(1, len(u) // 2048)):
-                logit = (self.h1[part // self.v] + self.h2[part % self.v]) @ self.m.q.T + self.m.b
-                logit = logit[:, self.possible]
-                top = logit.max(axis=1)
-                self.log_z[part] = top + np.log(np.exp(logit - top[:, None]).sum(axis=1))
-        return (self.s1[one, ids] + self.s2[two, ids] - self.log_z[pair]).astype(np.float64)
+        """Of head words and class 0, and of words in groups; an other word's spelling comes on top."""
+        return np.concatenate([self._some(*(x[at : at + TOKENS] for x in (ids, one, two))) for at in range(0, len(ids), TOKENS)])
 
 
-def coded(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (two bytes a word), as a scratch table, since training and scoring both read it."""
+def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (four bytes a word), spelled (log-probability), as a scratch table, since training and scoring both read it."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.speller))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, speller = shared.value
         known = pa.array(words, pa.binary())
         for batch in slices(batches, "text"):
-            ids, counts = ids_of(batch.column("text"), known)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(ids.view(np.uint8), 2 * offsets_of(counts))], ["doc_id", "ids"])
+            ids, counts, spelled = ids_of(batch.column("text"), known, speller)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(ids.view(np.uint8), 4 * offsets_of(counts)), pa.array(spelled)], ["doc_id", "ids", "spelled"])
 
-    return written(identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary"), "word-ids")
+    return written(identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, spelled double"), "word-ids")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column("ids")
-    counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64), counts
+    counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).astype(np.int64), counts
+
+
+def _parts(m: Model) -> dict[str, np.ndarray]:
+    return {"r": m.r, "q": np.column_stack((m.q, m.b)), "c": np.concatenate((m.c1, m.c2))}
+
+
+_MIXED = "part string, block long, rows binary, weight binary, vectors binary"
+
+
+def _packed(part: str, block: int, rows: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+    data = [x.astype(kind).tobytes() for x, kind in ((rows, np.int32), (weight, np.float64), (vectors, np.float32))]
+    return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), *(pa.array([x], pa.binary()) for x in data)], ["part", "block", "rows", "weight", "vectors"])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows within the block, weights, vectors."""
+    rows = np.frombuffer(row["rows"], np.int32)
+    return rows, np.frombuffer(row["weight"], np.float64), np.frombuffer(row["vectors"], np.float32).reshape(len(rows), -1)
 
 
 def trained(ids: DataFrame, model: Model) -> Model:
-    """One round of parameter mixing over all tokens."""
+    """One round of parameter mixing over all tokens. A row that no task trained stays as at the start."""
     shared = ids.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,33 +336,67 @@ def trained(ids: DataFrame, model: Model) -> Model:
                 trainer = Trainer(shared.value, SEED)  # the same for a task that is run again
             trainer.run(words, counts)
         if trainer is not None and trainer.tokens:
-            flat = trainer.m.flat() * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.append(flat, trainer.tokens))], ["place", "value"])
+            hits = trainer.hits | {"c": np.full(2 * DIMS, trainer.tokens)}
+            for part, vectors in _parts(trainer.m).items():
+                for at in range(0, len(vectors), BLOCK):
+                    rows = np.flatnonzero(hits[part][at : at + BLOCK])
+                    if len(rows):
+                        yield _packed(part, at // BLOCK, rows, hits[part][at + rows], vectors[at + rows])
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows, weight, vectors = _unpacked(row)
+                total, sum_ = sums.setdefault((row["part"], row["block"]), (np.zeros(BLOCK), np.zeros((BLOCK, vectors.shape[1]))))
+                total[rows] += weight
+                sum_[rows] += weight[:, None] * vectors
+        for (part, block), (total, sum_) in sums.items():
+            rows = np.flatnonzero(total)
+            yield _packed(part, block, rows, total[rows], sum_[rows] / total[rows, None])
+
+    parts = _parts(model) | {"r": model.r.copy()}
+    for batch in ids.mapInArrow(run, _MIXED).repartition("part", "block").mapInArrow(mixed, _MIXED).toArrow().to_batches(max_chunksize=16):
+        for row in batch.to_pylist():
+            rows, _, vectors = _unpacked(row)
+            parts[row["part"]][row["block"] * BLOCK + rows] = vectors
+    return replace(model, r=parts["r"], c1=parts["c"][:DIMS], c2=parts["c"][DIMS:], q=np.ascontiguousarray(parts["q"][:, :-1]), b=parts["q"][:, -1].copy())
+
+
+def spelling(counts: DataFrame, listed: list[bytes]) -> Speller:
+    """counts: of the words that aren't listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            key, each = _trigrams(batch.column("token"))
+            keys, place = np.unique(np.concatenate((keys, key)), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate((n, np.repeat(batch.column("n").to_numpy(), each))), minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    sums = ids.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    if not sums.num_rows:
-        return model
-    flat = np.empty(sums.num_rows)
-    flat[sums["place"].to_numpy()] = sums["value"].to_numpy()
-    return model.with_flat(flat[:-1] / flat[-1])
+    found = counts.select("token", "n").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return Speller(found["key"].to_numpy(), found["n"].to_numpy(), listed)
 
 
-def fit(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model and the coded corpus."""
     counts = written(token_counts(docs, split_words, id_col, text_col), "word-counts")
-    top = most_frequent(counts, size)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words, n = [bytes(r["token"]) for r in top], [r["n"] for r in top]
-    ids = coded(docs, words, id_col, text_col)
-    return trained(ids, start(words, np.array([total - sum(n), 0, *n], np.float64))), ids
+    least = max(least, math.ceil(total * SHARE))
+    top = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    words, n = top["token"].to_pylist(), top["n"].to_numpy()
+    model = start(words, np.concatenate(([total - n.sum(), 0], n)).astype(np.float64))
+    model.speller = spelling(counts.where(F.col("n") < least), words)
+    ids = coded(docs, model, id_col, text_col)
+    return trained(ids, model), ids
 
 
-def scored(docs: DataFrame, model: Model | None = None, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_prob (natural, the sum over the text), mean_log_prob."""
     if model is None:
-        model, ids = fit(docs, size, id_col, text_col)
+        model, ids = fit(docs, least, id_col, text_col)
     else:
-        ids = coded(docs, model.words, id_col, text_col)
+        ids = coded(docs, model, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +406,7 @@ def scored(docs: DataFrame, model: Model | None = None, size: int = VOCABULARY,
             p = scorer.log_probs(words, *contexts(words, counts)) if len(words) else np.zeros(0)
             total = np.concatenate(([0.0], np.cumsum(p)))
             at = offsets_of(counts)
-            out = total[at[1:]] - total[at[:-1]]
+            out = total[at[1:]] - total[at[:-1]] + batch.column("spelled").to_numpy()
             mean = pa.array(np.divide(out, counts, out=np.zeros_like(out), where=counts > 0), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(out), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

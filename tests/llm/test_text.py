@@ -123,6 +123,62 @@ def test_scores_of_odd_rows(odd, empty):
     assert lm_score.scored(empty).count() == 0
 
 
+def test_probabilities_of_words_in_groups_add_up_to_one():
+    rng = np.random.default_rng(1)
+    n = lm_score.HEAD + 500
+    m = lm_score.start([b"%d" % k for k in range(n)], np.array([50, 0, *range(2 * n, n, -1)], float))
+    assert [a for a, _ in m.groups()][0] == lm_score.HEAD + 2 and m.groups()[-1][1] == n + 2
+    m = m.with_flat(m.flat() + rng.normal(0, 0.3, m.flat().shape))
+    ids = np.array([k for k in range(n + 2) if k != 1])
+    for one, two in ((1, 1), (0, 7), (n, n + 1)):
+        p = lm_score.Scorer(m).log_probs(ids, np.full(len(ids), one), np.full(len(ids), two))
+        assert abs(np.exp(p).sum() - 1) < 1e-3
+        a, z = m.groups()[3]
+        h = m.r[one] @ m.c1 + m.r[two] @ m.c2
+        top = m.q[m.outcomes()] @ h + m.b[m.outcomes()]
+        top[1] = -np.inf
+        within = m.q[a:z] @ h + m.b[a:z]
+        want = top[m.head + 3] - np.log(np.exp(top).sum()) + within - np.log(np.exp(within).sum())
+        assert np.allclose(p[a - 1 : z - 1], want, atol=1e-3)
+
+
+def test_spellings_add_up_to_one():
+    words = [b"ab", b"abc", b"b", "é".encode()]
+    key, each = lm_score._trigrams(pa.array(words, pa.binary()))
+    assert each.tolist() == [3, 4, 2, 3]
+    listed = [b"a", b"ab"]
+    s = lm_score.Speller(*np.unique(key, return_counts=True), listed)
+    for before in [(256, 256), (256, 97), (97, 98), (120, 121), (256, 195)]:
+        p = s.probs((before[0] * 257 + before[1]) * 257 + np.arange(257))
+        assert abs(p.sum() - 1) < 1e-9 and (p[:256] > 0).all() and (p[256] > 0) == (before != (256, 256))
+    full = lm_score.Speller(*np.unique(key, return_counts=True), [])
+    share = np.exp(full.log_probs(pa.array(listed, pa.binary()))).sum()
+    assert np.allclose(s.log_probs(pa.array([b"abc", b"zz"], pa.binary())), full.log_probs(pa.array([b"abc", b"zz"], pa.binary())) - math.log(1 - share))
+
+
+def test_rare_words_are_modelled_and_junk_is_unlikely(spark):
+    """Two languages with many more words than HEAD, in texts that stay within one; held-out texts, and junk of words that occur nowhere."""
+    rng = np.random.default_rng(5)
+    syllables = ["ba", "re", "ti", "lo", "mu", "sa", "ne", "ki", "do", "vu"], ["sch", "eit", "ung", "och", "ben", "zur", "wer", "all", "mit", "fen"]
+    words = [["".join(rng.choice(s, 5)) for _ in range(3000)] for s in syllables]
+    text = lambda lang: " ".join(rng.choice(words[lang], 60))
+    junk = lambda: " ".join("".join(rng.choice(list("qxzjwvkp0123456789"), 10)) for _ in range(60))
+    rows = [(k, text(k % 2)) for k in range(4000)] + [(k, junk()) for k in range(4000, 5500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    model, _ = lm_score.fit(docs)
+    assert len(model.words) >= 0.9 * len(set(words[0] + words[1])) > 4 * lm_score.HEAD
+    held = spark.createDataFrame([(k, text(k % 2)) for k in range(100)] + [(k, junk()) for k in range(100, 200)], "doc_id long, text string")
+    mean = {r["doc_id"]: r["mean_log_prob"] for r in lm_score.scored(held, model).collect()}
+    clean, bad = [mean[k] for k in range(100)], [mean[k] for k in range(100, 200)]
+    assert min(clean) > max(bad) + 3
+    n = Counter(w for _, t in rows for w in t.split())
+    total = sum(n.values())
+    tokens = [w for r in held.where("doc_id < 100").collect() for w in r["text"].split()]
+    assert np.mean(clean) > np.mean([math.log(n[w] / total) for w in tokens])  # frequencies alone
+    mixed = spark.createDataFrame([(k, " ".join(x for pair in zip(text(0).split(), text(1).split()) for x in pair)) for k in range(100)], "doc_id long, text string")
+    assert np.mean([r["mean_log_prob"] for r in lm_score.scored(mixed, model).collect()]) < np.mean(clean)
+
+
 # --- search ---
 
 
