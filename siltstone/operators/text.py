@@ -7,12 +7,16 @@ import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 1000, 100
 TOP = 5
+#: Vectors in a block of the search of all by all. Digits of its scores, which are equal beyond them.
+BLOCK, DIGITS = 2048, 6
 _EDGES = r"^\s+|\s+$"
 
 
@@ -88,6 +92,46 @@ def nearest(vectors: DataFrame, query: list[float], k: int = TOP, vector_col: st
     return scored.where("score IS NOT NULL").orderBy(F.desc("score"), *(ties or [])).limit(k)
 
 
+def _best(queries: pa.Table, others: pa.Table, k: int) -> pa.Table:
+    """query_id, id, score: the k best of the others for each query, by score and then id."""
+
+    def scaled(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lists = t["vector"].combine_chunks()
+        ids, flat = t["id"].to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        x = flat.reshape(len(ids), -1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        ok = norm > 0  # not where an element is null
+        return ids[ok], x[ok] / norm[ok, None]
+
+    (a, x), (b, y) = scaled(queries), scaled(others)
+    if len(a) and len(b):
+        score = np.round(x @ y.T, DIGITS) + 0.0
+        least = np.partition(score, len(b) - k, axis=1)[:, len(b) - k] if k < len(b) else np.full(len(a), -np.inf)
+        row, col = np.nonzero(score >= least[:, None])
+        order = np.lexsort((b[col], -score[row, col], row))
+        row, col = row[order], col[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[keep], col[keep]
+        found = a[row], b[col], score[row, col]
+    else:
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return pa.table(dict(zip(("query_id", "id", "score"), found)))
+
+
+def nearest_of_all(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, id, score: for every vector the k with the highest cosine, itself among them, exactly. Vectors of length 0 have no
+    cosine. Matrix products over pairs of blocks, each pair a task's group; the blocks' best are merged for each query."""
+    own = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+    blocks = max(1, math.ceil(own.count() / BLOCK))
+    own = own.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.select("id", "vector", F.col("block").alias("i"), every.alias("j")).groupBy("i", "j")
+    right = own.select("id", "vector", every.alias("i"), F.col("block").alias("j")).groupBy("i", "j")
+    found = left.cogroup(right).applyInArrow(lambda a, b: _best(a, b, k), "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def replaced(store: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
     """The store without the rows whose keys the new rows have, and the new rows."""
     return new if store is None else store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

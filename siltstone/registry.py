@@ -318,6 +318,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.nearest(vectors, query, 5, ties=["vec_id"]).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda a: a::DOUBLE) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, ROUND(list_cosine_similarity(q.v, e.v), 6) AS score FROM e AS q CROSS JOIN e),
+r AS (SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s)
+SELECT query_id, rank, id, score FROM r WHERE rank <= {text.TOP}""")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding is a query."""
+    return text.nearest_of_all(table(spark, sf_dir, "embeddings"))
+
+
 @query("SELECT doc_id, COUNT(*) AS chunks, CAST(64 AS INTEGER) AS dims FROM (SELECT doc_id, UNNEST(CASE WHEN length(t) <= 1000 THEN [0] ELSE generate_series(0, CAST(ceil((length(t) - 1000) / 900.0) AS BIGINT) * 900, 900) END) AS start FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE length(t) > 0) GROUP BY doc_id")
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = text.embedded(text.chunked(table(spark, sf_dir, "documents")), text.HashEmbedder(64))

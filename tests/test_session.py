@@ -7,6 +7,7 @@ import pytest
 
 from siltstone import nl, research
 from siltstone.errors import EngineError
+from siltstone.operators import text
 from siltstone.session import Session, from_ipc, query_file, to_ipc
 
 
@@ -105,6 +106,22 @@ def test_corpus_replaces_and_retrieves(session):
     assert session.corpora.retrieve("x", "") == [] == session.corpora.retrieve("x", "missing")
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_nearest_of_all_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(text, "BLOCK", block)
+    rows = [(k, [float(k * 7 % 11 - 5), float(k % 5 - 2), float(k % 3)]) for k in range(40)]
+    rows += [(100, [0.0, 0.0, 0.0]), (101, None), (102, rows[3][1]), (103, rows[3][1])]
+    got = text.nearest_of_all(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    live = [(i, v) for i, v in rows if v and any(v)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for q, a in live:
+        best = sorted((-round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 6), i) for i, b in live)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r["query_id"] for r in got} == {i for i, _ in live}
+
+
 def test_charts_and_citations():
     assert research.choose_chart([])["kind"] == "table"
     assert research.choose_chart([{"n": 1}])["kind"] == "stat"
