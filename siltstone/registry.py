@@ -164,6 +164,24 @@ for _name, _down in (("sort_asc_nulls_last", False), ("sort_desc_nulls_last", Tr
     QUERIES[_name], ORACLE[_name] = _sorted_nulls(_down)
 
 
+def _sorted_whole(descending: bool) -> tuple[Query, str]:
+    """Every row with its place in the order, so that the nulls' places show."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = ("flag", "l_orderkey", "l_linenumber")
+        keys = (ir.SortKey(ir.Column("flag"), descending), ir.SortKey(ir.Column("l_orderkey")), ir.SortKey(ir.Column("l_linenumber")))
+        df = _over(_with_nulls(spark, sf_dir), ir.Sort(ir.Project(ir.Scan("x"), tuple(map(ir.Column, columns)), columns), keys))
+        placed = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+        return spark.createDataFrame(placed, T.StructType([*df.schema.fields, T.StructField("place", T.LongType())]))
+
+    way = "DESC" if descending else "ASC"
+    return run, f"SELECT NULLIF(l_returnflag, 'N') AS flag, l_orderkey, l_linenumber, ROW_NUMBER() OVER (ORDER BY NULLIF(l_returnflag, 'N') {way} NULLS LAST, l_orderkey, l_linenumber) AS place FROM lineitem"
+
+
+for _name, _down in (("sort_asc_nulls_last_all", False), ("sort_desc_nulls_last_all", True)):
+    QUERIES[_name], ORACLE[_name] = _sorted_whole(_down)
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 OR NULLIF(l_returnflag, 'N') = 'A'")
 def or_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A null on one side of OR doesn't hide a true on the other."""
