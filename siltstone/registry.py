@@ -351,6 +351,12 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.size("embedding")).alias("dims"))
 
 
+@query()
+def embed_chunks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors themselves, in the default size; the tests hold them against brute force, as SQL has no such hash."""
+    return text.embedded(text.chunked(table(spark, sf_dir, "documents")), text.HashEmbedder()).select("doc_id", "chunk_index", "embedding")
+
+
 # --- sources and sinks, through a scratch folder on a file system that executors share ---
 
 
