@@ -1,19 +1,20 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts a word's vector linearly from those of the two words before it, and scores a word by
+The model predicts a word's vector linearly from those of the CONTEXT words before it, and scores a word by
 the product of the prediction with the word's own vector, plus a bias. The vocabulary follows the corpus: every word
-that occurs LEAST times and makes up SHARE of all tokens has vectors of its own. Any other word is the class 0 as a context; as a
-target it has the class's probability times that of its spelling, by a model of bytes without the listed words' share.
+that occurs LEAST times and makes up SHARE of all tokens has vectors of its own, which bounds it by 1 / SHARE. Any other word is the class 0 as a
+context; as a target it has the class's probability times that of its spelling, by a model of bytes without the listed words' share.
 
-Words beyond the HEAD most frequent lie in groups of neighbours by frequency, as many as a group has words. Such a word's probability is its
-group's among head words and groups, times its own within the group, so a normaliser costs the root of the vocabulary's size.
+Words beyond the HEAD most frequent are leaves of a tree of three levels: neighbours by frequency form groups, neighbouring groups form
+sections, each with about the cube root of the number of such words. A word's probability is its section's among
+head words and sections, times its group's in the section, times its own in the group, so a normaliser costs three cube roots.
 
 The vocabulary comes from counts over all documents. Training goes over every token: each task makes its own
-pass over its part of the corpus in numpy, from the same start, and the parameters are averaged (parameter mixing), a word's
+pass over its part of the corpus in numpy, from the same start, and what the parameters moved is averaged (parameter mixing), a word's
 weighted by its tokens in each task. A task sends the vectors of the words it saw, so what is gathered grows with the corpus.
 
 Noise-contrastive training needs no normaliser, scoring does: log-probabilities are normalised exactly, so exp(log_prob) adds up to
-one over all texts of a length. Normalisers are found in batched matrix products, once for each pair of words in a batch.
+one over all texts of a length. Normalisers are batched matrix products: of all tokens with the top level, and of the tokens below each section and group with its children.
 
 Defined results: null and empty texts have 0 tokens, log_prob 0 and a null mean; a text's first words are predicted
 from a start mark; repeated rows score alike; an empty corpus gives no rows.
@@ -37,10 +38,10 @@ from siltstone.llm.token_ids import token_counts
 #: A word with vectors of its own occurs so often, and is that part of all tokens. Two more ids are the other words (0) and the start mark (1), which never follows anything.
 LEAST, SHARE = 5, 1e-7
 #: So many words are in no group.
-HEAD = 1022
-DIMS, NOISE, BATCH, RATE, SEED = 16, 64, 8192, 0.15, 11
-#: Rows of a parameter that travel together. Tokens scored at once, and contexts normalised at once.
-BLOCK, TOKENS, CONTEXTS = 4096, 1 << 18, 512
+HEAD = 126
+DIMS, CONTEXT, NOISE, BATCH, RATE, SEED = 24, 3, 64, 8192, 0.15, 11
+#: Rows of a parameter that travel together. Tokens scored at once, and rows of a matrix product.
+BLOCK, TOKENS, ROWS = 4096, 1 << 20, 512
 #: The symbol before and after a word's bytes; weight of the shorter context in a spelling.
 EDGE, PRIOR = 256, 20.0
 
@@ -62,7 +63,7 @@ def _trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Speller:
     """Probabilities of words that aren't listed: each byte from the two before it. keys, n: trigrams by number, and how often they occur."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, listed: list[bytes]):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, listed: pa.Array):
         order = np.argsort(keys)
         self.keys, self.n = keys[order], n[order].astype(np.float64)
         self.pair = np.bincount(self.keys // 257, weights=self.n, minlength=257 * 257)
@@ -71,7 +72,7 @@ class Speller:
         even[EDGE], even[EDGE, EDGE] = 1 / 256, 0  # no word is empty
         self.one = (two + PRIOR * even) / (two.sum(axis=1, keepdims=True) + PRIOR)
         self.log_rest = 0.0
-        self.log_rest = math.log1p(-float(np.exp(self.log_probs(pa.array(listed, pa.binary()))).sum()))
+        self.log_rest = math.log1p(-float(np.exp(self.log_probs(listed)).sum()))
 
     def probs(self, key: np.ndarray) -> np.ndarray:
         """Of the last symbol of each trigram after the two before it."""
@@ -90,32 +91,18 @@ class Speller:
 
 @dataclass
 class Model:
-    """words: ids from 2 on; context vectors r, their maps c1 (the word before) and c2 (the one before that), target vectors q, biases b, log frequencies.
-    q, b and log_noise have a row for each id and then for each group; those of words in groups are among all such words."""
+    """words: ids from 2 on; context vectors r, the maps c of the CONTEXT words before (the nearest first, one below the other), target vectors q,
+    biases b, log frequencies. q, b and log_noise have a row for each id, then for each group, then for each section; those of words in groups are
+    among all such words, those of groups among all groups."""
 
-    words: list[bytes]
+    words: pa.Array
     r: np.ndarray
-    c1: np.ndarray
-    c2: np.ndarray
+    c: np.ndarray
     q: np.ndarray
     b: np.ndarray
     log_noise: np.ndarray
     speller: Speller | None = None
 
-    def names(self) -> tuple[str, ...]:
-        return ("r", "c1", "c2", "q", "b")
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.names()]).astype(np.float64)
-
-    def with_flat(self, flat: np.ndarray) -> Model:
-        parts, at = {}, 0
-        for n in self.names():
-            own = getattr(self, n)
-            parts[n] = flat[at : at + own.size].reshape(own.shape).astype(np.float32)
-            at += own.size
-        return replace(self, **parts)
-
     @property
     def ids(self) -> int:
         return len(self.words) + 2
@@ -127,33 +114,39 @@ class Model:
 
     @property
     def width(self) -> int:
-        """Words in a group; the last has fewer."""
-        return max(1, math.isqrt(max(0, self.ids - self.head - 1)) + 1)
+        """Words in a group, and groups in a section; the last has fewer."""
+        return max(1, math.ceil((self.ids - self.head) ** (1 / 3) - 1e-9))
 
-    def groups(self) -> list[tuple[int, int]]:
-        return [(at, min(at + self.width, self.ids)) for at in range(self.head, self.ids, self.width)]
+    @property
+    def groups(self) -> int:
+        return -(-(self.ids - self.head) // self.width)
+
+    @property
+    def sections(self) -> int:
+        return -(-self.groups // self.width)
 
     def outcomes(self) -> np.ndarray:
-        """Rows of q of head words and groups."""
-        return np.concatenate((np.arange(self.head), np.arange(self.ids, self.ids + len(self.groups()))))
+        """Rows of q of head words and sections."""
+        return np.concatenate((np.arange(self.head), np.arange(self.ids + self.groups, self.ids + self.groups + self.sections)))
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        """Where the words, or their groups, are among outcomes()."""
-        return np.where(ids < self.head, ids, self.head + (ids - self.head) // self.width)
+        """Where the words, or their sections, are among outcomes()."""
+        return np.where(ids < self.head, ids, self.head + (ids - self.head) // self.width**2)
 
 
-def start(words: list[bytes], counts: np.ndarray, seed: int = SEED) -> Model:
+def start(words: pa.Array, counts: np.ndarray, seed: int = SEED) -> Model:
     """Small random vectors; the biases are log frequencies, so the start is the unigram model. counts: of other words, the start mark, words."""
-    v = len(words) + 2
     rng = np.random.default_rng(seed)
     p = counts.astype(np.float64)
-    p[1] = 0
     p = np.maximum(p, 0.5)
     p[1] = 1e-30
-    near = np.eye(DIMS, dtype=np.float32)
-    model = Model(words, rng.normal(0, 0.1, (v, DIMS)).astype(np.float32), near.copy(), 0.5 * near, np.zeros(0), np.zeros(0), np.zeros(0))
-    groups, tail = model.groups(), p[model.head :]
-    log_noise = np.log(np.concatenate((p[: model.head] / p.sum(), tail / max(tail.sum(), 0.5), [p[a:z].sum() / p.sum() for a, z in groups]))).astype(np.float32)
+    near = np.concatenate([np.eye(DIMS, dtype=np.float32) / (k + 1) for k in range(CONTEXT)])
+    model = Model(words, rng.normal(0, 0.1, (len(p), DIMS)).astype(np.float32), near, np.zeros(0), np.zeros(0), np.zeros(0))
+    tail = p[model.head :]
+    group = np.add.reduceat(tail, np.arange(model.groups) * model.width) if len(tail) else tail
+    section = np.add.reduceat(group, np.arange(model.sections) * model.width) if len(tail) else tail
+    rest = max(tail.sum(), 0.5)
+    log_noise = np.log(np.concatenate((p[: model.head] / p.sum(), tail / rest, group / rest, section / p.sum()))).astype(np.float32)
     return replace(model, q=rng.normal(0, 0.1, (len(log_noise), DIMS)).astype(np.float32), b=log_noise.copy(), log_noise=log_noise)
 
 
@@ -170,91 +163,98 @@ def ids_of(texts: pa.Array, words: pa.Array, speller: Speller) -> tuple[np.ndarr
     return known[codes].astype(np.uint32), counts, np.bincount(doc, weights=spelled[codes], minlength=len(counts))
 
 
-def contexts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each, and the one before that; 1 where there is none."""
-    one, two = np.ones(len(ids), np.int64), np.ones(len(ids), np.int64)
-    one[1:], two[2:] = ids[:-1], ids[:-2]
-    begin = offsets_of(counts)[:-1][counts > 0]
-    one[begin] = two[begin] = 1
-    later = begin[counts[counts > 0] > 1] + 1
-    two[later] = 1
-    return one, two
+def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """int32[tokens, CONTEXT]: the word before each, the one before that, and so on; 1 where there is none."""
+    place = np.arange(len(ids)) - np.repeat(offsets_of(counts)[:-1], counts)
+    out = np.ones((len(ids), CONTEXT), np.int32)
+    for k in range(1, CONTEXT + 1):
+        out[k:, k - 1] = np.where(place[k:] >= k, ids[:-k], 1)
+    return out
 
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct indices, and the sum of each one's rows."""
-    order = np.argsort(index, kind="stable")
-    at = index[order]
+    key = index.astype(np.int64) << 20 | np.arange(len(index))  # sorting numbers is much faster than sorting their places
+    key.sort()
+    at = key >> 20
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[new], np.add.reduceat(rows[order], new, axis=0)
+    return at[new], np.add.reduceat(rows[key & (1 << 20) - 1], new, axis=0)
 
 
 class Trainer:
-    """One pass of noise-contrastive training with AdaGrad. hits: how often each row was trained on, other than as noise."""
+    """One pass of noise-contrastive training with AdaGrad, whose steps are a row's. hits: how often each row was trained on, other than as noise."""
 
     def __init__(self, model: Model, seed: int):
-        self.m = replace(model, **{n: getattr(model, n).copy() for n in model.names()})
+        self.m = replace(model, **{n: getattr(model, n).copy() for n in ("r", "c", "q", "b")})
         self.rng = np.random.default_rng(seed)
-        self.seen = {n: np.full(getattr(model, n).shape, 1e-3, np.float32) for n in model.names()}
-        self.outcomes = model.outcomes()
-        self.top, self.tail = ((rows, np.cumsum(np.exp(model.log_noise[rows].astype(np.float64)))) for rows in (self.outcomes, np.arange(model.head, model.ids)))
+        self.seen = {"r": np.full(len(model.r), 1e-3, np.float32), "q": np.full(len(model.q), 1e-3, np.float32), "b": np.full(len(model.b), 1e-3, np.float32), "c": np.full(len(model.c), 1e-3, np.float32)}
+        among = model.outcomes(), np.arange(model.ids, model.ids + model.groups), np.arange(model.head, model.ids)
+        self.noise = [(rows, np.cumsum(np.exp(model.log_noise[rows].astype(np.float64)))) for rows in among]
         self.hits = {"r": np.zeros(model.ids, np.int64), "q": np.zeros(len(model.b), np.int64)}
         self.tokens = 0
 
-    def _contrast(self, h: np.ndarray, true: np.ndarray, among: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """NOISE rows drawn from `among` (rows, their shares added up) are noise for all: the gradients of h, the rows of q, and their gradients, the bias's last."""
-        m, (among, cumulative) = self.m, among
-        noise = among[np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), len(among) - 1)]
-        q, qn = m.q[true], m.q[noise]
-        log_k = np.float32(np.log(NOISE))
-        right = np.einsum("ij,ij->i", h, q) + m.b[true] - m.log_noise[true] - log_k
-        wrong = h @ qn.T + (m.b[noise] - m.log_noise[noise] - log_k)
-        dt = -1 / (1 + np.exp(np.clip(right, -30, 30))) / n
-        df = 1 / (1 + np.exp(-np.clip(wrong, -30, 30))) / n
-        rows = np.concatenate((np.column_stack((dt[:, None] * h, dt)), np.column_stack((df.T @ h, df.sum(axis=0)))))
-        return dt[:, None] * q + df @ qn, np.concatenate((true, noise)), rows
-
-    def _move(self, name: str, at: np.ndarray | slice, g: np.ndarray) -> None:
-        g = g * np.float32(BATCH)
-        seen = self.seen[name][at] + g * g
-        self.seen[name][at] = seen
-        getattr(self.m, name)[at] -= np.float32(RATE) * g / np.sqrt(seen)
-
-    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
-        m, n = self.m, len(word)
-        r1, r2 = m.r[one], m.r[two]
-        h = r1 @ m.c1 + r2 @ m.c2
-        dh, index, rows = self._contrast(h, self.outcomes[m.places(word)], self.top, n)
+    def levels(self, word: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+        """For each level of the tree: which of the words have an outcome there, and its row in q."""
+        m = self.m
         rare = np.flatnonzero(word >= m.head)
-        if len(rare):
-            more, index_in, rows_in = self._contrast(h[rare], word[rare], self.tail, n)
-            dh[rare] += more
-            index, rows = np.concatenate((index, index_in)), np.concatenate((rows, rows_in))
-        dr = np.concatenate((dh @ m.c1.T, dh @ m.c2.T))
-        dc1, dc2 = r1.T @ dh, r2.T @ dh
-        at, g = _summed(index, rows)
-        self._move("q", at, g[:, :-1])
-        self._move("b", at, g[:, -1])
-        self._move("c1", slice(None), dc1)
-        self._move("c2", slice(None), dc2)
-        self._move("r", *_summed(np.concatenate((one, two)), dr))
-        self.tokens += n
+        own = word[rare]
+        return [(slice(None), self.noise[0][0][m.places(word)]), (rare, m.ids + (own - m.head) // m.width), (rare, own)]
+
+    def contrast(self, h: np.ndarray, true: np.ndarray, noise: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of q in `noise` are noise for all. The gradients of h, and of the rows of q: first the true ones, then the noise; the bias's last."""
+        m = self.m
+        q, qn, log_k = m.q[true], m.q[noise], np.float32(np.log(len(noise)))
+        right = np.einsum("ij,ij->i", h, q) + (m.b[true] - m.log_noise[true] - log_k)
+        wrong = h @ qn.T
+        wrong += m.b[noise] - m.log_noise[noise] - log_k
+        dt = np.float32(-1 / n) / (1 + np.exp(np.clip(right, -30, 30)))
+        df = np.exp(np.clip(-wrong, -30, 30, out=wrong), out=wrong)
+        df += 1
+        np.divide(np.float32(1 / n), df, out=df)
+        rows = np.empty((len(true) + len(noise), h.shape[1] + 1), h.dtype)
+        rows[: len(true), :-1], rows[: len(true), -1] = dt[:, None] * h, dt
+        rows[len(true) :, :-1], rows[len(true) :, -1] = df.T @ h, df.sum(axis=0)
+        return dt[:, None] * q + df @ qn, rows
+
+    def gradients(self, before: np.ndarray, word: np.ndarray, noise: list[np.ndarray]) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+        """Of the mean loss over the words, by parameter: which rows, and their gradients. noise: rows of q for each level."""
+        m, n = self.m, len(word)
+        r = m.r[before].reshape(n, -1)
+        h = r @ m.c
+        dh, index, rows = np.zeros_like(h), [], []
+        for (which, true), among in zip(self.levels(word), noise):
+            if len(true):
+                d, g = self.contrast(h[which], true, among, n)
+                dh[which] += d
+                index += [true, among]
+                rows.append(g)
+        at, g = _summed(np.concatenate(index), np.concatenate(rows))
+        return {"q": (at, g[:, :-1]), "b": (at, g[:, -1]), "c": (slice(None), r.T @ dh), "r": _summed(before.ravel(), (dh @ m.c.T).reshape(-1, DIMS))}
+
+    def step(self, before: np.ndarray, word: np.ndarray) -> None:
+        noise = [rows[np.minimum(np.searchsorted(shares, self.rng.random(NOISE) * shares[-1]), len(rows) - 1)] if len(rows) else rows for rows, shares in self.noise]
+        for name, (at, g) in self.gradients(before, word, noise).items():
+            g = g * np.float32(BATCH)
+            seen = self.seen[name][at] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g)
+            self.seen[name][at] = seen
+            rate = np.float32(RATE) / np.sqrt(seen)
+            getattr(self.m, name)[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
+        self.tokens += len(word)
 
     def run(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        one, two = contexts(ids, counts)
+        before = contexts(ids, counts)
         for at in range(0, len(ids), BATCH):
-            self.step(one[at : at + BATCH], two[at : at + BATCH], ids[at : at + BATCH])
-        v, rows = self.m.ids, len(self.m.b)
-        self.hits["r"] += np.bincount(one, minlength=v) + np.bincount(two, minlength=v)
-        self.hits["q"] += np.bincount(self.outcomes[self.m.places(ids)], minlength=rows) + np.bincount(ids[ids >= self.m.head], minlength=rows)
+            self.step(before[at : at + BATCH], ids[at : at + BATCH])
+        self.hits["r"] += np.bincount(before.ravel(), minlength=self.m.ids)
+        for _, true in self.levels(ids):
+            self.hits["q"] += np.bincount(true, minlength=len(self.m.b))
 
 
 class Scorer:
     """Normalised log-probabilities."""
 
     def __init__(self, model: Model):
-        self.m, self.v = model, model.ids
-        self.h1, self.h2 = (np.column_stack((model.r @ c, np.full(self.v, 0.5, np.float32))) for c in (model.c1, model.c2))  # the bias's 1 in two halves
+        self.m = model
         self.q = np.column_stack((model.q, model.b))
         self.top = self.q[model.outcomes()]
         self.top[1, -1] = -1e30
@@ -265,25 +265,39 @@ class Scorer:
         logit -= top[:, None]
         return top + np.log(np.exp(logit, out=logit).sum(axis=1))
 
-    def _some(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        pair, which = np.unique(one * self.v + two, return_inverse=True)
-        h = self.h1[pair // self.v] + self.h2[pair % self.v]
-        log_z = np.concatenate([self._log_z(h[at : at + CONTEXTS] @ self.top.T) for at in range(0, len(h), CONTEXTS)])
-        out = np.einsum("ij,ij->i", h[which], self.top[self.m.places(ids)]) - log_z[which]
-        rare = np.flatnonzero(ids >= self.m.head)
-        rare = rare[np.argsort(ids[rare], kind="stable")]
-        for a, z in self.m.groups() if len(rare) else ():
-            first, last = np.searchsorted(ids[rare], (a, z))
-            for at in range(first, last, CONTEXTS):
-                own = rare[at : min(at + CONTEXTS, last)]
-                logit = h[which[own]] @ self.q[a:z].T
-                out[own] += logit[np.arange(len(own)), ids[own] - a]
-                out[own] -= self._log_z(logit)
+    def _under(self, h: np.ndarray, child: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the children, which come in order, among their parents' `width` children each; q: the level's rows."""
+        w = self.m.width
+        out, bounds = np.empty(len(child), np.float32), np.searchsorted(child, np.arange(0, len(q) + w, w))
+        for p in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+            own = q[p * w : (p + 1) * w]
+            for at in range(bounds[p], bounds[p + 1], ROWS):
+                stop = min(at + ROWS, bounds[p + 1])
+                logit = h[at:stop] @ own.T
+                true = logit[np.arange(stop - at), child[at:stop] - p * w]
+                out[at:stop] = true - self._log_z(logit)
+        return out
+
+    def _some(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
+        m, place = self.m, self.m.places(ids)
+        h, out = np.empty((len(ids), DIMS + 1), np.float32), np.empty(len(ids), np.float32)
+        h[:, DIMS] = 1
+        for at in range(0, len(ids), ROWS):
+            own = slice(at, at + ROWS)
+            h[own, :DIMS] = m.r[before[own]].reshape(-1, CONTEXT * DIMS) @ m.c
+            logit = h[own] @ self.top.T
+            true = logit[np.arange(len(logit)), place[own]]
+            out[own] = true - self._log_z(logit)
+        rare = np.flatnonzero(ids >= m.head)
+        if len(rare):
+            rare = rare[np.argsort(ids[rare])]
+            child, below = ids[rare] - m.head, h[rare]
+            out[rare] += self._under(below, child // m.width, self.q[m.ids : m.ids + m.groups]) + self._under(below, child, self.q[m.head : m.ids])
         return out.astype(np.float64)
 
-    def log_probs(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    def log_probs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Of head words and class 0, and of words in groups; an other word's spelling comes on top."""
-        return np.concatenate([self._some(*(x[at : at + TOKENS] for x in (ids, one, two))) for at in range(0, len(ids), TOKENS)])
+        return np.concatenate([self._some(ids[at : at + TOKENS], before[at : at + TOKENS]) for at in range(0, len(ids), TOKENS)])
 
 
 def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,8 +305,7 @@ def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.speller))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, speller = shared.value
-        known = pa.array(words, pa.binary())
+        known, speller = shared.value
         for batch in slices(batches, "text"):
             ids, counts, spelled = ids_of(batch.column("text"), known, speller)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(ids.view(np.uint8), 4 * offsets_of(counts)), pa.array(spelled)], ["doc_id", "ids", "spelled"])
@@ -306,27 +319,23 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).astype(np.int64), counts
 
 
-def _parts(m: Model) -> dict[str, np.ndarray]:
-    return {"r": m.r, "q": np.column_stack((m.q, m.b)), "c": np.concatenate((m.c1, m.c2))}
-
-
 _MIXED = "part string, block long, rows binary, weight binary, vectors binary"
 
 
 def _packed(part: str, block: int, rows: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
-    data = [x.astype(kind).tobytes() for x, kind in ((rows, np.int32), (weight, np.float64), (vectors, np.float32))]
+    data = [x.astype(kind).tobytes() for x, kind in ((rows, np.uint16), (weight, np.float32), (vectors, np.float16))]
     return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), *(pa.array([x], pa.binary()) for x in data)], ["part", "block", "rows", "weight", "vectors"])
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows within the block, weights, vectors."""
-    rows = np.frombuffer(row["rows"], np.int32)
-    return rows, np.frombuffer(row["weight"], np.float64), np.frombuffer(row["vectors"], np.float32).reshape(len(rows), -1)
+    rows = np.frombuffer(row["rows"], np.uint16)
+    return rows, np.frombuffer(row["weight"], np.float32), np.frombuffer(row["vectors"], np.float16).reshape(len(rows), -1)
 
 
 def trained(ids: DataFrame, model: Model) -> Model:
-    """One round of parameter mixing over all tokens. A row that no task trained stays as at the start."""
-    shared = ids.sparkSession.sparkContext.broadcast(model)
+    """One round of parameter mixing over all tokens. A row that no task trained stays as at the start. What travels is how far each row moved."""
+    shared = ids.sparkSession.sparkContext.broadcast(replace(model, speller=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = None
@@ -336,34 +345,42 @@ def trained(ids: DataFrame, model: Model) -> Model:
                 trainer = Trainer(shared.value, SEED)  # the same for a task that is run again
             trainer.run(words, counts)
         if trainer is not None and trainer.tokens:
-            hits = trainer.hits | {"c": np.full(2 * DIMS, trainer.tokens)}
-            for part, vectors in _parts(trainer.m).items():
-                for at in range(0, len(vectors), BLOCK):
+            m, old = trainer.m, shared.value
+            hits = trainer.hits | {"c": np.full(len(m.c), trainer.tokens)}
+            for part in ("r", "q", "c"):
+                for at in range(0, len(hits[part]), BLOCK):
                     rows = np.flatnonzero(hits[part][at : at + BLOCK])
                     if len(rows):
-                        yield _packed(part, at // BLOCK, rows, hits[part][at + rows], vectors[at + rows])
+                        own = at + rows
+                        moved = getattr(m, part)[own] - getattr(old, part)[own]
+                        yield _packed(part, at // BLOCK, rows, hits[part][own], np.column_stack((moved, m.b[own] - old.b[own])) if part == "q" else moved)
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 rows, weight, vectors = _unpacked(row)
                 total, sum_ = sums.setdefault((row["part"], row["block"]), (np.zeros(BLOCK), np.zeros((BLOCK, vectors.shape[1]))))
                 total[rows] += weight
-                sum_[rows] += weight[:, None] * vectors
+                sum_[rows] += weight[:, None] * vectors.astype(np.float32)
         for (part, block), (total, sum_) in sums.items():
             rows = np.flatnonzero(total)
             yield _packed(part, block, rows, total[rows], sum_[rows] / total[rows, None])
 
-    parts = _parts(model) | {"r": model.r.copy()}
+    out = replace(model, **{n: getattr(model, n).copy() for n in ("r", "c", "q", "b")})
     for batch in ids.mapInArrow(run, _MIXED).repartition("part", "block").mapInArrow(mixed, _MIXED).toArrow().to_batches(max_chunksize=16):
         for row in batch.to_pylist():
-            rows, _, vectors = _unpacked(row)
-            parts[row["part"]][row["block"] * BLOCK + rows] = vectors
-    return replace(model, r=parts["r"], c1=parts["c"][:DIMS], c2=parts["c"][DIMS:], q=np.ascontiguousarray(parts["q"][:, :-1]), b=parts["q"][:, -1].copy())
+            rows, _, moved = _unpacked(row)
+            at = row["block"] * BLOCK + rows.astype(np.int64)
+            if row["part"] == "q":
+                out.b[at] += moved[:, -1]
+                moved = moved[:, :-1]
+            getattr(out, row["part"])[at] += moved
+    return out
 
 
-def spelling(counts: DataFrame, listed: list[bytes]) -> Speller:
+def spelling(counts: DataFrame, listed: pa.Array) -> Speller:
     """counts: of the words that aren't listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +401,7 @@ def fit(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: s
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(least, math.ceil(total * SHARE))
     top = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
-    words, n = top["token"].to_pylist(), top["n"].to_numpy()
+    words, n = top["token"].combine_chunks().cast(pa.binary()), top["n"].to_numpy()
     model = start(words, np.concatenate(([total - n.sum(), 0], n)).astype(np.float64))
     model.speller = spelling(counts.where(F.col("n") < least), words)
     ids = coded(docs, model, id_col, text_col)
@@ -397,13 +414,13 @@ def scored(docs: DataFrame, model: Model | None = None, least: int = LEAST, id_c
         model, ids = fit(docs, least, id_col, text_col)
     else:
         ids = coded(docs, model, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, speller=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in slices(batches, "ids", 4 << 20):
             words, counts = _ids(batch)
-            p = scorer.log_probs(words, *contexts(words, counts)) if len(words) else np.zeros(0)
+            p = scorer.log_probs(words, contexts(words, counts)) if len(words) else np.zeros(0)
             total = np.concatenate(([0.0], np.cumsum(p)))
             at = offsets_of(counts)
             out = total[at[1:]] - total[at[:-1]] + batch.column("spelled").to_numpy()

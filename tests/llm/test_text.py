@@ -1,6 +1,8 @@
 """Token ids, language-model scoring, top-k search, BPE, toxicity, language ID."""
 
 import base64
+import dataclasses
+import itertools
 import math
 from collections import Counter, defaultdict
 
@@ -68,25 +70,85 @@ def test_most_frequent_with_ties(spark, size):
 # --- language model ---
 
 
-def test_probabilities_add_up_to_one():
-    rng = np.random.default_rng(0)
-    words = [b"a", b"b", b"c", b"d"]
-    m = lm_score.start(words, np.array([5, 0, 9, 4, 3, 1.0]))
-    m = m.with_flat(m.flat() + rng.normal(0, 0.3, m.flat().shape))
-    s = lm_score.Scorer(m)
-    for one in range(6):
-        for two in range(6):
-            ids = np.array([k for k in range(6) if k != 1])
-            p = s.log_probs(ids, np.full(5, one), np.full(5, two))
-            assert abs(np.exp(p).sum() - 1) < 1e-4
-            h = m.r[one] @ m.c1 + m.r[two] @ m.c2
-            logit = m.q[ids] @ h + m.b[ids]
-            assert np.allclose(p, logit - np.log(np.exp(logit).sum()), atol=1e-4)
+def random_model(n, seed):
+    """A tree with n words, and random parameters."""
+    rng = np.random.default_rng(seed)
+    m = lm_score.start(pa.array([b"%d" % k for k in range(n)], pa.binary()), np.array([50, 0, *range(2 * n, n, -1)], float))
+    for x in (m.r, m.c, m.q, m.b):
+        x += rng.normal(0, 0.3, x.shape).astype(np.float32)
+    return m
+
+
+def log_softmax(x):
+    return x - np.log(np.exp(x).sum())
+
+
+def test_probabilities_without_a_tree():
+    m = random_model(4, 0)
+    for before in itertools.product(range(6), repeat=3):
+        ids = np.array([k for k in range(6) if k != 1])
+        p = lm_score.Scorer(m).log_probs(ids, np.array([before] * 5))
+        h = sum(m.r[w] @ m.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before))
+        assert abs(np.exp(p).sum() - 1) < 1e-4 and np.allclose(p, log_softmax(m.q[ids] @ h + m.b[ids]), atol=1e-4)
+
+
+@pytest.mark.parametrize("words", [lm_score.HEAD + 1, lm_score.HEAD + 500])
+def test_probabilities_in_a_tree_by_force(words):
+    """Every word's: its section's among head words and sections, its group's in the section, its own in the group."""
+    m = random_model(words, 1)
+    ids = np.array([k for k in range(words + 2) if k != 1])
+    assert m.head == lm_score.HEAD + 2 and m.width**3 >= words - lm_score.HEAD > (m.width - 1) ** 3
+    for before in ((1, 1, 1), (0, 7, 1), (words, words + 1, 3)):
+        p = lm_score.Scorer(m).log_probs(ids, np.array([before] * len(ids)))
+        assert abs(np.exp(p).sum() - 1) < 1e-3
+        h = sum(m.r[w] @ m.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before))
+        logit = m.q @ h + m.b
+        top = log_softmax(np.concatenate((logit[:1], logit[2 : m.head], logit[m.ids + m.groups :])))
+        want = dict(zip([0, *range(2, m.head)], top))
+        for s in range(m.sections):
+            groups = range(s * m.width, min((s + 1) * m.width, m.groups))
+            mid = log_softmax(logit[[m.ids + g for g in groups]])
+            for g, share in zip(groups, mid):
+                own = range(m.head + g * m.width, min(m.head + (g + 1) * m.width, m.ids))
+                want |= {w: top[m.head - 1 + s] + share + x for w, x in zip(own, log_softmax(logit[list(own)]))}
+        assert np.allclose(p, [want[k] for k in ids], atol=1e-3)
+
+
+def test_contrastive_gradients_are_finite_differences(monkeypatch):
+    """Of the loss as the definition has it: sigmoids of the score less the logarithm of the noise's expected number."""
+    m = random_model(lm_score.HEAD + 60, 2)
+    m = dataclasses.replace(m, **{n: getattr(m, n).astype(np.float64) for n in ("r", "c", "q", "b", "log_noise")})
+    rng = np.random.default_rng(3)
+    word, before = np.array([0, 5, 5, 150, 170, 171, 2]), rng.integers(0, m.ids, (7, 3)).astype(np.int32)
+    t = lm_score.Trainer(m, 0)
+    noise = [rng.choice(rows, 6) for rows, _ in t.noise]
+
+    def loss(x):
+        total = 0.0
+        for which, (level, true) in enumerate(t.levels(word)):
+            for i, row in zip(np.arange(len(word))[level], true):
+                h = sum(x.r[w] @ x.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before[i]))
+                score = lambda row: x.q[row] @ h + x.b[row] - x.log_noise[row] - math.log(6)
+                total += np.log1p(np.exp(-score(row))) + sum(np.log1p(np.exp(score(k))) for k in noise[which])
+        return total / len(word)
+
+    for name, (at, g) in t.gradients(before, word, noise).items():
+        full = np.zeros_like(getattr(m, name))
+        full[at] = g
+        entries = np.argwhere(full != 0)
+        assert len(entries) > 10
+        for entry in map(tuple, entries[rng.choice(len(entries), 12)]):
+            moved = []
+            for step in (1e-5, -1e-5):
+                value = getattr(m, name).copy()
+                value[entry] += step
+                moved.append(loss(dataclasses.replace(m, **{name: value})))
+            assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(full[entry], rel=1e-3, abs=1e-6), name
 
 
 def test_contexts():
-    one, two = lm_score.contexts(np.array([7, 8, 9, 5, 6]), np.array([3, 0, 1, 1]))
-    assert one.tolist() == [1, 7, 8, 1, 1] and two.tolist() == [1, 1, 7, 1, 1]
+    got = lm_score.contexts(np.array([7, 8, 9, 4, 5, 6]), np.array([4, 0, 1, 1]))
+    assert got.tolist() == [[1, 1, 1], [7, 1, 1], [8, 7, 1], [9, 8, 7], [1, 1, 1], [1, 1, 1]]
 
 
 def test_training_beats_word_frequencies(spark):
@@ -123,36 +185,17 @@ def test_scores_of_odd_rows(odd, empty):
     assert lm_score.scored(empty).count() == 0
 
 
-def test_probabilities_of_words_in_groups_add_up_to_one():
-    rng = np.random.default_rng(1)
-    n = lm_score.HEAD + 500
-    m = lm_score.start([b"%d" % k for k in range(n)], np.array([50, 0, *range(2 * n, n, -1)], float))
-    assert [a for a, _ in m.groups()][0] == lm_score.HEAD + 2 and m.groups()[-1][1] == n + 2
-    m = m.with_flat(m.flat() + rng.normal(0, 0.3, m.flat().shape))
-    ids = np.array([k for k in range(n + 2) if k != 1])
-    for one, two in ((1, 1), (0, 7), (n, n + 1)):
-        p = lm_score.Scorer(m).log_probs(ids, np.full(len(ids), one), np.full(len(ids), two))
-        assert abs(np.exp(p).sum() - 1) < 1e-3
-        a, z = m.groups()[3]
-        h = m.r[one] @ m.c1 + m.r[two] @ m.c2
-        top = m.q[m.outcomes()] @ h + m.b[m.outcomes()]
-        top[1] = -np.inf
-        within = m.q[a:z] @ h + m.b[a:z]
-        want = top[m.head + 3] - np.log(np.exp(top).sum()) + within - np.log(np.exp(within).sum())
-        assert np.allclose(p[a - 1 : z - 1], want, atol=1e-3)
-
-
 def test_spellings_add_up_to_one():
     words = [b"ab", b"abc", b"b", "é".encode()]
     key, each = lm_score._trigrams(pa.array(words, pa.binary()))
     assert each.tolist() == [3, 4, 2, 3]
-    listed = [b"a", b"ab"]
+    listed = pa.array([b"a", b"ab"], pa.binary())
     s = lm_score.Speller(*np.unique(key, return_counts=True), listed)
     for before in [(256, 256), (256, 97), (97, 98), (120, 121), (256, 195)]:
         p = s.probs((before[0] * 257 + before[1]) * 257 + np.arange(257))
         assert abs(p.sum() - 1) < 1e-9 and (p[:256] > 0).all() and (p[256] > 0) == (before != (256, 256))
-    full = lm_score.Speller(*np.unique(key, return_counts=True), [])
-    share = np.exp(full.log_probs(pa.array(listed, pa.binary()))).sum()
+    full = lm_score.Speller(*np.unique(key, return_counts=True), pa.array([], pa.binary()))
+    share = np.exp(full.log_probs(listed)).sum()
     assert np.allclose(s.log_probs(pa.array([b"abc", b"zz"], pa.binary())), full.log_probs(pa.array([b"abc", b"zz"], pa.binary())) - math.log(1 - share))
 
 
