@@ -38,8 +38,8 @@ from siltstone.llm.token_ids import token_counts
 #: A word with vectors of its own occurs so often, and is that part of all tokens. Two more ids are the other words (0) and the start mark (1), which never follows anything.
 LEAST, SHARE = 5, 1e-7
 #: So many words are in no group.
-HEAD = 126
-DIMS, CONTEXT, NOISE, BATCH, RATE, SEED = 24, 3, 64, 8192, 0.15, 11
+HEAD = 62
+DIMS, CONTEXT, NOISE, BATCH, RATE, SEED = 16, 3, 20, 8192, 0.15, 11
 #: Rows of a parameter that travel together. Tokens scored at once, and rows of a matrix product.
 BLOCK, TOKENS, ROWS = 4096, 1 << 20, 512
 #: The symbol before and after a word's bytes; weight of the shorter context in a spelling.
@@ -163,13 +163,28 @@ def ids_of(texts: pa.Array, words: pa.Array, speller: Speller) -> tuple[np.ndarr
     return known[codes].astype(np.uint32), counts, np.bincount(doc, weights=spelled[codes], minlength=len(counts))
 
 
-def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """int32[tokens, CONTEXT]: the word before each, the one before that, and so on; 1 where there is none."""
-    place = np.arange(len(ids)) - np.repeat(offsets_of(counts)[:-1], counts)
-    out = np.ones((len(ids), CONTEXT), np.int32)
+def places_of(counts: np.ndarray) -> np.ndarray:
+    """The place of each word in its text."""
+    return np.arange(int(counts.sum())) - np.repeat(offsets_of(counts)[:-1], counts)
+
+
+def contexts(r: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """[words, CONTEXT * DIMS]: the vectors of the word before each of the last `len(place)` of the ids (CONTEXT more come first), of the one before that,
+    and so on, that of the start mark (1) where there is none; and for each of these where there is none."""
+    n, vectors, missing = len(place), r[ids], []
+    out = np.empty((n, CONTEXT * DIMS), r.dtype)
     for k in range(1, CONTEXT + 1):
-        out[k:, k - 1] = np.where(place[k:] >= k, ids[:-k], 1)
-    return out
+        own = out[:, (k - 1) * DIMS : k * DIMS]
+        own[:] = vectors[CONTEXT - k : CONTEXT - k + n]
+        none = np.flatnonzero(place < k)
+        own[none] = r[1]
+        missing.append(none)
+    return out, missing
+
+
+def led(ids: np.ndarray) -> np.ndarray:
+    """With CONTEXT start marks before the first."""
+    return np.concatenate((np.ones(CONTEXT, ids.dtype), ids))
 
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +200,8 @@ class Trainer:
     """One pass of noise-contrastive training with AdaGrad, whose steps are a row's. hits: how often each row was trained on, other than as noise."""
 
     def __init__(self, model: Model, seed: int):
-        self.m = replace(model, **{n: getattr(model, n).copy() for n in ("r", "c", "q", "b")})
+        self.qb = np.column_stack((model.q, model.b))
+        self.m = replace(model, r=model.r.copy(), c=model.c.copy(), q=self.qb[:, :-1], b=self.qb[:, -1])
         self.rng = np.random.default_rng(seed)
         self.seen = {"r": np.full(len(model.r), 1e-3, np.float32), "q": np.full(len(model.q), 1e-3, np.float32), "b": np.full(len(model.b), 1e-3, np.float32), "c": np.full(len(model.c), 1e-3, np.float32)}
         among = model.outcomes(), np.arange(model.ids, model.ids + model.groups), np.arange(model.head, model.ids)
@@ -200,52 +216,67 @@ class Trainer:
         own = word[rare]
         return [(slice(None), self.noise[0][0][m.places(word)]), (rare, m.ids + (own - m.head) // m.width), (rare, own)]
 
-    def contrast(self, h: np.ndarray, true: np.ndarray, noise: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of q in `noise` are noise for all. The gradients of h, and of the rows of q: first the true ones, then the noise; the bias's last."""
-        m = self.m
-        q, qn, log_k = m.q[true], m.q[noise], np.float32(np.log(len(noise)))
-        right = np.einsum("ij,ij->i", h, q) + (m.b[true] - m.log_noise[true] - log_k)
-        wrong = h @ qn.T
-        wrong += m.b[noise] - m.log_noise[noise] - log_k
-        dt = np.float32(-1 / n) / (1 + np.exp(np.clip(right, -30, 30)))
-        df = np.exp(np.clip(-wrong, -30, 30, out=wrong), out=wrong)
+    def contrast(self, h: np.ndarray, true: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of q in `noise` are noise for all. h: with a last column of ones, for the bias. The gradients of h, and of the rows of q and b: first the true ones, then the noise."""
+        log_noise, log_k = self.m.log_noise, np.float32(np.log(len(noise)))
+        q, qn = self.qb[true], self.qb[noise]
+        right = np.einsum("ij,ij->i", h, q) - (log_noise[true] + log_k)
+        dt = -1 / (1 + np.exp(right))
+        qn_less = qn.copy()
+        qn_less[:, -1] -= log_noise[noise] + log_k
+        df = h @ -qn_less.T
+        np.exp(df, out=df)  # of a score far below zero this is infinite, and the share below 0
         df += 1
-        np.divide(np.float32(1 / n), df, out=df)
-        rows = np.empty((len(true) + len(noise), h.shape[1] + 1), h.dtype)
-        rows[: len(true), :-1], rows[: len(true), -1] = dt[:, None] * h, dt
-        rows[len(true) :, :-1], rows[len(true) :, -1] = df.T @ h, df.sum(axis=0)
-        return dt[:, None] * q + df @ qn, rows
-
-    def gradients(self, before: np.ndarray, word: np.ndarray, noise: list[np.ndarray]) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
-        """Of the mean loss over the words, by parameter: which rows, and their gradients. noise: rows of q for each level."""
-        m, n = self.m, len(word)
-        r = m.r[before].reshape(n, -1)
-        h = r @ m.c
-        dh, index, rows = np.zeros_like(h), [], []
+        np.reciprocal(df, out=df)
+        rows = np.empty((len(true) + len(noise), h.shape[1]), h.dtype)
+        np.multiply(dt[:, None], h, out=rows[: len(true)])
+        np.matmul(df.T, h, out=rows[len(true) :])
+        q *= dt[:, None]
+        q += df @ qn
+        return q[:, :-1], rows
+
+    def gradients(self, ids: np.ndarray, place: np.ndarray, noise: list[np.ndarray]) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+        """Of the loss over the last `len(place)` of the ids, by parameter: which rows, and their gradients. noise: rows of q for each level."""
+        m, n, word = self.m, len(place), ids[CONTEXT:]
+        r, missing = contexts(m.r, ids, place)
+        h = np.ones((n, DIMS + 1), r.dtype)
+        np.matmul(r, m.c, out=h[:, :DIMS])
+        dh, index, rows = np.zeros((n, DIMS), r.dtype), [], []
         for (which, true), among in zip(self.levels(word), noise):
             if len(true):
-                d, g = self.contrast(h[which], true, among, n)
+                d, g = self.contrast(h[which], true, among)
                 dh[which] += d
                 index += [true, among]
                 rows.append(g)
         at, g = _summed(np.concatenate(index), np.concatenate(rows))
-        return {"q": (at, g[:, :-1]), "b": (at, g[:, -1]), "c": (slice(None), r.T @ dh), "r": _summed(before.ravel(), (dh @ m.c.T).reshape(-1, DIMS))}
-
-    def step(self, before: np.ndarray, word: np.ndarray) -> None:
+        # a word is in the context of several: what they say of it is added up first
+        before, dr, of_start = dh @ m.c.T, np.zeros((len(ids) + 1, DIMS), h.dtype), np.zeros(DIMS, h.dtype)
+        for k, none in enumerate(missing, 1):
+            own = before[:, (k - 1) * DIMS : k * DIMS]
+            of_start += own[none].sum(axis=0)
+            own[none] = 0
+            dr[CONTEXT - k : CONTEXT - k + n] += own
+        dr[-1] = of_start
+        return {"q": (at, g[:, :-1]), "b": (at, g[:, -1]), "c": (slice(None), r.T @ dh), "r": _summed(np.append(ids, 1), dr)}
+
+    def step(self, ids: np.ndarray, place: np.ndarray) -> None:
         noise = [rows[np.minimum(np.searchsorted(shares, self.rng.random(NOISE) * shares[-1]), len(rows) - 1)] if len(rows) else rows for rows, shares in self.noise]
-        for name, (at, g) in self.gradients(before, word, noise).items():
-            g = g * np.float32(BATCH)
+        with np.errstate(over="ignore"):
+            found = self.gradients(ids, place, noise)
+        for name, (at, g) in found.items():
+            g = g if len(place) == BATCH else g * np.float32(BATCH / len(place))
             seen = self.seen[name][at] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g)
             self.seen[name][at] = seen
             rate = np.float32(RATE) / np.sqrt(seen)
             getattr(self.m, name)[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
-        self.tokens += len(word)
+        self.tokens += len(place)
 
     def run(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        before = contexts(ids, counts)
+        place, all_ids = places_of(counts), led(ids)
         for at in range(0, len(ids), BATCH):
-            self.step(before[at : at + BATCH], ids[at : at + BATCH])
-        self.hits["r"] += np.bincount(before.ravel(), minlength=self.m.ids)
+            self.step(all_ids[at : at + BATCH + CONTEXT], place[at : at + BATCH])
+        self.hits["r"] += np.bincount(ids, minlength=self.m.ids)
+        self.hits["r"][1] += (counts > 0).sum()
         for _, true in self.levels(ids):
             self.hits["q"] += np.bincount(true, minlength=len(self.m.b))
 
@@ -259,8 +290,16 @@ class Scorer:
         self.top = self.q[model.outcomes()]
         self.top[1, -1] = -1e30
 
-    @staticmethod
-    def _log_z(logit: np.ndarray) -> np.ndarray:
+        self.ones = np.ones(max(len(self.top), model.width), np.float32)
+        b, w = model.b, model.width
+        highest = [np.delete(self.top[:, -1], 1).max(keepdims=True)]  # biases of each softmax
+        highest += [np.maximum.reduceat(x, np.arange(0, len(x), w)) for x in (b[model.ids : model.ids + model.groups], b[model.head : model.ids]) if len(x)]
+        self.longest, self.bias = float(np.sqrt(np.einsum("ij,ij->i", model.q, model.q).max())), float(np.abs(np.concatenate(highest)).max())
+
+    def _log_z(self, h: np.ndarray, logit: np.ndarray) -> np.ndarray:
+        """Of the logits of the vectors h, which it overwrites."""
+        if math.sqrt(float(np.einsum("ij,ij->i", h, h).max())) * self.longest + self.bias < 80:  # the greatest logit is well within a float's range
+            return np.log(np.exp(logit, out=logit) @ self.ones[: logit.shape[1]])
         top = logit.max(axis=1)
         logit -= top[:, None]
         return top + np.log(np.exp(logit, out=logit).sum(axis=1))
@@ -275,29 +314,31 @@ class Scorer:
                 stop = min(at + ROWS, bounds[p + 1])
                 logit = h[at:stop] @ own.T
                 true = logit[np.arange(stop - at), child[at:stop] - p * w]
-                out[at:stop] = true - self._log_z(logit)
+                out[at:stop] = true - self._log_z(h[at:stop], logit)
         return out
 
-    def _some(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        m, place = self.m, self.m.places(ids)
-        h, out = np.empty((len(ids), DIMS + 1), np.float32), np.empty(len(ids), np.float32)
+    def _some(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        m, word = self.m, ids[CONTEXT:]
+        among, n = m.places(word), len(word)
+        h, out = np.empty((n, DIMS + 1), np.float32), np.empty(n, np.float32)
         h[:, DIMS] = 1
-        for at in range(0, len(ids), ROWS):
+        for at in range(0, n, BATCH):
+            h[at : at + BATCH, :DIMS] = contexts(m.r, ids[at : at + BATCH + CONTEXT], place[at : at + BATCH])[0] @ m.c
+        for at in range(0, n, ROWS):
             own = slice(at, at + ROWS)
-            h[own, :DIMS] = m.r[before[own]].reshape(-1, CONTEXT * DIMS) @ m.c
             logit = h[own] @ self.top.T
-            true = logit[np.arange(len(logit)), place[own]]
-            out[own] = true - self._log_z(logit)
-        rare = np.flatnonzero(ids >= m.head)
+            true = logit[np.arange(len(logit)), among[own]]
+            out[own] = true - self._log_z(h[own], logit)
+        rare = np.flatnonzero(word >= m.head)
         if len(rare):
-            rare = rare[np.argsort(ids[rare])]
-            child, below = ids[rare] - m.head, h[rare]
+            rare = rare[np.argsort(word[rare])]
+            child, below = word[rare] - m.head, h[rare]
             out[rare] += self._under(below, child // m.width, self.q[m.ids : m.ids + m.groups]) + self._under(below, child, self.q[m.head : m.ids])
         return out.astype(np.float64)
 
-    def log_probs(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Of head words and class 0, and of words in groups; an other word's spelling comes on top."""
-        return np.concatenate([self._some(ids[at : at + TOKENS], before[at : at + TOKENS]) for at in range(0, len(ids), TOKENS)])
+    def log_probs(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of head words and class 0, and of words in groups; an other word's spelling comes on top. ids: as of led(); place: of each but the first CONTEXT."""
+        return np.concatenate([self._some(ids[at : at + TOKENS + CONTEXT], place[at : at + TOKENS]) for at in range(0, len(place), TOKENS)])
 
 
 def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,7 +351,9 @@ def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             ids, counts, spelled = ids_of(batch.column("text"), known, speller)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(ids.view(np.uint8), 4 * offsets_of(counts)), pa.array(spelled)], ["doc_id", "ids", "spelled"])
 
-    return written(identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, spelled double"), "word-ids")
+    out = written(identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, spelled double"), "word-ids")
+    shared.destroy()
+    return out
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -333,19 +376,21 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, np.frombuffer(row["weight"], np.float32), np.frombuffer(row["vectors"], np.float16).reshape(len(rows), -1)
 
 
-def trained(ids: DataFrame, model: Model) -> Model:
-    """One round of parameter mixing over all tokens. A row that no task trained stays as at the start. What travels is how far each row moved."""
-    shared = ids.sparkSession.sparkContext.broadcast(replace(model, speller=None))
+def trained(ids: DataFrame, model: Model, counts: np.ndarray) -> Model:
+    """One round of parameter mixing over all tokens. A row that no task trained stays as at the start, which each task makes by itself from the
+    words' counts. What travels is how far each row moved."""
+    shared = ids.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = None
+        trainer = old = None
         for batch in slices(batches, "ids", 8 << 20):
-            words, counts = _ids(batch)
+            words, sizes = _ids(batch)
             if trainer is None:
-                trainer = Trainer(shared.value, SEED)  # the same for a task that is run again
-            trainer.run(words, counts)
+                old = start(pa.nulls(len(shared.value) - 2, pa.binary()), shared.value)
+                trainer = Trainer(old, SEED)  # the same for a task that is run again
+            trainer.run(words, sizes)
         if trainer is not None and trainer.tokens:
-            m, old = trainer.m, shared.value
+            m = trainer.m
             hits = trainer.hits | {"c": np.full(len(m.c), trainer.tokens)}
             for part in ("r", "q", "c"):
                 for at in range(0, len(hits[part]), BLOCK):
@@ -377,6 +422,7 @@ def trained(ids: DataFrame, model: Model) -> Model:
                 out.b[at] += moved[:, -1]
                 moved = moved[:, :-1]
             getattr(out, row["part"])[at] += moved
+    shared.destroy()
     return out
 
 
@@ -402,10 +448,11 @@ def fit(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: s
     least = max(least, math.ceil(total * SHARE))
     top = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
     words, n = top["token"].combine_chunks().cast(pa.binary()), top["n"].to_numpy()
-    model = start(words, np.concatenate(([total - n.sum(), 0], n)).astype(np.float64))
+    n = np.concatenate(([total - n.sum(), 0], n)).astype(np.float64)
+    model = start(words, n)
     model.speller = spelling(counts.where(F.col("n") < least), words)
     ids = coded(docs, model, id_col, text_col)
-    return trained(ids, model), ids
+    return trained(ids, model, n), ids
 
 
 def scored(docs: DataFrame, model: Model | None = None, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,13 +461,16 @@ def scored(docs: DataFrame, model: Model | None = None, least: int = LEAST, id_c
         model, ids = fit(docs, least, id_col, text_col)
     else:
         ids = coded(docs, model, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, speller=None))
+    # in half precision, which changes the model by less than training's noise does; what it gives is normalised all the same
+    half = {n: getattr(model, n).astype(np.float16) for n in ("r", "q")} | {"words": pa.nulls(len(model.words), pa.binary()), "log_noise": None, "speller": None}
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, **half))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        m = shared.value
+        scorer = Scorer(replace(m, r=m.r.astype(np.float32), q=m.q.astype(np.float32)))
         for batch in slices(batches, "ids", 4 << 20):
             words, counts = _ids(batch)
-            p = scorer.log_probs(words, contexts(words, counts)) if len(words) else np.zeros(0)
+            p = scorer.log_probs(led(words), places_of(counts)) if len(words) else np.zeros(0)
             total = np.concatenate(([0.0], np.cumsum(p)))
             at = offsets_of(counts)
             out = total[at[1:]] - total[at[:-1]] + batch.column("spelled").to_numpy()

@@ -83,23 +83,43 @@ def log_softmax(x):
     return x - np.log(np.exp(x).sum())
 
 
+def of_one(m, before, words):
+    """Log-probabilities of the words, each after the same context, the nearest word first."""
+    scorer = lm_score.Scorer(m)
+    return np.array([scorer.log_probs(np.array([*before[::-1], w]), np.array([lm_score.CONTEXT]))[0] for w in words])
+
+
 def test_probabilities_without_a_tree():
     m = random_model(4, 0)
     for before in itertools.product(range(6), repeat=3):
-        ids = np.array([k for k in range(6) if k != 1])
-        p = lm_score.Scorer(m).log_probs(ids, np.array([before] * 5))
+        ids = [k for k in range(6) if k != 1]
+        p = of_one(m, before, ids)
         h = sum(m.r[w] @ m.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before))
         assert abs(np.exp(p).sum() - 1) < 1e-4 and np.allclose(p, log_softmax(m.q[ids] @ h + m.b[ids]), atol=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 300])
+def test_scores_of_a_sequence_are_those_of_its_words(scale):
+    """Over two texts; large parameters exceed a float's range."""
+    m = random_model(lm_score.HEAD + 40, 4)
+    m.b[:] *= scale
+    ids, counts = np.array([5, 0, 90, 100, 2, 7, 80]), np.array([5, 0, 2])
+    p = lm_score.Scorer(m).log_probs(lm_score.led(ids), lm_score.places_of(counts))
+    assert np.isfinite(p).all()
+    for text, at in ((ids[:5], 0), (ids[5:], 5)):
+        for k, w in enumerate(text):
+            before = [*text[max(0, k - 3) : k][::-1], 1, 1, 1][:3]
+            assert p[at + k] == pytest.approx(of_one(m, before, [w])[0], abs=1e-3 * scale)
+
+
 @pytest.mark.parametrize("words", [lm_score.HEAD + 1, lm_score.HEAD + 500])
 def test_probabilities_in_a_tree_by_force(words):
     """Every word's: its section's among head words and sections, its group's in the section, its own in the group."""
     m = random_model(words, 1)
-    ids = np.array([k for k in range(words + 2) if k != 1])
+    ids = [k for k in range(words + 2) if k != 1]
     assert m.head == lm_score.HEAD + 2 and m.width**3 >= words - lm_score.HEAD > (m.width - 1) ** 3
     for before in ((1, 1, 1), (0, 7, 1), (words, words + 1, 3)):
-        p = lm_score.Scorer(m).log_probs(ids, np.array([before] * len(ids)))
+        p = of_one(m, before, ids)
         assert abs(np.exp(p).sum() - 1) < 1e-3
         h = sum(m.r[w] @ m.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before))
         logit = m.q @ h + m.b
@@ -119,7 +139,9 @@ def test_contrastive_gradients_are_finite_differences(monkeypatch):
     m = random_model(lm_score.HEAD + 60, 2)
     m = dataclasses.replace(m, **{n: getattr(m, n).astype(np.float64) for n in ("r", "c", "q", "b", "log_noise")})
     rng = np.random.default_rng(3)
-    word, before = np.array([0, 5, 5, 150, 170, 171, 2]), rng.integers(0, m.ids, (7, 3)).astype(np.int32)
+    ids, place = np.array([9, 4, 70, 0, 5, 5, 100, 110, 111, 2]), np.array([5, 6, 7, 0, 1, 2, 3])
+    word = ids[3:]
+    before = [[ids[i + 2 - k] if k < place[i] else 1 for k in range(3)] for i in range(7)]
     t = lm_score.Trainer(m, 0)
     noise = [rng.choice(rows, 6) for rows, _ in t.noise]
 
@@ -130,9 +152,9 @@ def test_contrastive_gradients_are_finite_differences(monkeypatch):
                 h = sum(x.r[w] @ x.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before[i]))
                 score = lambda row: x.q[row] @ h + x.b[row] - x.log_noise[row] - math.log(6)
                 total += np.log1p(np.exp(-score(row))) + sum(np.log1p(np.exp(score(k))) for k in noise[which])
-        return total / len(word)
+        return total
 
-    for name, (at, g) in t.gradients(before, word, noise).items():
+    for name, (at, g) in t.gradients(ids, place, noise).items():
         full = np.zeros_like(getattr(m, name))
         full[at] = g
         entries = np.argwhere(full != 0)
@@ -147,8 +169,11 @@ def test_contrastive_gradients_are_finite_differences(monkeypatch):
 
 
 def test_contexts():
-    got = lm_score.contexts(np.array([7, 8, 9, 4, 5, 6]), np.array([4, 0, 1, 1]))
-    assert got.tolist() == [[1, 1, 1], [7, 1, 1], [8, 7, 1], [9, 8, 7], [1, 1, 1], [1, 1, 1]]
+    r = np.repeat(np.arange(10.0)[:, None], lm_score.DIMS, axis=1)
+    counts = np.array([4, 0, 1, 1])
+    got, missing = lm_score.contexts(r, lm_score.led(np.array([7, 8, 9, 4, 5, 6])), lm_score.places_of(counts))
+    assert got[:, :: lm_score.DIMS].tolist() == [[1, 1, 1], [7, 1, 1], [8, 7, 1], [9, 8, 7], [1, 1, 1], [1, 1, 1]]
+    assert [x.tolist() for x in missing] == [[0, 4, 5], [0, 1, 4, 5], [0, 1, 2, 4, 5]]
 
 
 def test_training_beats_word_frequencies(spark):
