@@ -3,15 +3,16 @@
 Documents are sets of word n-grams (lower case, split at white space). Signatures are cut into
 bands of r rows; the least r whose false candidates stay few, and as many bands as the target recall
 at the threshold asks for. Only band hashes are shuffled to find candidates; each candidate pair is
-then verified on the two full n-gram sets.
+then verified on the two full n-gram sets, by 64-bit hashes of the n-grams.
 
-Equal sets are collapsed first and stand for all their documents, which is exact and keeps copies by
-the thousand from pairing with each other. Every pair is verified somewhere, whatever the size of its
-bucket: documents lie in blocks of bounded size, near ones together, and a task gets the texts of two
-blocks with the candidate pairs between them. Thus a text is shuffled once or few times, not once a
-pair, and a large bucket is many tasks.
+Equal sets (equal in 128 bits, sums of two mixes of the hashes) are collapsed first into one node, which stands for
+all their documents and keeps copies by the thousand from pairing with each other.
 
-Defined results: null and empty texts have no n-grams and no partner; a text of fewer than n words
+Every candidate pair is verified somewhere, whatever the size of its bucket, and no bucket is ever a row, a list or a task: nodes lie in blocks
+of bounded size, near ones together; a bucket says which blocks meet in it; and a task gets the texts and band hashes of those members of two blocks
+that share a bucket, and finds the pairs among them itself. So neither pairs nor buckets are shuffled, and a text travels once for each block that it meets.
+
+Defined results: null and empty texts have no n-grams and no link; a text of fewer than n words
 is one n-gram; equal sets have similarity 1; a row repeated with its id is one document; two texts
 under one id are two documents with that id.
 """
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,18 +31,21 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import coded_words, identified, offsets_of, slices, written
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
-#: Documents in a block: the texts of two blocks are in a task's memory at once.
+#: Nodes in a block: the texts of two blocks are in a task's memory at once.
 BLOCK_DOCS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
-    """(bands, rows): the most rows, hence fewest false candidates, with which `recall` at the threshold needs no more than `most` hashes."""
-    best = (most, 1)
+    """(bands, rows): the most rows, hence fewest false candidates, with which `recall` at the threshold needs no more than `most` hashes.
+    Where even one row needs more, it gets them."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("the threshold must be above 0 and at most 1, the recall between them")
+    best = None
     for rows in range(1, 33):
         p = threshold**rows
-        bands = 1 if p >= 1 else int(np.ceil(np.log1p(-recall) / np.log1p(-p))) if p > 0 else most + 1
-        if bands * rows > most:
+        bands = 1 if p >= 1 else int(np.ceil(np.log1p(-recall) / np.log1p(-p)))
+        if best and bands * rows > most:
             break
         best = (max(1, bands), rows)
     return best
@@ -112,28 +117,26 @@ def set_keys(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text, to tell texts under one id apart), set (key of the n-gram set), keys. One scan, no shuffle."""
+    """doc_id, h (hash of the text, to tell texts under one id apart), set (key of the n-gram set), keys; the last two are null without n-grams. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, grams = ngram_hashes(batch.column("text"), n)
-            some = pa.array(grams > 0)
             sets = set_keys(hashes, grams)
             keys = band_keys(signatures(hashes, grams, bands * rows), bands, rows)
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").filter(some), batch.column("h").filter(some), pa.FixedSizeListArray.from_arrays(pa.array(sets.ravel()), 2).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))],
-                ["doc_id", "h", "set", "keys"],
-            )
+            none = pa.array(grams == 0)
+            at = pa.array(offsets_of(grams > 0).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(pa.array(at.to_numpy() * width), pa.array(x.ravel())) for x, width in ((sets, 2), (keys, bands))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pc.if_else(none, pa.scalar(None, x.type), x) for x in lists)], ["doc_id", "h", "set", "keys"])
 
     source = identified(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     return source.mapInArrow(run, "doc_id long, h long, set array<long>, keys array<long>")
 
 
-def _sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a block's texts: dense numbers of the distinct n-grams of each, where each begins, how many."""
+def _sets(texts: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For a task's texts: dense numbers of the distinct n-grams of each, where each begins, how many n-grams there are."""
     parts, counts = [], []
-    for batch in slices(table.select(["text"]).combine_chunks().to_batches(), "text"):
+    for batch in slices(texts.select(["text"]).combine_chunks().to_batches(), "text"):
         hashes, grams = ngram_hashes(batch.column("text"), n)
         at = offsets_of(grams)
         for i in range(len(grams)):
@@ -145,17 +148,51 @@ def _sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return dense, offsets_of(np.array(counts, np.int64)), len(values)
 
 
-def _verify(texts: pa.Table, pairs: pa.Table, n: int, threshold: float, forest: bool) -> pa.Table:
-    """Similar pairs of a task's candidates. With `forest` pairs that others already connect are left out unverified:
-    the groups are the same, and a group of m near copies costs about m comparisons, not m * m."""
-    ids = list(zip(texts["doc_id"].to_pylist(), texts["h"].to_pylist()))
-    place = {k: i for i, k in enumerate(ids)}
-    dense, at, many = _sets(texts, n)
+def candidates(node: np.ndarray, key: np.ndarray, side: np.ndarray, n: int) -> np.ndarray:
+    """Distinct pairs i * n + j, i < j, of the n nodes that share a key: those of side 0 with those of side 1, those of side 2 with each other."""
+    order = np.lexsort((side, key))
+    node, key, side = node[order], key[order], side[order]
+    bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
+    held, size, out = [], 0, np.zeros(0, np.int64)
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if z - a < 2:
+            continue
+        own = node[a:z]
+        one, two = a + np.searchsorted(side[a:z], (1, 2))
+        if two == z:
+            x, y = np.repeat(node[a:one], z - one), np.tile(node[one:z], one - a)
+        else:
+            i, j = np.triu_indices(z - two, 1)
+            x, y = own[two - a :][i], own[two - a :][j]
+        held.append(np.minimum(x, y) * n + np.maximum(x, y))
+        size += len(x)
+        if size > 1 << 22:
+            out, held, size = np.unique(np.concatenate((out, *held))), [], 0
+    return np.unique(np.concatenate((out, *held)))
+
+
+#: What a task finds: pairs u, v with their similarity, or as rows without v the links of a node to documents of other nodes.
+_FOUND = "u long, v long, jaccard double, links long"
+PAIRS, LINKS, FOREST = "pairs", "links", "forest"
+
+
+def _verify(texts: pa.Table, entries: pa.Table, n: int, threshold: float, what: str) -> pa.Table:
+    """texts: node, weight, text. entries: node, key, side, root. All similar pairs; or with LINKS just as many of them as connect the nodes, and
+    each node's links; or with FOREST the same without links, and pairs that others already connect are left out
+    unverified (a group of m near copies costs about m comparisons, not m * m). Nodes of one root are connected from the start."""
+    names = texts["node"].to_numpy()
+    order = np.argsort(names)
+    names, weight = names[order], texts["weight"].to_numpy()[order]
+    place = np.searchsorted(names, entries["node"].to_numpy())
+    pairs = candidates(place, entries["key"].to_numpy(), entries["side"].to_numpy(), len(names))
+    first, second = pairs // max(1, len(names)), pairs % max(1, len(names))
+    dense, at, many = _sets(texts.take(pa.array(order)), n)
     size = np.diff(at)
-    by: dict[int, set[int]] = {}
-    for a, ha, b, hb in zip(*(pairs[c].to_pylist() for c in ("a", "ha", "b", "hb"))):
-        by.setdefault(place[a, ha], set()).add(place[b, hb])
-    mark, root, out = np.zeros(many, bool), list(range(len(ids))), []
+    mark, root, out, links = np.zeros(many, bool), list(range(len(names))), [], np.zeros(len(names), np.int64)
+    known: dict[int, int] = {}
+    for i, r in zip(place.tolist(), entries["root"].to_pylist()):
+        if r is not None:
+            root[i] = known.setdefault(r, i)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -163,96 +200,148 @@ def _verify(texts: pa.Table, pairs: pa.Table, n: int, threshold: float, forest:
             x = root[x]
         return x
 
-    for i in sorted(by, key=lambda k: ids[k]):
-        others = sorted(by[i])
+    begin = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True]))) if len(pairs) else np.zeros(1, np.int64)
+    for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        i, others = int(first[a]), second[a:z]
         own = dense[at[i] : at[i + 1]]
         mark[own] = True
-        while others:
-            if forest:
+        while len(others):
+            later = []
+            if what == FOREST:
                 # one candidate of each group that i isn't in; the rest of that group only if it fails
-                seen, now, later, mine = set(), [], [], find(i)
-                for j in others:
+                seen, now, mine = set(), [], find(i)
+                for j in others.tolist():
                     r = find(j)
                     if r != mine:
                         (later if r in seen else now).append(j)
                         seen.add(r)
-            else:
-                now, later = others, []
-            if not now:
-                break
-            where = np.array(now)
-            span = size[where]
-            flat = dense[np.repeat(at[where] - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))]
+                if not now:
+                    break
+                others = np.array(now)
+            span = size[others]
+            flat = dense[np.repeat(at[others] - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))]
             both = np.add.reduceat(mark[flat].astype(np.int64), offsets_of(span)[:-1])
             score = both / (size[i] + span - both)
-            for j, s in zip(now, score.tolist()):
-                if s >= threshold:
-                    out.append((*ids[i], *ids[j], s))
-                    root[find(j)] = find(i)
-            others = later
+            similar = np.flatnonzero(score >= threshold)
+            if what == LINKS:
+                links[i] += weight[others[similar]].sum()
+                links[others[similar]] += weight[i]
+            for k in similar.tolist():
+                j = int(others[k])
+                x, y = find(i), find(j)
+                if what == PAIRS or x != y:
+                    out.append((int(names[i]), int(names[j]), float(score[k]), None))
+                    root[y] = x
+            others = np.array(later, np.int64)
         mark[own] = False
-    columns = list(zip(*out)) or [()] * 5
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64())], ["a", "ha", "b", "hb", "jaccard"])
-
-
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", forest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(pairs, sets). sets: a, ha (the text that stands for the set), docs (sorted ids of all documents with that set).
-    pairs: a, ha, b, hb, jaccard. With `forest` pairs may be missing between texts that others connect, so that a group of m
-    near copies costs about m comparisons, not m * m."""
-    bands, rows = banding(threshold, recall)
-    sketch = written(sketches(docs, n, bands, rows, id_col, text_col), "sketches")
-    found = sketch.groupBy("set").agg(F.min(F.struct("doc_id", "h", "keys")).alias("first"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    sets = written(found.select(F.col("first.doc_id").alias("a"), F.col("first.h").alias("ha"), "docs", F.col("first.keys").alias("keys")), "sets")
-    keyed = sets.select("a", "ha", F.explode("keys").alias("key"))
-    buckets = written(keyed.groupBy("key").agg(F.collect_list(F.struct("a", "ha")).alias("m")).where(F.size("m") > 1), "buckets")
-    # near ones together: a document's home is the least member of all its buckets
-    homes = buckets.select(F.explode("m").alias("d"), F.array_min("m").alias("home")).groupBy("d").agg(F.min("home").alias("home"))
-    homes = written(homes, "homes")
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
-    placed = homes.join(sizes, "home").select("d", F.xxhash64("home", F.pmod(F.xxhash64("d"), F.col("blocks"))).alias("block"))
-    placed = written(buckets.select("key", F.explode("m").alias("d")).join(placed, "d"), "placed")
-
-    def verified(x_y: DataFrame, name: str) -> DataFrame:
-        """The similar ones of pairs x, y, each a document and its block."""
-        x_y = x_y.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        task = F.xxhash64(F.least("x.block", "y.block"), F.greatest("x.block", "y.block")).alias("task")
-        pair = x_y.select(task, F.col("x.d.a").alias("a"), F.col("x.d.ha").alias("ha"), F.col("y.d.a").alias("b"), F.col("y.d.ha").alias("hb")).distinct()
-        pair = written(pair, name)
-        needed = pair.select("task", F.col("a").alias("doc_id"), F.col("ha").alias("h")).union(pair.select("task", "b", "hb")).distinct()
-        texts = identified(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-        texts = texts.join(needed, ["doc_id", "h"]).select("task", "doc_id", "h", "text")
+    out += [(int(names[i]), None, None, int(links[i])) for i in np.flatnonzero(links)]
+    columns = list(zip(*out)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["u", "v", "jaccard", "links"])
+
+
+class _Join:
+    """What the joins share. members: doc_id, h, set, a row for each document. nodes: set, node, a and ha (the document whose text stands for the set), weight
+    (documents), keys. buckets: key, node, least (node) of all buckets with more than one node."""
+
+    def __init__(self, docs: DataFrame, n: int, threshold: float, recall: float, id_col: str, text_col: str):
+        self.docs, self.n, self.threshold, self.columns = docs, n, threshold, (id_col, text_col)
+        bands, rows = banding(threshold, recall)
+        sketch = written(sketches(docs, n, bands, rows, id_col, text_col), "sketches")
+        self.members = sketch.select("doc_id", "h", "set").distinct()
+        live = sketch.where("set IS NOT NULL")
+        first = live.groupBy("set").agg(F.min(F.struct("doc_id", "h", "keys")).alias("first"))
+        weight = self.members.where("set IS NOT NULL").groupBy("set").agg(F.count("*").alias("weight"))
+        nodes = first.join(weight, "set").select("set", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("a"), F.col("first.h").alias("ha"), "weight", F.col("first.keys").alias("keys"))
+        self.nodes = written(nodes, "nodes")  # which also settles the nodes' numbers
+        keyed = self.nodes.select("node", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        self.buckets = written(keyed.join(shared, "key"), "buckets")
+
+    def blocks(self, homes: DataFrame) -> DataFrame:
+        """node, home -> node, block. Nodes of one home are together, unless they are too many; those of small homes share blocks."""
+        homes = written(homes, "homes")
+        sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"))
+        few = max(1, -(-homes.count() // BLOCK_DOCS))
+        block = F.when(F.col("blocks") > 1, F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks")))).otherwise(F.pmod(F.xxhash64("home"), F.lit(few)))
+        return homes.join(sizes, "home").select("node", block.alias("block"))
+
+    def meeting(self, entries: DataFrame, unlike: bool) -> DataFrame:
+        """key, node, block, root -> task, node, key, side, root: a task for each two blocks that share a key, and for a block alone. unlike: only
+        for keys under which the two have different roots."""
+        entries = written(entries, "entries")
+        who = ["key", "block", *(["root"] if unlike else [])]
+        here = entries.select(*who).distinct()
+        there = here.select("key", *(F.col(c).alias(f"other_{c}") for c in who[1:]))
+        met = here.join(there, "key").where("block <= other_block")
+        met = met.where("root <> other_root") if unlike else met
+        met = met.select("key", "block", "other_block").distinct()
+        task = F.xxhash64("block", "other_block").alias("task")
+        left = met.select("key", "block", task, F.when(F.col("block") == F.col("other_block"), 2).otherwise(0).alias("side"))
+        right = met.where("block <> other_block").select("key", F.col("other_block").alias("block"), task, F.lit(1).alias("side"))
+        return entries.join(left.union(right), ["key", "block"]).select("task", "node", "key", "side", "root")
+
+    def verified(self, entries: DataFrame, what: str) -> DataFrame:
+        """task, node, key, side, root -> what _verify() finds in each task."""
+        n, threshold = self.n, self.threshold
+        entries = written(entries, "tasks")
+        needed = entries.select("task", "node").distinct().join(self.nodes.select("node", "weight", F.col("a").alias("doc_id"), F.col("ha").alias("h")), "node")
+        texts = identified(self.docs, *self.columns).withColumn("h", F.xxhash64("text")).join(needed, ["doc_id", "h"])
+        # a row repeated with its id comes more than once
+        texts = texts.groupBy("task", "node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
 
         def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-            return _verify(left, right, n, threshold, forest)
-
-        own = pair.select(F.col("task").alias("of"), "a", "ha", "b", "hb")
-        return texts.groupBy("task").cogroup(own.groupBy("of")).applyInArrow(verify, "a long, ha long, b long, hb long, jaccard double")
-
-    entry = F.struct("d", "block")
-    if not forest:
-        members = placed.groupBy("key").agg(F.sort_array(F.collect_list(entry)).alias("m"))
-        left = members.select("m", F.posexplode("m").alias("i", "x"))
-        return verified(left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y")), "candidates"), sets.drop("keys")
-    # first every member of a bucket with its least one, which connects most; then only pairs that lie in one bucket but aren't connected
-    members = placed.groupBy("key").agg(F.min(entry).alias("x"), F.collect_list(entry).alias("m"))
-    stars = written(verified(members.select("x", F.explode("m").alias("y")).where("x.d <> y.d"), "stars"), "near")
-    root = components(stars.select(F.struct("a", "ha").alias("u"), F.struct(F.col("b").alias("a"), F.col("hb").alias("ha")).alias("v")))
-    rooted = placed.join(root, F.col("d") == F.col("node"), "left").select("key", F.coalesce("root", "d").alias("root"), entry.alias("x"))
-    parts = rooted.groupBy("key", "root").agg(F.collect_list("x").alias("m")).groupBy("key").agg(F.collect_list(F.struct("m")).alias("g")).where(F.size("g") > 1)
-    cross = parts.select("g", F.posexplode("g").alias("i", "p")).select(F.col("p.m").alias("p"), F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("q"))
-    cross = cross.select(F.explode("p").alias("x"), F.col("q.m").alias("q")).select("x", F.explode("q").alias("y"))
-    return stars.unionByName(verified(cross, "candidates")), sets.drop("keys")
+            return _verify(left, right, n, threshold, what)
+
+        of = entries.select(F.col("task").alias("of"), *(F.col(c).alias(c) for c in ("node", "key", "side", "root")))
+        return written(texts.groupBy("task").cogroup(of.groupBy("of")).applyInArrow(verify, _FOUND), "found")
+
+    def homes(self) -> DataFrame:
+        return self.buckets.groupBy("node").agg(F.min("least").alias("home"))
+
+    def everything(self, what: str) -> DataFrame:
+        """Every pair that shares a bucket is verified."""
+        entries = self.buckets.join(self.blocks(self.homes()), "node").select("key", "node", "block", F.lit(None).cast("long").alias("root"))
+        return self.verified(self.meeting(entries, False), what)
+
+    def forest(self) -> DataFrame:
+        """node, root: what is connected. First every node of a bucket is held against its least one, which connects most; then only
+        nodes of a bucket that aren't connected yet are held against each other."""
+        stars = self.buckets.where("node <> least").select("node", "least").distinct().join(self.blocks(self.homes()), "node")
+        none = F.lit(None).cast("long").alias("root")
+        ends = stars.select(F.col("block").alias("task"), F.col("least").alias("node"), F.col("least").alias("key"), F.lit(1).alias("side"), none).distinct()
+        stars = stars.select(F.col("block").alias("task"), "node", F.col("least").alias("key"), F.lit(0).alias("side"), none).union(ends)
+        found = self.verified(stars, FOREST).select("u", "v")
+        root = components(found)
+        rooted = self.buckets.select("key", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        unlike = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        rooted = written(rooted.join(unlike, "key", "left_semi"), "unlike")
+        entries = rooted.join(self.blocks(rooted.select("node", F.col("root").alias("home")).distinct()), "node")
+        more = self.verified(self.meeting(entries.select("key", "node", "block", "root"), True), FOREST).select("u", "v")
+        return components(found.union(more))
 
 
 def joined(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs_a, docs_b, jaccard: every document of the one list is that similar to every document of the other.
-    The documents of an equal set are a row with both lists the same and similarity 1. The lists say what a row a pair
-    would, without the square of the number of copies."""
-    pairs, sets = similar_sets(docs, n, threshold, recall, id_col, text_col)
-    first = sets.select("a", "ha", F.col("docs").alias("docs_a"))
-    second = sets.select(F.col("a").alias("b"), F.col("ha").alias("hb"), F.col("docs").alias("docs_b"))
-    near = pairs.join(first, ["a", "ha"]).join(second, ["b", "hb"]).select("docs_a", "docs_b", "jaccard")
-    return near.unionByName(sets.where(F.size("docs") > 1).select(F.col("docs").alias("docs_a"), F.col("docs").alias("docs_b"), F.lit(1.0).alias("jaccard")))
+    """doc_id, class_id, n_links: a row for each document, with the least id that a chain of similar documents connects it with, its own if none, and
+    the number of documents that are similar to it, all of them counted."""
+    own = _Join(docs, n, threshold, recall, id_col, text_col)
+    found = own.everything(LINKS)
+    root = components(found.where("v IS NOT NULL").select("u", "v"))
+    links = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    root = written(root.union(root.select(F.col("root").alias("node"), "root").distinct()).join(own.nodes.select("node", "a"), "node"), "rooted")
+    classes = root.join(root.groupBy("root").agg(F.min("a").alias("class_id")), "root").select("node", "class_id")
+    of = own.nodes.select("set", "node", "a", "weight").join(classes, "node", "left").join(links, "node", "left")
+    of = of.select(F.col("set").alias("of"), F.coalesce("class_id", "a").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = own.members.join(of, F.col("set") == F.col("of"), "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id_a, doc_id_b, jaccard: a row for each two different n-gram sets that are similar, by the documents that stand for them (the least ids).
+    A group of m near copies that all differ is up to m * m / 2 rows; joined() says the same without them."""
+    own = _Join(docs, n, threshold, recall, id_col, text_col)
+    name = own.nodes.select("node", "a")
+    found = own.everything(PAIRS).join(name.withColumnRenamed("node", "u").withColumnRenamed("a", "x"), "u").join(name.withColumnRenamed("node", "v").withColumnRenamed("a", "y"), "v")
+    return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,11 +365,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that a chain of similar pairs connects with a smaller id; all columns unchanged.
+    """The documents without those that a chain of similar ones connects with a smaller id; all columns unchanged.
     Documents without n-grams stay."""
-    pairs, sets = similar_sets(docs, n, threshold, recall, id_col, text_col, forest=True)
-    near = pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = sets.where(F.size("docs") > 1).select(F.col("a").alias("u"), F.explode("docs").alias("v"))
-    gone = components(near.union(equal)).select("node").alias("gone")
+    own = _Join(docs, n, threshold, recall, id_col, text_col)
+    root = own.forest()
+    root = written(root.union(root.select(F.col("root").alias("node"), "root").distinct()).join(own.nodes.select("node", "a"), "node"), "rooted")
+    kept = root.join(root.groupBy("root").agg(F.min("a").alias("least")), "root").select("node", "least")
+    least = own.nodes.select("set", "node", "a", "weight").join(kept, "node", "left").where("weight > 1 OR least < a").select(F.col("set").alias("of"), F.coalesce("least", "a").alias("least"))
+    gone = own.members.join(least, F.col("set") == F.col("of")).where("doc_id > least").select(F.col("doc_id").alias("gone")).distinct()
     stay = docs.where(F.col(id_col).isNotNull()).alias("stay")
-    return stay.join(gone, F.col(f"stay.{id_col}").cast("long") == F.col("gone.node"), "left_anti")
+    return stay.join(gone, F.col(f"stay.{id_col}").cast("long") == F.col("gone"), "left_anti")

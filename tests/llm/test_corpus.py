@@ -89,35 +89,69 @@ def pairs_by_force(rows, threshold=ngram_join.THRESHOLD):
     return out
 
 
-def pairs_found(df):
-    out = {}
-    for r in df.collect():
-        for a in r["docs_a"]:
-            for b in r["docs_b"]:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r["jaccard"]
+def pairs_found(docs, **more):
+    """Pairs of documents, from the pairs of those that stand for equal sets."""
+    same = defaultdict(set)
+    for r in docs.select("doc_id", "text").collect():
+        if r["doc_id"] is not None and (g := frozenset(grams(r["text"]))):
+            same[g].add(r["doc_id"])
+    group = {min(ids): ids for ids in same.values()}
+    out = {p: 1.0 for ids in same.values() for p in itertools.combinations(sorted(ids), 2)}
+    for r in ngram_join.similar_pairs(docs, **more).collect():
+        assert r["doc_id_a"] < r["doc_id_b"]
+        out |= {(min(a, b), max(a, b)): r["jaccard"] for a in group[r["doc_id_a"]] for b in group[r["doc_id_b"]]}
     return out
 
 
+def classes_and_links(rows, pairs):
+    """What joined() should give for these pairs of documents."""
+    ids = {(i, t or "") for i, t in rows if i is not None}
+    root, links = components_by_force(pairs), Counter(x for p in pairs for x in p)
+    return sorted((i, root.get(i, i), links[i]) for i, _ in ids)
+
+
 def test_bands_reach_the_recall():
-    for t in (0.3, 0.5, 0.7, 0.9, 1.0):
+    for t in (0.005, 0.01, 0.3, 0.5, 0.7, 0.9, 1.0):
         bands, rows = ngram_join.banding(t, 0.95)
-        assert 1 - (1 - t**rows) ** bands >= 0.95 or bands * rows >= 256
+        assert 1 - (1 - t**rows) ** bands >= 0.95
+    with pytest.raises(ValueError):
+        ngram_join.banding(0, 0.95)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_candidates_by_force(seed):
+    rng = np.random.default_rng(seed)
+    node, key = rng.integers(0, 12, 60), rng.integers(0, 9, 60)
+    side = np.where(key % 2 == 0, 2, node % 2)  # a key's nodes are all of side 2, or none is
+    _, once = np.unique(node * 100 + key, return_index=True)
+    node, key, side = node[once], key[once], side[once]
+    want = {(min(a, b), max(a, b)) for (a, k, s), (b, l, t) in itertools.combinations(zip(node.tolist(), key.tolist(), side.tolist()), 2) if k == l and (s == t == 2 or {s, t} == {0, 1})}
+    got = ngram_join.candidates(node, key, side, 12).tolist()
+    assert got == sorted(a * 12 + b for a, b in want)
 
 
 def test_join_against_all_pairs(small):
-    want = pairs_by_force([(r["doc_id"], r["text"]) for r in small.collect()])
-    got = pairs_found(ngram_join.joined(small))
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()]
+    want = pairs_by_force(rows)
+    got = pairs_found(small)
     assert want and set(got) <= set(want)
-    assert len(got) >= 0.9 * len(want)
+    assert len(got) >= 0.95 * len(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert sorted(map(tuple, ngram_join.joined(small).collect())) == classes_and_links(rows, got)
 
 
 def test_join_of_odd_rows(odd, empty):
-    got = pairs_found(ngram_join.joined(odd))
-    want = pairs_by_force([(i, t) for i, t, *_ in ODD])
-    assert got == pytest.approx(want)
-    assert ngram_join.joined(empty).count() == 0
+    rows = [(i, t) for i, t, *_ in ODD]
+    want = pairs_by_force(rows)
+    assert pairs_found(odd) == pytest.approx(want)
+    assert sorted(map(tuple, ngram_join.joined(clashing(odd)).collect())) == classes_and_links(rows, want)
+    assert ngram_join.joined(empty).count() == ngram_join.similar_pairs(empty).count() == 0
+
+
+def test_two_texts_under_one_id(table):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = table([(1, text, "en", "s"), (1, text.upper(), "en", "s"), (2, text + " w40", "en", "s"), (1, "quite another one", "en", "s"), (1, "quite another one", "en", "s")])
+    assert sorted(map(tuple, ngram_join.joined(docs).collect())) == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2)]
 
 
 @pytest.fixture
@@ -132,8 +166,9 @@ def many_near(spark):
 def test_a_large_group_over_several_blocks(many_near, monkeypatch):
     want = pairs_by_force([tuple(r) for r in many_near.collect()])
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 32)
-    got = pairs_found(ngram_join.joined(many_near))
+    got = pairs_found(many_near)
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert sorted(map(tuple, ngram_join.joined(many_near).collect())) == classes_and_links([tuple(r) for r in many_near.collect()], got)
     assert sorted(r["doc_id"] for r in ngram_join.one_of_each(many_near).collect()) == [0, *range(1000, 1100)]
 
 
@@ -162,7 +197,7 @@ def test_components(spark, seed):
 
 def test_one_of_each_group_stays(small):
     rows = [(r["doc_id"], r["text"]) for r in small.collect()]
-    gone = set(components_by_force(pairs_found(ngram_join.joined(small))))
+    gone = set(components_by_force(pairs_found(small)))
     wide = clashing(small)
     out = ngram_join.one_of_each(wide)
     assert out.columns == wide.columns
