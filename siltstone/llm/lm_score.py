@@ -42,6 +42,8 @@ HEAD = 62
 DIMS, CONTEXT, NOISE, BATCH, RATE, SEED = 16, 3, 20, 8192, 0.15, 11
 #: Rows of a parameter that travel together. Tokens scored at once, and rows of a matrix product.
 BLOCK, TOKENS, ROWS = 4096, 1 << 20, 512
+#: Tasks whose parameters are mixed at once.
+FAN = 64
 #: The symbol before and after a word's bytes; weight of the shorter context in a spelling.
 EDGE, PRIOR = 256, 20.0
 
@@ -171,7 +173,7 @@ def places_of(counts: np.ndarray) -> np.ndarray:
 def contexts(r: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """[words, CONTEXT * DIMS]: the vectors of the word before each of the last `len(place)` of the ids (CONTEXT more come first), of the one before that,
     and so on, that of the start mark (1) where there is none; and for each of these where there is none."""
-    n, vectors, missing = len(place), r[ids], []
+    n, vectors, missing = len(place), r.take(ids, axis=0), []
     out = np.empty((n, CONTEXT * DIMS), r.dtype)
     for k in range(1, CONTEXT + 1):
         own = out[:, (k - 1) * DIMS : k * DIMS]
@@ -193,7 +195,7 @@ def _summed(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     key.sort()
     at = key >> 20
     new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[new], np.add.reduceat(rows[key & (1 << 20) - 1], new, axis=0)
+    return at[new], np.add.reduceat(rows.take(key & (1 << 20) - 1, axis=0), new, axis=0)
 
 
 class Trainer:
@@ -209,18 +211,18 @@ class Trainer:
         self.hits = {"r": np.zeros(model.ids, np.int64), "q": np.zeros(len(model.b), np.int64)}
         self.tokens = 0
 
-    def levels(self, word: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
-        """For each level of the tree: which of the words have an outcome there, and its row in q."""
+    def levels(self, word: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+        """For each level of the tree: which of the words have an outcome there (None: all), and its row in q."""
         m = self.m
         rare = np.flatnonzero(word >= m.head)
         own = word[rare]
-        return [(slice(None), self.noise[0][0][m.places(word)]), (rare, m.ids + (own - m.head) // m.width), (rare, own)]
+        return [(None, self.noise[0][0].take(m.places(word))), (rare, m.ids + (own - m.head) // m.width), (rare, own)]
 
     def contrast(self, h: np.ndarray, true: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of q in `noise` are noise for all. h: with a last column of ones, for the bias. The gradients of h, and of the rows of q and b: first the true ones, then the noise."""
         log_noise, log_k = self.m.log_noise, np.float32(np.log(len(noise)))
-        q, qn = self.qb[true], self.qb[noise]
-        right = np.einsum("ij,ij->i", h, q) - (log_noise[true] + log_k)
+        q, qn = self.qb.take(true, axis=0), self.qb.take(noise, axis=0)
+        right = np.einsum("ij,ij->i", h, q) - (log_noise.take(true) + log_k)
         dt = -1 / (1 + np.exp(right))
         qn_less = qn.copy()
         qn_less[:, -1] -= log_noise[noise] + log_k
@@ -235,8 +237,8 @@ class Trainer:
         q += df @ qn
         return q[:, :-1], rows
 
-    def gradients(self, ids: np.ndarray, place: np.ndarray, noise: list[np.ndarray]) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
-        """Of the loss over the last `len(place)` of the ids, by parameter: which rows, and their gradients. noise: rows of q for each level."""
+    def gradients(self, ids: np.ndarray, place: np.ndarray, noise: list[np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Of the loss over the last `len(place)` of the ids, by parameter (qb: q with b as its last column): which rows, and their gradients. noise: rows of q for each level."""
         m, n, word = self.m, len(place), ids[CONTEXT:]
         r, missing = contexts(m.r, ids, place)
         h = np.ones((n, DIMS + 1), r.dtype)
@@ -244,8 +246,11 @@ class Trainer:
         dh, index, rows = np.zeros((n, DIMS), r.dtype), [], []
         for (which, true), among in zip(self.levels(word), noise):
             if len(true):
-                d, g = self.contrast(h[which], true, among)
-                dh[which] += d
+                d, g = self.contrast(h if which is None else h.take(which, axis=0), true, among)
+                if which is None:
+                    dh += d
+                else:
+                    dh[which] += d
                 index += [true, among]
                 rows.append(g)
         at, g = _summed(np.concatenate(index), np.concatenate(rows))
@@ -257,7 +262,12 @@ class Trainer:
             own[none] = 0
             dr[CONTEXT - k : CONTEXT - k + n] += own
         dr[-1] = of_start
-        return {"q": (at, g[:, :-1]), "b": (at, g[:, -1]), "c": (slice(None), r.T @ dh), "r": _summed(np.append(ids, 1), dr)}
+        return {"qb": (at, g), "c": (np.arange(len(m.c)), r.T @ dh), "r": _summed(np.append(ids, 1), dr)}
+
+    def _rate(self, name: str, at: np.ndarray, square: np.ndarray) -> np.ndarray:
+        seen = self.seen[name].take(at) + square
+        self.seen[name][at] = seen
+        return np.float32(RATE) / np.sqrt(seen)
 
     def step(self, ids: np.ndarray, place: np.ndarray) -> None:
         noise = [rows[np.minimum(np.searchsorted(shares, self.rng.random(NOISE) * shares[-1]), len(rows) - 1)] if len(rows) else rows for rows, shares in self.noise]
@@ -265,10 +275,14 @@ class Trainer:
             found = self.gradients(ids, place, noise)
         for name, (at, g) in found.items():
             g = g if len(place) == BATCH else g * np.float32(BATCH / len(place))
-            seen = self.seen[name][at] + (np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim > 1 else g * g)
-            self.seen[name][at] = seen
-            rate = np.float32(RATE) / np.sqrt(seen)
-            getattr(self.m, name)[at] -= (rate[:, None] if g.ndim > 1 else rate) * g
+            own = self.qb if name == "qb" else getattr(self.m, name)
+            if name == "qb":
+                step = np.empty_like(g)
+                np.multiply(g[:, :-1], self._rate("q", at, np.einsum("ij,ij->i", g[:, :-1], g[:, :-1]) / DIMS)[:, None], out=step[:, :-1])
+                np.multiply(g[:, -1], self._rate("b", at, g[:, -1] ** 2), out=step[:, -1])
+            else:
+                step = g * self._rate(name, at, np.einsum("ij,ij->i", g, g) / DIMS)[:, None]
+            own[at] = own.take(at, axis=0) - step
         self.tokens += len(place)
 
     def run(self, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -332,7 +346,7 @@ class Scorer:
         rare = np.flatnonzero(word >= m.head)
         if len(rare):
             rare = rare[np.argsort(word[rare])]
-            child, below = word[rare] - m.head, h[rare]
+            child, below = word[rare] - m.head, h.take(rare, axis=0)
             out[rare] += self._under(below, child // m.width, self.q[m.ids : m.ids + m.groups]) + self._under(below, child, self.q[m.head : m.ids])
         return out.astype(np.float64)
 
@@ -347,7 +361,7 @@ def coded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, speller = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 16 << 20):
             ids, counts, spelled = ids_of(batch.column("text"), known, speller)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(ids.view(np.uint8), 4 * offsets_of(counts)), pa.array(spelled)], ["doc_id", "ids", "spelled"])
 
@@ -401,20 +415,28 @@ def trained(ids: DataFrame, model: Model, counts: np.ndarray) -> Model:
                         yield _packed(part, at // BLOCK, rows, hits[part][own], np.column_stack((moved, m.b[own] - old.b[own])) if part == "q" else moved)
 
     def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[tuple[int, str, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 rows, weight, vectors = _unpacked(row)
-                total, sum_ = sums.setdefault((row["part"], row["block"]), (np.zeros(BLOCK), np.zeros((BLOCK, vectors.shape[1]))))
+                total, sum_ = sums.setdefault((row["by"], row["part"], row["block"]), (np.zeros(BLOCK), np.zeros((BLOCK, vectors.shape[1]))))
                 total[rows] += weight
                 sum_[rows] += weight[:, None] * vectors.astype(np.float32)
-        for (part, block), (total, sum_) in sums.items():
+        for (by, part, block), (total, sum_) in sums.items():
             rows = np.flatnonzero(total)
-            yield _packed(part, block, rows, total[rows], sum_[rows] / total[rows, None])
-
+            found = _packed(part, block, rows, total[rows], sum_[rows] / total[rows, None])
+            yield pa.RecordBatch.from_arrays([pa.array([by], pa.int32()), *found.columns], ["by", *found.schema.names])
+
+    # a tree: no task mixes more than FAN of them for a block, however many tasks there were
+    parts = ids.mapInArrow(run, _MIXED).select(F.spark_partition_id().alias("by"), "*")
+    tasks = ids.rdd.getNumPartitions()
+    while tasks > FAN:
+        parts = parts.withColumn("by", F.floor(F.col("by") / FAN).cast("int")).repartition("part", "block", "by").mapInArrow(mixed, "by int, " + _MIXED)
+        tasks = -(-tasks // FAN)
+    parts = parts.withColumn("by", F.lit(0)).repartition("part", "block").mapInArrow(mixed, "by int, " + _MIXED).drop("by")
     out = replace(model, **{n: getattr(model, n).copy() for n in ("r", "c", "q", "b")})
-    for batch in ids.mapInArrow(run, _MIXED).repartition("part", "block").mapInArrow(mixed, _MIXED).toArrow().to_batches(max_chunksize=16):
+    for batch in parts.toArrow().to_batches(max_chunksize=16):
         for row in batch.to_pylist():
             rows, _, moved = _unpacked(row)
             at = row["block"] * BLOCK + rows.astype(np.int64)

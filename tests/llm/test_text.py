@@ -148,13 +148,15 @@ def test_contrastive_gradients_are_finite_differences(monkeypatch):
     def loss(x):
         total = 0.0
         for which, (level, true) in enumerate(t.levels(word)):
-            for i, row in zip(np.arange(len(word))[level], true):
+            for i, row in zip(range(len(word)) if level is None else level, true):
                 h = sum(x.r[w] @ x.c[k * lm_score.DIMS : (k + 1) * lm_score.DIMS] for k, w in enumerate(before[i]))
                 score = lambda row: x.q[row] @ h + x.b[row] - x.log_noise[row] - math.log(6)
                 total += np.log1p(np.exp(-score(row))) + sum(np.log1p(np.exp(score(k))) for k in noise[which])
         return total
 
-    for name, (at, g) in t.gradients(ids, place, noise).items():
+    found = t.gradients(ids, place, noise)
+    at, g = found.pop("qb")
+    for name, (at, g) in (found | {"q": (at, g[:, :-1]), "b": (at, g[:, -1])}).items():
         full = np.zeros_like(getattr(m, name))
         full[at] = g
         entries = np.argwhere(full != 0)
@@ -198,6 +200,21 @@ def test_training_beats_word_frequencies(spark):
     assert trained > total(lm_score.scored(shuffled, model)) + 0.5
 
 
+def test_mixing_in_a_tree_is_the_weighted_mean(spark, monkeypatch):
+    """With many tasks, of which two at a time are mixed."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 40}" for j in range(1, 30))) for k in range(200)], "doc_id long, text string").repartition(7)
+    flat, ids = lm_score.fit(docs)
+    counts = np.concatenate(([0, 0], np.sort(np.bincount([(k * j) % 40 for k in range(200) for j in range(1, 30)])[:])[::-1])).astype(float)
+    counts = counts[: len(flat.words) + 2]
+    once = lm_score.trained(ids, lm_score.start(flat.words, counts), counts)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    tree = lm_score.trained(ids, lm_score.start(flat.words, counts), counts)
+    assert ids.rdd.getNumPartitions() > 1
+    for n in ("r", "c", "q", "b"):
+        assert np.allclose(getattr(once, n), getattr(tree, n), atol=5e-3)
+    assert np.abs(once.r - lm_score.start(flat.words, counts).r).max() > 0.05
+
+
 def test_scores_of_odd_rows(odd, empty):
     got = defaultdict(list)
     for r in lm_score.scored(wide(odd)).collect():
