@@ -12,28 +12,54 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK, OVERLAP = 1000, 100
 TOP = 5
+#: Characters of chunks that leave together.
+CHUNK_BYTES = 8 << 20
 #: Vectors in a block of the search of all by all. Digits of its scores, which are equal beyond them.
 BLOCK, DIGITS = 2048, 6
-_EDGES = r"^\s+|\s+$"
+#: White space, as SQL's patterns have it.
+_BLANKS = " \t\n\x0b\f\r"
 
 
-def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGES, "")
+def _cut(text: str, size: int, step: int) -> Iterator[tuple[int, int, str]]:
+    """(chunk index, start, chunk)."""
+    text = text.strip(_BLANKS)
+    last = 0 if len(text) <= size else -(-(len(text) - size) // step)
+    for k in range(last + 1 if text else 0):
+        chunk = text[k * step : k * step + size].strip(_BLANKS)
+        if chunk:
+            yield k, k * step, chunk
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, chunk_index, start, text: windows of `size` characters that overlap. White space at the ends of texts and chunks goes, and
-    empty chunks with it (their numbers are then missing). All in the JVM, without a shuffle."""
+    empty chunks with it (their numbers are then missing). One scan, no shuffle. The JVM's substring counts characters from a text's beginning for
+    each chunk; here the time follows the text's length."""
     step = size - overlap
-    whole = docs.select(F.col(id_col).alias("doc_id"), trimmed(F.col(text_col)).alias("whole")).where(F.length("whole") > 0)
-    last = F.ceil((F.length("whole") - size) / F.lit(float(step))).cast("long") * step
-    starts = F.when(F.length("whole") <= size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))
-    cut = whole.select("doc_id", "whole", F.posexplode(starts).alias("chunk_index", "start"))
-    cut = cut.select("doc_id", "chunk_index", "start", trimmed(F.substring(F.col("whole"), (F.col("start") + 1).cast("int"), F.lit(size))).alias("text"))
-    return cut.where(F.length("text") > 0)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found, held = [], [], 0
+            for i, t in enumerate(batch.column("text")):
+                for chunk in _cut(t.as_py() or "", size, step):
+                    rows.append(i)
+                    found.append(chunk)
+                    held += len(chunk[2])
+                    if held > CHUNK_BYTES:
+                        yield out(batch, rows, found)
+                        rows, found, held = [], [], 0
+            yield out(batch, rows, found)
+
+    def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        index, begin, chunks = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(begin, pa.int64()), pa.array(chunks, pa.string())], ["doc_id", "chunk_index", "start", "text"])
+
+    kinds = T.StructType([own.schema["doc_id"], T.StructField("chunk_index", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType())])
+    return own.where(F.col("text").isNotNull()).mapInArrow(run, kinds)
 
 
 class Embedder(Protocol):
@@ -43,7 +69,8 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """A deterministic stand-in that needs no model: words hashed into `dims` signed counts, then scaled to length 1."""
+    """A deterministic stand-in that needs no model: words hashed into `dims` signed counts, then scaled to length 1. The hash is one that
+    any SQL engine has."""
 
     def __init__(self, dims: int = 768):
         self.dims = dims
@@ -53,7 +80,7 @@ class HashEmbedder:
         for t in texts:
             v = [0.0] * self.dims
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.strip(".,;:!?").encode(), digest_size=8).digest(), "little")
+                h = int.from_bytes(hashlib.md5(w.strip(".,;:!?").encode()).digest()[:8], "big")
                 v[h % self.dims] += 1.0 if h >> 63 else -1.0
             n = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / n for x in v])
@@ -118,20 +145,22 @@ def _best(queries: pa.Table, others: pa.Table, k: int) -> pa.Table:
     return pa.table(dict(zip(("query_id", "id", "score"), found)))
 
 
-def nearest_of_all(vectors: DataFrame, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, id, score: for every vector the k with the highest cosine, itself among them, exactly. Vectors of length 0 have no
+def nearest_of_each(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, id, score: for every query (by default every vector) the k vectors with the highest cosine, exactly. Vectors of length 0 have no
     cosine. Matrix products over pairs of blocks, each pair a task's group; the blocks' best are merged for each query."""
-    own = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    blocks = max(1, math.ceil(own.count() / BLOCK))
-    own = own.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.select("id", "vector", F.col("block").alias("i"), every.alias("j")).groupBy("i", "j")
-    right = own.select("id", "vector", every.alias("i"), F.col("block").alias("j")).groupBy("i", "j")
+
+    def blocked(df: DataFrame) -> tuple[DataFrame, int]:
+        own = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+        blocks = max(1, math.ceil(own.count() / BLOCK))
+        return own.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks))), blocks
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    right, n_right = blocked(vectors)
+    left, n_left = blocked(vectors if queries is None else queries)
+    left = left.select("id", "vector", F.col("block").alias("i"), every(n_right).alias("j")).groupBy("i", "j")
+    right = right.select("id", "vector", every(n_left).alias("i"), F.col("block").alias("j")).groupBy("i", "j")
     found = left.cogroup(right).applyInArrow(lambda a, b: _best(a, b, k), "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
-def replaced(store: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The store without the rows whose keys the new rows have, and the new rows."""
-    return new if store is None else store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

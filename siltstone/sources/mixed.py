@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,31 +12,27 @@ from siltstone.catalog import Manifest
 from siltstone.errors import BadFile
 from siltstone.sources import csv
 
-#: Distinct partition values up to which each is a scan of its own; beyond, one scan is joined with the log's values.
-SCANS = 32
+#: Files whose partition values are broadcast; those of more files are joined as Spark sees fit.
+BROADCAST_FILES = 100_000
 FORMATS = ("parquet", "iceberg", "delta", "csv", "orc", "json")
 
 
 def read(spark: SparkSession, schema: T.StructType, manifests: list[Manifest]) -> DataFrame:
-    """The dataset's columns in its schema's order and types; a row for each row of the files. Files of one format are one
-    scan each. Partition values that a table's log has instead of its files are filled in from the log:
-    files with the same values are read together."""
-    groups: dict[tuple, list[str]] = defaultdict(list)
+    """The dataset's columns in its schema's order and types; a row for each row of the files. Files of one format, and with
+    values for the same partition columns, are one scan. Partition values that a table's log has instead of its files are
+    joined to it by file, however many there are."""
+    groups: dict[tuple[str, tuple[str, ...]], list[Manifest]] = defaultdict(list)
     for m in manifests:
         kind = m.format or "parquet"
         if kind not in FORMATS:
             raise BadFile(f"{m.path} has the unknown format {kind!r}")
-        # of these formats, only Delta's files lack their partition columns; Hive layouts are recognised by their paths
-        values = json.dumps(m.partition, sort_keys=True) if kind == "delta" or (kind == "parquet" and m.partition) else ""
-        groups["parquet" if kind in ("iceberg", "delta") else kind, values].append(m.path)
+        # only these formats' files may lack their partition columns
+        names = tuple(sorted(m.partition)) if kind in ("parquet", "iceberg", "delta") else ()
+        groups["parquet" if kind in ("iceberg", "delta") else kind, names].append(m)
     parts = []
-    if len(groups) > SCANS:
-        listed = [m for m in manifests if json.dumps(m.partition, sort_keys=True) != "{}" and (m.format or "parquet") in ("delta", "parquet")]
-        parts.append(_joined(spark, schema, listed))
-        groups = {k: v for k, v in groups.items() if not k[1]}
-    for (kind, values), paths in sorted(groups.items()):
-        fixed = json.loads(values) if values else {}
-        own = T.StructType([f for f in schema if f.name not in fixed])
+    for (kind, names), files in sorted(groups.items(), key=lambda g: g[0]):
+        paths = [m.path for m in files]
+        own = T.StructType([f for f in schema if f.name not in names])
         if kind == "csv":
             df = csv.read(spark, paths, own)
         else:
@@ -46,7 +41,7 @@ def read(spark: SparkSession, schema: T.StructType, manifests: list[Manifest]) -
         missing = [f.name for f in own if f.name not in df.columns]
         if missing:
             raise BadFile(f"{paths[0]} lacks the column {missing[0]!r}")
-        parts.append(df.select(*((F.lit(fixed[f.name]).cast(f.dataType) if f.name in fixed else F.col(f"`{f.name}`").cast(f.dataType)).alias(f.name) for f in schema)))
+        parts.append(_valued(df, schema, names, files) if names else df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema)))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -55,15 +50,23 @@ def read(spark: SparkSession, schema: T.StructType, manifests: list[Manifest]) -
     return out
 
 
-def _joined(spark: SparkSession, schema: T.StructType, manifests: list[Manifest]) -> DataFrame:
-    """One scan of Parquet files, with the partition values of each file joined on its path."""
-    names = sorted({c for m in manifests for c in m.partition})
+def _text(x: object) -> str | None:
+    return None if x is None else str(x).lower() if isinstance(x, bool) else str(x)
+
+
+def _valued(df: DataFrame, schema: T.StructType, names: tuple[str, ...], files: list[Manifest]) -> DataFrame:
+    """The scan of files that all have values of `names` in their manifests, with those values."""
+    spark = df.sparkSession
+    values = [tuple(_text(m.partition[c]) for c in names) for m in files]
+    if len(set(values)) == 1:
+        fixed = dict(zip(names, values[0]))
+        return df.select(*((F.lit(fixed[f.name]) if f.name in fixed else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    rows = [(path(m.path).toString().removeprefix("file:").replace("//", "/"), *(None if m.partition.get(c) is None else str(m.partition[c]).lower() if isinstance(m.partition[c], bool) else str(m.partition[c]) for c in names)) for m in manifests]
-    values = spark.createDataFrame(rows, T.StructType([T.StructField("of_file", T.StringType())] + [T.StructField(f"value_{c}", T.StringType()) for c in names]))
-    df = spark.read.format("parquet").load([m.path for m in manifests])
+    rows = [(path(m.path).toString().removeprefix("file:").replace("//", "/"), *v) for m, v in zip(files, values)]
+    of = spark.createDataFrame(rows, T.StructType([T.StructField("of_file", T.StringType())] + [T.StructField(f"value_{c}", T.StringType()) for c in names]))
+    of = F.broadcast(of) if len(rows) <= BROADCAST_FILES else of
     here = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:", ""), "//+", "/")
-    df = df.withColumn("in_file", here).join(values, F.col("in_file") == F.col("of_file"))
+    df = df.withColumn("in_file", here).join(of, F.col("in_file") == F.col("of_file"))
     return df.select(*((F.col(f"`value_{f.name}`") if f.name in names else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema))
 
 

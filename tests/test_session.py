@@ -107,11 +107,11 @@ def test_corpus_replaces_and_retrieves(session):
 
 
 @pytest.mark.parametrize("block", [7, 2048])
-def test_nearest_of_all_against_brute_force(spark, monkeypatch, block):
+def test_nearest_of_each_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(text, "BLOCK", block)
     rows = [(k, [float(k * 7 % 11 - 5), float(k % 5 - 2), float(k % 3)]) for k in range(40)]
     rows += [(100, [0.0, 0.0, 0.0]), (101, None), (102, rows[3][1]), (103, rows[3][1])]
-    got = text.nearest_of_all(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    got = text.nearest_of_each(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
     live = [(i, v) for i, v in rows if v and any(v)]
     norm = lambda v: sum(x * x for x in v) ** 0.5
     want = []
@@ -120,6 +120,9 @@ def test_nearest_of_all_against_brute_force(spark, monkeypatch, block):
         want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert {r["query_id"] for r in got} == {i for i, _ in live}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    some = text.nearest_of_each(vectors, vectors.where("vec_id % 10 = 0")).collect()
+    assert sorted(map(tuple, some)) == sorted(r for r in want if r[0] % 10 == 0)
 
 
 def test_charts_and_citations():
