@@ -69,10 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from written() that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+#: Rows of identifiers and digests up to which a table is broadcast: some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table of narrow rows, marked for broadcast if it is small, which is counted and not guessed; else Spark joins it by a shuffle."""
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(table) if small else table), small
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,8 @@
 The table is taken as a history and what came in after it, parted at an id. The distinct SHA-256
 digests of the history are indexed: a shard of the digest space at a time gets a minimal perfect
 hash (levels of collision-free positions, ranked), whose n slots hold n full digests and their
-winners' ids. An incoming digest goes to one slot; all 32 bytes are compared there, so a digest that
-isn't in the history is known as such and groups with its own equals.
+winners' ids. An incoming digest goes to one slot; all 32 bytes are compared there. Equal, it repeats the slot's
+winner, to which its copies are added; a digest that isn't in the history is known as such and groups with its own equals.
 
 The smallest id of equal texts wins, which makes the outcome that of one pass over everything.
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import identified, written
+from siltstone.llm.common import bounded, identified, written
 
 #: Digests in a shard of the index. The number of shards grows with the history.
 SHARD_KEYS = 1 << 15
@@ -52,6 +52,8 @@ class PerfectHash:
     @classmethod
     def build(cls, digests: np.ndarray) -> PerfectHash:
         """`digests`: uint8[n, 32], distinct."""
+        if len(np.unique(np.ascontiguousarray(digests).view("V32"))) < len(digests):
+            raise ValueError("a digest is repeated")
         words, levels = np.ascontiguousarray(digests).view(np.uint64).reshape(-1, 4), []
         while len(words):
             size = max(8, int(GAMMA * len(words)))
@@ -110,13 +112,13 @@ def lookup(digests: np.ndarray, sizes: list[int], bits: bytes, held: bytes, winn
 
 
 def _probe(incoming: pa.Table, index: pa.Table) -> pa.Table:
-    """Of a shard's incoming digests, those that its history lacks."""
-    out = incoming.select(["doc_id", "digest"])
-    if not index.num_rows or not incoming.num_rows:
-        return out
-    row = index.to_pylist()[0]
-    _, found = lookup(_matrix(incoming["digest"]), row["sizes"], row["bits"], row["digests"], row["winners"])
-    return out.filter(pa.array(~found))
+    """A shard's incoming digests with their winners in the history; null for those that it lacks."""
+    out = incoming.select(["doc_id", "digest", "n"])
+    winner, found = np.zeros(out.num_rows, np.int64), np.zeros(out.num_rows, bool)
+    if index.num_rows and incoming.num_rows:
+        row = index.to_pylist()[0]
+        winner, found = lookup(_matrix(incoming["digest"]), row["sizes"], row["bits"], row["digests"], row["winners"])
+    return out.append_column("winner", pa.array(winner, mask=~found))
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,32 +134,56 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
     return _sharded(history, shards).groupBy("shard").applyInArrow(_build, "shard int, sizes array<long>, bits binary, digests binary, winners binary")
 
 
-def nonmembers(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """doc_id, digest of the distinct incoming digests that the index doesn't hold."""
-    return _sharded(incoming, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "doc_id long, digest binary")
+def looked_up(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """doc_id, digest, n of the distinct incoming digests, with winner: the id that the index holds for the digest, null if it lacks it."""
+    return _sharded(incoming, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_probe, "doc_id long, digest binary, n long, winner long")
+
+
+def _kept(rows: DataFrame, history_until: int | None) -> DataFrame:
+    """doc_id, digest, n (rows) -> doc_id, digest, origin, copies."""
+    if history_until is None:
+        low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        history_until = (low + high) // 2 if low is not None else 0
+    groups = rows.withColumn("new", F.col("doc_id") > history_until).groupBy("digest", "new").agg(F.min("doc_id").alias("doc_id"), F.sum("n").alias("n"))
+    groups = written(groups, "digests")
+    history, incoming = groups.where(~F.col("new")).select("doc_id", "digest", "n"), groups.where("new").select("doc_id", "digest", "n")
+    shards = max(1, -(-history.count() // SHARD_KEYS))
+    index = written(build_index(history.select("doc_id", "digest"), shards), "digest-index")
+    found = written(looked_up(incoming, index, shards), "looked-up")
+    # an id may win with several texts
+    repeats = found.where("winner IS NOT NULL").select("digest", F.col("winner").alias("doc_id"), F.col("n").alias("more"))
+    old = history.join(repeats, ["doc_id", "digest"], "left").select("doc_id", "digest", F.lit("history").alias("origin"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("copies"))
+    return old.unionByName(found.where("winner IS NULL").select("doc_id", "digest", F.lit("incoming").alias("origin"), F.col("n").alias("copies")))
 
 
 def kept(docs: DataFrame, history_until: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, origin (history or incoming): the one document that stays of each text.
+    """doc_id, digest, origin (history or incoming), copies: the one document that stays of each text, and how many rows have it.
     Ids up to `history_until` are the history; by default the lower half of the range of ids."""
     if history_until is None:
         low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
         history_until = (low + high) // 2 if low is not None else 0
-    groups = digested(docs, id_col, text_col).withColumn("new", F.col("doc_id") > history_until).groupBy("digest", "new").agg(F.min("doc_id").alias("doc_id"))
-    groups = written(groups, "digests")
-    history, incoming = groups.where(~F.col("new")).select("doc_id", "digest"), groups.where("new").select("doc_id", "digest")
-    shards = max(1, -(-history.count() // SHARD_KEYS))
-    index = written(build_index(history, shards), "digest-index")
-    return history.withColumn("origin", F.lit("history")).unionByName(nonmembers(incoming, index, shards).withColumn("origin", F.lit("incoming")))
+    return _kept(digested(docs, id_col, text_col).withColumn("n", F.lit(1).cast("long")), history_until)
+
+
+def winners(docs: DataFrame, history_until: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, winner: for every document the one that stays of its text, itself or another."""
+    stay = kept(docs, history_until, id_col, text_col).select(F.col("digest").alias("of"), F.col("doc_id").alias("winner"))
+    return digested(docs, id_col, text_col).join(stay, F.col("digest") == F.col("of")).select("doc_id", "winner")
 
 
 def deduplicated(docs: DataFrame, history_until: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns unchanged."""
-    stay = kept(docs, history_until, id_col, text_col).select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
+    """The documents that stay, all columns unchanged. Decided by ids and digests alone; texts are shuffled only where the documents that go are too many to be broadcast."""
+    rows = written(digested(docs, id_col, text_col).groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "rows")
+    stay = written(_kept(rows, history_until).select("doc_id", "digest"), "stay")
+    gone = rows.join(stay, ["doc_id", "digest"], "left_anti").select("doc_id", "digest")
+    again = rows.where("n > 1").join(stay, ["doc_id", "digest"], "left_semi").select("doc_id", "digest")  # rows repeated with their id
+    again = written(again.select(F.col("doc_id").alias("_id2"), F.col("digest").alias("_digest2")), "again")
+    out, _ = bounded(written(gone.union(again).select(F.col("doc_id").alias("_id2"), F.col("digest").alias("_digest2")), "gone"))
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     own = docs.where(F.col(id_col).isNotNull()).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).cast("long").alias("_id"), digest.alias("_digest"))
-    once = own.join(stay, (F.col("_id") == F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest")))
-    # a row repeated with its id: the join has put both in one partition, side by side
+    same = (F.col("_id") == F.col("_id2")) & (F.col("_digest") == F.col("_digest2"))
+    once = own.join(out, same, "left_anti").select("_row.*")
+    if again.isEmpty():
+        return once
     first = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.lit(0)))
-    return once.withColumn("_n", first).where("_n = 1").select("_row.*")
-
+    return once.unionByName(own.join(bounded(again)[0], same, "left_semi").withColumn("_n", first).where("_n = 1").select("_row.*"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import coded_words, identified, offsets_of, slices, written
+from siltstone.llm.common import bounded, coded_words, identified, offsets_of, slices, written
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
 #: Nodes in a block: the texts of two blocks are in a task's memory at once.
@@ -285,6 +285,7 @@ class _Join:
         n, threshold = self.n, self.threshold
         entries = written(entries, "tasks")
         needed = entries.select("task", "node").distinct().join(self.nodes.select("node", "weight", F.col("a").alias("doc_id"), F.col("ha").alias("h")), "node")
+        needed, _ = bounded(written(needed, "needed"))
         texts = identified(self.docs, *self.columns).withColumn("h", F.xxhash64("text")).join(needed, ["doc_id", "h"])
         # a row repeated with its id comes more than once
         texts = texts.groupBy("task", "node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
@@ -372,6 +373,8 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     root = written(root.union(root.select(F.col("root").alias("node"), "root").distinct()).join(own.nodes.select("node", "a"), "node"), "rooted")
     kept = root.join(root.groupBy("root").agg(F.min("a").alias("least")), "root").select("node", "least")
     least = own.nodes.select("set", "node", "a", "weight").join(kept, "node", "left").where("weight > 1 OR least < a").select(F.col("set").alias("of"), F.coalesce("least", "a").alias("least"))
-    gone = own.members.join(least, F.col("set") == F.col("of")).where("doc_id > least").select(F.col("doc_id").alias("gone")).distinct()
+    gone = own.members.join(least, F.col("set") == F.col("of")).where("doc_id > least").select(F.col("doc_id").alias("gone"), F.col("h").alias("gone_h")).distinct()
+    gone, _ = bounded(written(gone, "gone"))
     stay = docs.where(F.col(id_col).isNotNull()).alias("stay")
-    return stay.join(gone, F.col(f"stay.{id_col}").cast("long") == F.col("gone"), "left_anti")
+    h = F.xxhash64(F.coalesce(F.col(f"stay.{text_col}"), F.lit("")))
+    return stay.join(gone.alias("left"), (F.col(f"stay.{id_col}").cast("long") == F.col("left.gone")) & (h == F.col("left.gone_h")), "left_anti")

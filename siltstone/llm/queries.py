@@ -46,7 +46,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept(documents(spark, sf_dir)).select("doc_id", F.lower(F.hex("digest")).alias("digest"), "origin")
+    return exact_dedup.kept(documents(spark, sf_dir)).select("doc_id", F.lower(F.hex("digest")).alias("digest"), "origin", "copies")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,6 @@ found AS (SELECT item_id, tf.doc_id, ROUND(SUM(times * LN(1 + (docs - df + 0.5)
 ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM found)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {topk_search.K}""",
     "op9_exact_dedup": """
-WITH middle AS (SELECT (MIN(doc_id) + MAX(doc_id)) // 2 AS m FROM documents), stay AS (SELECT MIN(doc_id) AS doc_id, sha256(text) AS digest FROM documents GROUP BY text)
-SELECT doc_id, digest, CASE WHEN doc_id <= m THEN 'history' ELSE 'incoming' END AS origin FROM stay, middle""",
+WITH middle AS (SELECT (MIN(doc_id) + MAX(doc_id)) // 2 AS m FROM documents), stay AS (SELECT MIN(doc_id) AS doc_id, sha256(text) AS digest, COUNT(*) AS copies FROM documents GROUP BY text)
+SELECT doc_id, digest, CASE WHEN doc_id <= m THEN 'history' ELSE 'incoming' END AS origin, copies FROM stay, middle""",
 }

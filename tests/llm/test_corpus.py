@@ -19,7 +19,7 @@ LIVE = [r for r in ODD if r[0] is not None]
 
 def clashing(df):
     """Further columns, named like what operators use inside."""
-    return df.withColumn("digest", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("times", F.lit(2)).withColumn("a", F.lit(None).cast("int")).withColumn("size", F.lit(3)).withColumn("node", F.lit(5)).withColumn("g", F.lit(7))
+    return df.withColumn("digest", F.lit(1)).withColumn("_row", F.lit("x")).withColumn("times", F.lit(2)).withColumn("a", F.lit(None).cast("int")).withColumn("size", F.lit(3)).withColumn("node", F.lit(5)).withColumn("g", F.lit(7)).withColumn("gone", F.lit(8)).withColumn("h", F.lit(9)).withColumn("_id2", F.lit(1))
 
 
 # --- exact dedup ---
@@ -59,6 +59,32 @@ def test_one_of_equal_texts_stays(odd, until):
     assert sorted(r["doc_id"] for r in exact_dedup.deduplicated(odd, until).collect()) == least_of_equals(LIVE)
 
 
+def test_repeated_digests_are_an_error():
+    digest = np.frombuffer(hashlib.sha256(b"x").digest() * 2, np.uint8).reshape(-1, 32)
+    with pytest.raises(ValueError):
+        exact_dedup.PerfectHash.build(digest)
+
+
+@pytest.mark.parametrize("until", [None, -100, 5, 1000])
+def test_winners_and_copies_by_force(odd, until):
+    best = {}
+    for i, t, *_ in LIVE:
+        best[t or ""] = min(best.get(t or "", i), i)
+    assert sorted(map(tuple, exact_dedup.winners(clashing(odd), until).collect())) == sorted((i, best[t or ""]) for i, t, *_ in LIVE)
+    assert {r["doc_id"]: r["copies"] for r in exact_dedup.kept(odd, until).collect()} == Counter(best[t or ""] for _, t, *_ in LIVE)
+
+
+def test_dedup_with_and_without_broadcast(odd, monkeypatch):
+    from siltstone.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicated(odd).collect()) == least_of_equals(LIVE)
+    assert Counter(r["doc_id"] for r in ngram_join.one_of_each(odd).collect())[5] == 1
+    sorted_links = sorted(map(tuple, ngram_join.joined(odd).collect()))
+    monkeypatch.undo()
+    assert sorted(map(tuple, ngram_join.joined(odd).collect())) == sorted_links
+
+
 def test_dedup_keeps_columns_and_works_on_nothing(odd, empty):
     wide = clashing(odd)
     out = exact_dedup.deduplicated(wide)
@@ -152,6 +178,8 @@ def test_two_texts_under_one_id(table):
     text = " ".join(f"w{k}" for k in range(40))
     docs = table([(1, text, "en", "s"), (1, text.upper(), "en", "s"), (2, text + " w40", "en", "s"), (1, "quite another one", "en", "s"), (1, "quite another one", "en", "s")])
     assert sorted(map(tuple, ngram_join.joined(docs).collect())) == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    docs = docs.union(table([(0, text, "en", "s")]))
+    assert [r["text"] for r in ngram_join.one_of_each(docs).orderBy("doc_id").collect()] == [text, "quite another one", "quite another one"]
 
 
 @pytest.fixture
