@@ -4,8 +4,9 @@ Every language has a zstandard raw-content dictionary of labelled text. A text b
 language whose dictionary encodes it in the fewest bytes; where the runner-up needs hardly more,
 the text is rejected.
 
-Texts are encoded whole, in blocks of fixed size, so that a long text's own repetitions don't
-drown the dictionary and the margin means the same at any length.
+Texts are encoded whole, in blocks of fixed size that each start from the dictionary alone. In one piece, a long text's own repetitions
+would replace the dictionary, all languages would come out nearly equal, and clean long texts would be rejected for
+their narrow margin; in blocks the margin means the same at any length.
 
 Defined results: empty, null and blank texts are rejected with language null; ties go to the
 first language by name and have margin 0, so they are rejected too; a repeated row is judged
@@ -22,26 +23,46 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import identified
+from siltstone.llm.common import identified, slices
 
-#: Bytes in each language's dictionary, and how many labelled documents are drawn for it.
+#: Bytes in each language's dictionary, and how many labelled documents are considered for it.
 DICTIONARY_BYTES, DOCS_PER_LANGUAGE = 1 << 16, 200
 BLOCK, LEVEL, MIN_MARGIN = 4096, 6, 0.005
 
 
+def chosen(sizes: list[tuple[int, int, int]], dictionary_bytes: int) -> list[int]:
+    """(hash, id, bytes) of a language's candidates -> the ids of those whose whole texts fill its dictionary, in order of the hash; one that doesn't fit in
+    what is left is passed over. If none fits, the shortest alone."""
+    out, left = [], dictionary_bytes
+    for _, i, n in sorted(sizes):
+        if n + bool(out) <= left:
+            out.append(i)
+            left -= n + bool(len(out) > 1)
+    return out or [i for _, i in sorted((n, i) for _, i, n in sizes)[:1]]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", dictionary_bytes: int = DICTIONARY_BYTES, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
-    """Dictionaries from a bounded sample of labelled rows: the `docs_per_language` with the lowest
-    hash of the id, in that order, until a dictionary is full. The ids are chosen first, without the texts."""
+    """Dictionaries of whole texts from a bounded sample of labelled rows: of the `docs_per_language` with the lowest hash of the id, those that fit.
+    They are chosen by ids and lengths; the driver gets only the texts that are used."""
     rank = F.xxhash64(F.col(id_col).cast("long"))
-    ids = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"), rank.alias("h")).distinct()
-    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("r") <= docs_per_language).drop("r")
-    texts = identified(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")  # broadcast: bounded by docs_per_language
-    found: dict[str, list[tuple[int, int, str]]] = {}
+    live = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    ids = live.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"), rank.alias("h"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size")).distinct()
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id", "size"))).where(F.col("r") <= docs_per_language)
+    candidates: dict[str, list[tuple[int, int, int]]] = {}
+    for row in ids.collect():  # bounded by docs_per_language
+        if row["size"]:
+            candidates.setdefault(row["label"], []).append((row["h"], row["doc_id"], row["size"]))
+    order = {(label, i): k for label, rows in candidates.items() for k, i in enumerate(chosen(rows, dictionary_bytes))}
+    if not order:
+        return {}
+    wanted = docs.sparkSession.createDataFrame([(i, label) for label, i in order], "of long, label string")
+    texts = identified(docs, id_col, text_col).join(F.broadcast(wanted), F.col("doc_id") == F.col("of"))  # bounded by the dictionaries' sizes
+    found: dict[str, list[tuple[int, str]]] = {}
     for row in texts.toLocalIterator():
-        found.setdefault(row["label"], []).append((row["h"], row["doc_id"], row["text"]))
+        found.setdefault(row["label"], []).append((order[row["label"], row["doc_id"]], row["text"]))
     out = {}
     for label, rows in sorted(found.items()):
-        raw = "\n".join(dict.fromkeys(t.lower() for *_, t in sorted(rows))).encode()[:dictionary_bytes]
+        raw = "\n".join(dict.fromkeys(t.lower() for _, t in sorted(rows))).encode()
         if len(raw) >= 8:
             out[label] = raw
     return out
@@ -78,7 +99,7 @@ def judge(text: str | None, names: list[str], coders: list[zstandard.ZstdCompres
 
 def _judged(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes], text_col: str, min_margin: float) -> Iterator[tuple[pa.RecordBatch, list]]:
     names, coders = list(dictionaries), compressors(dictionaries)
-    for batch in batches:
+    for batch in slices(batches, text_col):
         yield batch, [judge(t.as_py(), names, coders, min_margin) for t in batch.column(text_col)]
 
 
