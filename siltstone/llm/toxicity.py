@@ -10,7 +10,8 @@ meaning are averaged in, so that a text of few words isn't judged by chance. The
 
 Plain gradient descent would first learn frequent n-grams, which tell little, and steps of equal size for all n-grams
 would learn rare ones, which know single documents by heart. So an n-gram's gradient is divided by the number of
-documents that have it: what moves first is what goes with the class.
+documents that have it and a few more, which holds back those that only tell single documents apart: what moves first is what
+goes with the class, and no n-gram is left out.
 
 What is averaged and then mapped linearly can be mapped first, so scoring a word is a sum of one number
 for each n-gram, done once for each distinct word of a batch.
@@ -23,22 +24,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import byte_buffer, coded_words, identified, offsets_of, slices
 
 #: The fit's bounded sample: labelled documents of either class.
 TOXIC_DOCS, OTHER_DOCS = 1000, 2000
-#: An n-gram counts in the fit if it occurs in this share of its documents: rarer ones only tell documents apart.
-LEAST_SHARE, LEAST_DOCS = 0.007, 3
+#: Longer documents, in bytes, aren't used for the fit. All are scored, whole.
+FIT_BYTES = 1 << 20
+#: Documents, as a share of the fit's, that are added to the number of those that have an n-gram.
+FEW = 0.007
 #: What a share of clean documents above the threshold costs, against an equal share of toxic ones below it.
 FALSE_COST = 3
-#: Two classes part along one direction, so two dimensions are enough.
-BUCKETS, DIMS, PRIOR, GAIN = 1 << 17, 2, 60, 30.0
+BUCKETS, DIMS, PRIOR, GAIN = 1 << 17, 4, 60, 30.0
 EPOCHS, RATE, HEAD_RATE, DECAY = 36, 1.0, 0.05, 1e-3
 NGRAMS = (3, 4, 5)
 
@@ -132,12 +135,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         own = word[text_at[i] : text_at[i + 1]]
         n = each[own]
         support[np.unique(bucket[np.repeat(first[own] - offsets_of(n)[:-1], n) + np.arange(int(n.sum()))])] += 1
-    used = np.flatnonzero(support >= min(max(LEAST_DOCS, LEAST_SHARE * len(fit)), support.max()))
-    dense = np.full(BUCKETS, -1, np.int32)
+    used = np.flatnonzero(support)
+    dense = np.zeros(BUCKETS, np.int32)
     dense[used] = np.arange(len(used))
-    word_of = np.repeat(np.arange(len(words), dtype=np.int32), each)
-    keep = dense[bucket] >= 0
-    bucket, word_of = dense[bucket[keep]], word_of[keep]
+    word_of, bucket = np.repeat(np.arange(len(words), dtype=np.int32), each), dense[bucket]
+    near = (support[used] + FEW * len(fit))[:, None]
     inv, n_words = (1 / each)[word_of], len(words)
     label = y[fit]
     share = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
@@ -150,7 +152,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(label)), label] -= 1
         d = p * share[:, None]
-        d_e = _sums(bucket, _sums(word, (d @ w.T)[text], weight, n_words)[word_of], inv, len(used)) / support[used][:, None]
+        d_e = _sums(bucket, _sums(word, (d @ w.T)[text], weight, n_words)[word_of], inv, len(used)) / near
         for x, g, rate, s, size in zip((e, w, b), (d_e, mean.T @ d + DECAY * w, d.sum(axis=0, keepdims=True)), (RATE, HEAD_RATE, HEAD_RATE), state, (np.max, np.mean, np.mean)):
             # one step length for a whole table, by its recent gradients
             s[0] = 0.9 * s[0] + 0.1 * g
@@ -170,11 +172,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 5) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> Model:
-    """Trains on the driver, on the `toxic_docs` and `other_docs` labelled documents of the two classes with the lowest hash of the id."""
+    """Trains on the driver, on the `toxic_docs` and `other_docs` labelled documents of the two classes with the lowest hash of the id, but for those beyond FIT_BYTES."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("y"))
-    ranked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id")))
-    sample = ranked.where(F.col("r") <= F.when(F.col("y") == 1, toxic_docs).otherwise(other_docs)).select("doc_id", "y")
-    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in identified(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").toLocalIterator())
+    known = known.withColumn("h", F.xxhash64("doc_id"))
+    # only what a class needs moves: each task's first ones
+    sample = reduce(DataFrame.union, (known.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).select("doc_id", "y") for y, n in ((1, toxic_docs), (0, other_docs))))
+    texts = identified(docs, id_col, text_col).where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(sample), "doc_id")
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in texts.toLocalIterator())
     return train([t for _, t, _ in rows], [y for *_, y in rows])
 
 

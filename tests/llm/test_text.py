@@ -426,6 +426,30 @@ def test_unseen_misspellings(judge):
     assert hit[y == 1].mean() >= 0.8 and hit[y == 0].mean() <= 0.02
 
 
+def buckets_by_force(word):
+    """One n-gram at a time, in whole numbers."""
+    raw, out = b"<" + word.encode() + b">", []
+    for k in toxicity.NGRAMS:
+        for at in range(len(raw) - k + 1):
+            h = 0
+            for c in raw[at : at + k]:
+                h = h * 0x01000193 % (1 << 32) ^ c
+            x = ((h ^ h >> 15) * 0x2C1B3C6D + k - 1) % (1 << 32)
+            out.append((x ^ x >> 13) % toxicity.BUCKETS)
+    whole = sum((c + 1) * pow(0x100000001B3, at, 1 << 64) for at, c in enumerate(raw)) % (1 << 64)
+    whole = (whole ^ whole >> 31) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return [*out, (whole >> 40) % toxicity.BUCKETS]
+
+
+def test_toxicity_by_force(judge):
+    """Every word the mean of its n-grams, a text the weighted mean of its words and of PRIOR words of no meaning."""
+    texts = made_up(40, 9)[0] + ["", "idiot", "idiot idiot idiot the naïve 東京", "x " * 3000]
+    for t, got in zip(texts, judge.score(pa.array(texts))):
+        weight = {w: math.sqrt(n) for w, n in Counter(t.lower().split()).items()}
+        mean = sum(v * np.mean([float(judge.weight[b]) for b in buckets_by_force(w)]) for w, v in weight.items()) / (sum(weight.values()) + toxicity.PRIOR)
+        assert got == pytest.approx(1 / (1 + math.exp(-(toxicity.GAIN * mean + judge.bias))) if weight else 0, abs=1e-9)
+
+
 def test_features_of_words_stand_apart():
     words = pa.array(["the", "thé", "a", "toxic"], pa.string())
     bucket, each = toxicity.features(words)
@@ -464,19 +488,31 @@ def test_languages_of_the_test_table(spark):
     assert sum(r["language"] == r["lang"] for r in kept) >= 0.98 * len(kept)
 
 
-def test_languages_by_force():
-    """The smallest of four compressions, and how narrow it is."""
+def test_languages_by_force(spark, small):
+    """Every text, block by block, with a compressor made for the block; the smallest sum, and how narrow it is."""
     import zstandard
 
-    dictionaries = {"x": b"aaaa bbbb cccc dddd eeee " * 40, "y": b"zzzz yyyy wwww vvvv uuuu " * 40}
-    coders = language_id.compressors(dictionaries)
-    name, margin, rejected = language_id.judge("bbbb dddd cccc aaaa", list(dictionaries), coders, 0.005)
-    assert name == "x" and margin > 0.05 and not rejected
-    assert language_id.judge("zzzz wwww vvvv yyyy", list(dictionaries), coders, 0.005)[0] == "y"
-    assert language_id.judge("1", list(dictionaries), coders, 0.005)[1:] == (0.0, True)
-    assert isinstance(coders[0], zstandard.ZstdCompressor)
-    long = "bbbb dddd " * 5000
-    assert language_id.judge(long, list(dictionaries), coders, 0.005)[0] == "x"
+    dictionaries = language_id.fit(small)
+    rows = [tuple(r) for r in small.select("doc_id", "text").collect()] + [(10_001, "bien " * 4000 + "the end"), (10_002, "1")]
+    got = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), dictionaries).collect()}
+    for i, text in rows:
+        raw, sizes = text.lower().encode(), []
+        for name, d in dictionaries.items():
+            params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.BLOCK, dict_size=len(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            coder = lambda: zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))  # noqa: B023, E731
+            sizes.append((sum(len(coder().compress(raw[k : k + language_id.BLOCK])) for k in range(0, len(raw), language_id.BLOCK)), name))
+        (best, name), (second, _) = sorted(sizes)[:2]
+        margin = (second - best) / second
+        want = (None, 0.0, True) if not text.strip() else (name, margin, margin <= language_id.MIN_MARGIN)
+        assert (got[i]["language"], got[i]["margin"], got[i]["rejected"]) == pytest.approx(want) if want[0] else got[i]["rejected"], i
+
+
+def test_dictionaries_hold_whole_texts(table):
+    docs = table([(k, f"text {k} " + "äx" * (10 * k), "de", "s") for k in range(12)] + [(50, "y" * 5000, "fr", "s"), (51, "z" * 6000, "fr", "s"), (52, "", "en", "s")])
+    found = language_id.fit(docs, dictionary_bytes=600)
+    assert set(found) == {"de", "fr"} and found["fr"] == b"y" * 5000
+    texts = {r["text"] for r in docs.collect()}
+    assert 300 < len(found["de"]) <= 600 and set(found["de"].decode().split("\n")) <= texts
 
 
 def test_language_of_odd_rows(odd, empty):
