@@ -6,9 +6,11 @@ in a balanced tree; a shard is opened only if none holds it.
 
 Best fit treats groups of equal size alike, so it is run on the histogram of sizes: where n groups have
 size s and the tightest shards have r left, each of those takes floor(r / s) of them in turn. The tree
-holds runs of like shards, so the driver's work and memory follow the number of distinct sizes (at most
-the capacity), not that of the documents, and the result is that of the one-by-one algorithm. The groups
-of a size are numbered by their smallest id, and the plan says which numbers go to which shard.
+holds runs of like shards. The result is that of the one-by-one algorithm.
+
+The groups have places in the order by decreasing size and then least id, which come from a distributed sort; the plan says which
+places go to which shard. The driver reads the histogram as a stream, from the largest size down, and writes the plan in pieces of PIECE rows,
+so it holds neither, only the tree: at most one node for each different remaining capacity. Groups beyond the capacity, of however many sizes, are shards by their place alone.
 
 Defined results: a group larger than the capacity is a shard by itself; groups of size 0 join the
 tightest shard; null and empty texts are equal texts; ties go by the smallest id; a repeated row gets
@@ -17,6 +19,10 @@ its document's shard, once for each row, and counts twice; an empty table has no
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +31,8 @@ from siltstone.llm.common import identified, written
 
 #: Bytes of text in a shard, in the registered query.
 CAPACITY = 16 << 20
+#: Rows of the plan that the driver holds at once; places that are joined with the plan together.
+PIECE, BUCKET = 200_000, 1024
 
 
 class Node:
@@ -126,15 +134,10 @@ class Remaining:
         self.root = go(self.root, key)
 
 
-def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows (size, from number, to number, first shard, groups a shard), and how many shards there are."""
-    rows, shards, tree = [], 0, Remaining()
-    for size in sorted(histogram, reverse=True):
-        left, number = histogram[size], 0
-        if size > capacity:
-            rows.append((size, 0, left, shards, 1))
-            shards += left
-            continue
+def plan(histogram: Iterable[tuple[int, int]], capacity: int, place: int = 0, shards: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(size, groups) from the largest size down, none beyond the capacity -> rows (from place, to place, first shard, groups a shard), in order."""
+    tree = Remaining()
+    for size, left in histogram:
         while left:
             node = tree.tightest(size)
             if node is None:
@@ -151,16 +154,24 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
                 more = min(left - full * each, each) if full < run[1] else 0
                 rest = run[1] - full - bool(more)
             if full:
-                rows.append((size, number, number + full * each, run[0], each))
+                yield place, place + full * each, run[0], each
                 tree.add(room - each * size, (run[0], full))
-                number, left = number + full * each, left - full * each
+                place, left = place + full * each, left - full * each
             if more:
-                rows.append((size, number, number + more, run[0] + full, each))
+                yield place, place + more, run[0] + full, each
                 tree.add(room - more * size, (run[0] + full, 1))
-                number, left = number + more, left - more
+                place, left = place + more, left - more
             if rest:
                 tree.add(room, (run[0] + full + bool(more), rest))
-    return rows, shards
+
+
+def _in_order(groups: DataFrame) -> DataFrame:
+    """g, size, place: the groups numbered from the largest down. A row knows its partition of the sort and its place there; the sizes of the partitions before it give the rest."""
+    ordered = groups.orderBy(F.desc("size"), "least", "g").select("g", "size", F.monotonically_increasing_id().alias("at"))
+    ordered = written(ordered, "ordered").withColumn("part", F.shiftright("at", 33))
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    return ordered.join(F.broadcast(before), "part").select("g", "size", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, group_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,13 +183,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group_col: str | None = No
         own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(group_col).alias("g"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("size"))
     own = written(own, "sizes")
     groups = written(own.groupBy("g").agg(F.sum("size").alias("size"), F.min("doc_id").alias("least")), "groups")
-    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count("*").alias("n")).toLocalIterator()}
-    rows, _ = plan(histogram, capacity)
-    names = ["size", "low", "high", "first", "each"]
-    columns = list(zip(*rows)) or [()] * 5
-    steps = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names))
-    steps = steps.withColumnRenamed("size", "of")
-    numbered = groups.withColumn("number", (F.row_number().over(Window.partitionBy("size").orderBy("least", "g")) - 1).cast("long"))
-    placed = numbered.join(steps, (F.col("size") == F.col("of")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high")))
-    placed = placed.select(F.col("g").alias("of"), (F.col("first") + F.floor((F.col("number") - F.col("low")) / F.col("each"))).cast("long").alias("shard"))
+    large = groups.where(F.col("size") > capacity).count()
+    counts = written(groups.where(F.col("size") <= capacity).groupBy("size").agg(F.count("*").alias("n")), "histogram").orderBy(F.desc("size"))
+    rows, pieces = plan(((r["size"], r["n"]) for r in counts.toLocalIterator()), capacity, large, large), []
+    while piece := list(islice(rows, PIECE)):
+        table = pa.table([pa.array(c, pa.int64()) for c in zip(*piece)], ["low", "high", "first", "each"])
+        pieces.append(written(spark.createDataFrame(table), "plan"))
+    ordered = written(_in_order(groups), "places")
+    alone = ordered.where(F.col("place") < large).select(F.col("g").alias("of"), F.col("place").alias("shard"))
+    placed = alone
+    if pieces:
+        steps = reduce(DataFrame.union, pieces)
+        steps = steps.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / BUCKET), F.floor((F.col("high") - 1) / BUCKET))))
+        found = ordered.withColumn("bucket", F.floor(F.col("place") / BUCKET)).join(steps, "bucket").where("place >= low AND place < high")
+        placed = alone.union(found.select(F.col("g").alias("of"), (F.col("first") + F.floor((F.col("place") - F.col("low")) / F.col("each"))).cast("long").alias("shard")))
     return own.join(placed, F.col("g").eqNullSafe(F.col("of"))).select("doc_id", "shard")

@@ -321,16 +321,41 @@ def best_fit_by_force(sizes, capacity):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 25))
 def test_plan_is_best_fit_decreasing(sizes, capacity):
-    rows, shards = packing.plan(dict(Counter(sizes)), capacity)
-    load, placed = defaultdict(list), Counter()
-    for size, low, high, first, each in rows:
+    order = sorted(sizes, reverse=True)
+    large = sum(s > capacity for s in sizes)
+    rows = list(packing.plan(sorted(Counter(order[large:]).items(), reverse=True), capacity, large, large))
+    load = {k: [order[k]] for k in range(large)}
+    ends = [large, *(high for _, high, *_ in rows)]
+    assert [low for low, *_ in rows] == ends[:-1] and ends[-1] == len(sizes)
+    for low, high, first, each in rows:
         for k in range(low, high):
-            load[first + (k - low) // each].append(size)
-            placed[size] += 1
-    assert placed == Counter(sizes) and set(load) == set(range(shards))
+            load.setdefault(first + (k - low) // each, []).append(order[k])
+    assert sorted(x for own in load.values() for x in own) == sorted(sizes) and set(load) == set(range(len(load)))
     room = sorted(-1 if sum(x) > capacity else capacity - sum(x) for x in load.values())
     assert all(sum(x) <= capacity or len([s for s in x if s]) == 1 for x in load.values())
-    assert (shards, room) == best_fit_by_force(sizes, capacity)
+    assert (len(load), room) == best_fit_by_force(sizes, capacity)
+
+
+@pytest.mark.parametrize("piece", [3, 200_000])
+def test_packing_of_the_test_table_by_force(small, monkeypatch, piece):
+    """As many shards, as full, as one by one; groups of equal texts stay together."""
+    monkeypatch.setattr(packing, "PIECE", piece)
+    monkeypatch.setattr(packing, "BUCKET", 7)
+    size, text = Counter(), {}
+    for r in small.select("doc_id", "text").collect():
+        text[r["doc_id"]] = r["text"]
+        size[r["text"]] += len(r["text"].encode())
+    shard = {r["doc_id"]: r["shard"] for r in packing.packed(small, 20_000).collect()}
+    assert set(shard) == set(text)
+    of = defaultdict(set)
+    for i, t in text.items():
+        of[t].add(shard[i])
+    assert all(len(s) == 1 for s in of.values())
+    load = Counter()
+    for t, (s,) in of.items():
+        load[s] += size[t]
+    shards, room = best_fit_by_force(list(size.values()), 20_000)
+    assert len(load) == shards and sorted(-1 if n > 20_000 else 20_000 - n for n in load.values()) == room
 
 
 def test_the_tree_is_balanced():
