@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_root: dict[str, str] = {}
@@ -69,6 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with their place in the order, from 0, as a column place. A row knows its partition of a distributed sort and its place there; the sizes of the
+    partitions before it give the rest. No task sees more than its partition."""
+    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("n"))
+    before = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    return ordered.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
 #: Rows of identifiers and digests up to which a table is broadcast: some tens of megabytes.
 BROADCAST_ROWS = 500_000
 

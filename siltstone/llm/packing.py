@@ -24,10 +24,10 @@ from functools import reduce
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import identified, written
+from siltstone.llm.common import identified, in_order, written
 
 #: Bytes of text in a shard, in the registered query.
 CAPACITY = 16 << 20
@@ -165,15 +165,6 @@ def plan(histogram: Iterable[tuple[int, int]], capacity: int, place: int = 0, sh
                 tree.add(room, (run[0] + full + bool(more), rest))
 
 
-def _in_order(groups: DataFrame) -> DataFrame:
-    """g, size, place: the groups numbered from the largest down. A row knows its partition of the sort and its place there; the sizes of the partitions before it give the rest."""
-    ordered = groups.orderBy(F.desc("size"), "least", "g").select("g", "size", F.monotonically_increasing_id().alias("at"))
-    ordered = written(ordered, "ordered").withColumn("part", F.shiftright("at", 33))
-    parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
-    return ordered.join(F.broadcast(before), "part").select("g", "size", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
-
-
 def packed(docs: DataFrame, capacity: int = CAPACITY, group_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, shard: a row for each document. `group_col` names what keeps documents together; null is a group of its own."""
     spark = docs.sparkSession
@@ -189,7 +180,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group_col: str | None = No
     while piece := list(islice(rows, PIECE)):
         table = pa.table([pa.array(c, pa.int64()) for c in zip(*piece)], ["low", "high", "first", "each"])
         pieces.append(written(spark.createDataFrame(table), "plan"))
-    ordered = written(_in_order(groups), "places")
+    ordered = written(in_order(groups, F.desc("size"), F.asc("least"), F.asc("g")).select("g", "place"), "places")
     alone = ordered.where(F.col("place") < large).select(F.col("g").alias("of"), F.col("place").alias("shard"))
     placed = alone
     if pieces:

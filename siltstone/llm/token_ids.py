@@ -1,64 +1,68 @@
 """Token ids in a byte-aligned binary form.
 
-Texts are cut at blanks; a line break is a token by itself. The VOCABULARY most frequent tokens of the whole corpus have
-ids; any other is spelled as a mark and its bytes, which have ids too, so the coding loses nothing. All ids
-are ranks by frequency, so that frequent ones are small.
+Texts are cut at blanks; a line break is a token by itself. Every token of the whole corpus has an id, its rank by frequency, so that
+frequent ones are small. The ranks come from a distributed sort and meet the texts by a join on tokens, so that no
+task and no driver ever holds the vocabulary, however large: texts are cut into pieces of bounded size; what is counted and joined are the
+distinct tokens of each piece; and a piece's texts, as numbers of the piece's own tokens, are then translated by its table.
 
 A document's ids are written in variable-length coding whose control bytes stand apart from the data:
-two control bits an id say how many bytes it takes (1 to 4), four ids a control byte. Decoding looks a
-control byte's four lengths up in a table and gathers all ids of a document at once in numpy.
+two control bits an id say how many bytes it takes (1, 2, 3 or 5), four ids a control byte. Decoding looks all
+control bytes' lengths up in a table and gathers the ids at once in numpy. Each document's coding is decoded again and compared.
 
 Defined results: null and empty texts have no ids; tokens of equal frequency rank by their bytes; repeated rows
-count and encode like any other; an empty table gives an empty vocabulary of tokens.
+count and encode like any other; an empty table gives an empty vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import binary_array, byte_buffer, identified, offsets_of, slices, written
+from siltstone.llm.common import binary_array, identified, in_order, offsets_of, slices, written
 
-VOCABULARY = 1 << 16
-
-#: For each control byte: the lengths of its four ids.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+#: Text in a piece.
+PIECE_BYTES = 16 << 20
+#: Bytes of an id for each two control bits; and for each control byte those of its four ids.
+SIZES = np.array([1, 2, 3, 5], np.int64)
+LENGTHS = np.array([[SIZES[c >> 2 * k & 3] for k in range(4)] for c in range(256)], np.int64)
 
 
 def encode_ids(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of documents one after the other -> control bytes and where each document's begin, data bytes and where each document's begin."""
-    ids = ids.astype(np.uint32)
-    size = 1 + (ids > 0xFF).astype(np.int64) + (ids > 0xFFFF) + (ids > 0xFFFFFF)
+    """Ids of documents one after the other, below 2 ** 40 -> control bytes and where each document's begin, data bytes and where each document's begin."""
+    ids = ids.astype(np.uint64)
+    code = (ids > 0xFF).astype(np.uint8) + (ids > 0xFFFF) + (ids > 0xFFFFFF)
     quads = -(-counts // 4)
     control_at = offsets_of(quads)
     place = np.arange(len(ids)) - np.repeat(offsets_of(counts)[:-1], counts)
-    slot = np.repeat(control_at[:-1] * 4, counts) + place
     codes = np.zeros(int(control_at[-1]) * 4, np.uint8)
-    codes[slot] = size - 1
+    codes[np.repeat(control_at[:-1] * 4, counts) + place] = code
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    at = offsets_of(size)
+    at = offsets_of(SIZES[code])
     data = np.zeros(int(at[-1]), np.uint8)
-    for k in range(4):
-        some = size > k
-        data[at[:-1][some] + k] = (ids[some] >> np.uint32(8 * k)).astype(np.uint8)
+    for k in range(5):
+        some = np.flatnonzero(code >= min(k, 3)) if k else slice(None)
+        data[at[:-1][some] + k] = (ids[some] >> np.uint64(8 * k)).astype(np.uint8)
     return control, control_at, data, at[offsets_of(counts)]
 
 
-def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ids of a document."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def decode_ids(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of documents one after the other, `counts` of them each."""
+    begin = offsets_of(-(-counts // 4))[:-1] * 4
+    slot = np.repeat(begin - offsets_of(counts)[:-1], counts) + np.arange(int(counts.sum()))
+    size = LENGTHS[control].ravel()[slot]
     at = offsets_of(size)[:-1]
-    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(3, np.uint8))).astype(np.uint32)
-    out = raw[at] if n else np.zeros(0, np.uint32)
-    for k in range(1, 4):
-        out = out | np.where(size > k, raw[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+    raw = np.concatenate((data, np.zeros(4, np.uint8)))
+    out = raw[at].astype(np.int64)
+    for k in range(1, 5):
+        some = np.flatnonzero(size > k)
+        out[some] |= raw[at[some] + k].astype(np.int64) << (8 * k)
     return out
 
 
@@ -104,129 +108,98 @@ def token_counts(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np
     return identified(docs, id_col, text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, size: int) -> list[Row]:
-    """The `size` most frequent tokens, the most frequent first. A histogram of the counts' logarithms says above which
-    count they all lie, so that a task sorts and sends little more than its own share of them, not `size` of its tokens."""
-    step = F.floor(F.log2("n") * 32)
-    need, cut = size, None
-    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect(), reverse=True):
-        cut, need = row["step"], need - row["tokens"]
-        if need <= 0:
-            break
-    if cut is None or size <= 0:
-        return []
-    # written, since collect() of a limit would have every task send its rows to the driver
-    top = written(counts.where(step >= cut).orderBy(F.desc("n"), "token").limit(size), "most-frequent")
-    return sorted(top.collect(), key=lambda r: (-r["n"], bytes(r["token"])))
-
-
-@dataclass
-class Vocabulary:
-    """tokens: the listed tokens' bytes; token_id, byte_id, open_id: the ids of tokens, of bytes, and of the mark before spelled bytes."""
-
-    tokens: list[bytes]
-    token_id: np.ndarray
-    byte_id: np.ndarray
-    open_id: int
-
-    def meaning(self) -> list[bytes | None]:
-        """What each id stands for: a token, one byte of a spelled token as a 1-tuple, or None for the mark."""
-        out: list = [None] * (len(self.tokens) + 257)
-        for t, i in zip(self.tokens, self.token_id.tolist()):
-            out[i] = t
-        for b, i in enumerate(self.byte_id.tolist()):
-            out[i] = (b,)
-        return out
-
-    def ids_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct tokens, one token after the other, and how many each takes."""
-        place = pc.index_in(distinct.cast(pa.binary()), value_set=pa.array(self.tokens, pa.binary()))
-        known = place.is_valid().to_numpy(zero_copy_only=False)
-        data, offsets = byte_buffer(distinct)
-        size = np.diff(offsets)
-        each = np.where(known, 1, size + 1)
-        at = offsets_of(each)
-        out = np.full(int(at[-1]), self.open_id, np.int64)
-        out[at[:-1][known]] = self.token_id[place.drop_null().to_numpy()]
-        spelled = np.flatnonzero(~known)
-        n = size[spelled]
-        inner = np.arange(int(n.sum())) - np.repeat(offsets_of(n)[:-1], n)
-        out[np.repeat(at[:-1][spelled] + 1, n) + inner] = self.byte_id[data[np.repeat(offsets[:-1][spelled], n) + inner]]
-        return out, each
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> Vocabulary:
-    """Counted over the whole corpus. The driver gets `size` tokens; how often bytes and the mark occur follows from
-    totals over all tokens less those of the listed ones."""
-    counts = written(token_counts(docs, blank_tokens, id_col, text_col), "token-counts")
-    top = most_frequent(counts, size)
-    tokens, n = [bytes(r["token"]) for r in top], np.array([r["n"] for r in top], np.int64)
-    listed = set(tokens)
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(257, np.int64)
-        for batch in batches:
-            data, offsets = byte_buffer(batch.column("token"))
-            many = batch.column("n").to_numpy()
-            total[:256] += np.bincount(data[offsets[0] : offsets[-1]], weights=np.repeat(many, np.diff(offsets)), minlength=256).astype(np.int64)
-            total[256] += many.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(total)], ["what", "n"])
-
-    total = np.zeros(257, np.int64)
-    for r in counts.mapInArrow(spelled, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).collect():
-        total[r["what"]] = r["n"]
-    flat = np.frombuffer(b"".join(tokens), np.uint8)
-    total[:256] -= np.bincount(flat, weights=np.repeat(n, [len(t) for t in tokens]), minlength=256).astype(np.int64)
-    total[256] -= n.sum()
-    everything = [(-int(k), 0, t) for t, k in zip(tokens, n)] + [(-int(total[b]), 1, bytes([b])) for b in range(256)] + [(-int(total[256]), 2, b"")]
-    rank = {(kind, t): i for i, (_, kind, t) in enumerate(sorted(everything))}
-    assert len(listed) == len(tokens)
-    return Vocabulary(tokens, np.array([rank[0, t] for t in tokens], np.int64), np.array([rank[1, bytes([b])] for b in range(256)], np.int64), rank[2, b""])
-
-
-def encoded(docs: DataFrame, vocab: Vocabulary | None = None, size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, control, data. After the count over the corpus, one scan without a shuffle."""
-    vocab = vocabulary(docs, size, id_col, text_col) if vocab is None else vocab
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+_PIECES = "piece long, doc_id long, n long, control binary, data binary, token binary, local int"
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document (piece, doc_id, n, control, data: numbers of the piece's tokens, coded) and for each distinct token of a piece (piece,
+    token, local: its number, n: how often it occurs there), as a scratch table. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in slices(batches, "text"):
+        part = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "text", PIECE_BYTES)):
             flat, counts = blank_tokens(batch.column("text"))
             coded = flat.dictionary_encode()
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            ids, each = v.ids_of(coded.dictionary)
-            length = each[which]
-            total = offsets_of(length)
-            out = ids[np.repeat(offsets_of(each)[:-1][which] - total[:-1], length) + np.arange(int(total[-1]))]
-            n = np.diff(total[offsets_of(counts)])
-            control, control_at, data, data_at = encode_ids(out, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), binary_array(control, control_at), binary_array(data, data_at)], ["doc_id", "n_ids", "control", "data"])
-
-    return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, control binary, data binary")
-
-
-def decode_text(control: bytes, data: bytes, n: int, meaning: list) -> str:
-    tokens: list[bytearray] = []
-    for i in decode_ids(control, data, n).tolist():
-        m = meaning[i]
-        if m is None:
-            tokens.append(bytearray())
-        elif isinstance(m, tuple):
-            tokens[-1].append(m[0])
-        else:
-            tokens.append(bytearray(m))
-    return joined_tokens([bytes(t) for t in tokens]).decode("utf-8", "replace")
-
-
-def decoded(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, text from what encoded() gives."""
-    shared = coded.sparkSession.sparkContext.broadcast(vocab)
+            local, tokens = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
+            n = np.bincount(local, minlength=len(tokens))
+            by = np.argsort(-n, kind="stable")  # frequent ones have small numbers here too
+            number = np.empty(len(by), np.int64)
+            number[by] = np.arange(len(by))
+            control, control_at, data, data_at = encode_ids(number[local], counts)
+            yield rows(part + k, len(counts), doc_id=batch.column("doc_id"), n=pa.array(counts), control=binary_array(control, control_at), data=binary_array(data, data_at))
+            for at in range(0, len(tokens), 100_000):
+                own = slice(at, at + 100_000)
+                yield rows(part + k, len(by[own]), token=tokens.take(pa.array(by[own])), n=pa.array(n[by[own]]), local=pa.array(np.arange(len(by))[own], pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meaning = shared.value.meaning()
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_ids")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([decode_text(c, d, n, meaning) for c, d, n in rows], pa.string())], ["doc_id", "text"])
+    def rows(piece: int, many: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"piece": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "control": pa.binary(), "data": pa.binary(), "token": pa.binary(), "local": pa.int32()}
+        columns["piece"] = pa.array(np.full(many, piece))
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(many, t)) for c, t in kinds.items()], list(kinds))
+
+    return written(identified(docs, id_col, text_col).mapInArrow(run, _PIECES), "pieces")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """token, n, id of what pieces() gives, as a scratch table."""
+    counts = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
+    return written(in_order(counts, F.desc("n"), F.asc("token")).withColumnRenamed("place", "id"), "vocabulary")
+
+
+def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """counts, control bytes, data bytes of a piece's documents."""
+    control, data = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint8) for c in ("control", "data"))
+    return table["n"].to_numpy().astype(np.int64), control, data
 
-    return coded.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "doc_id long, text string")
+
+def _translate(table: pa.Table, tokens: pa.Table) -> pa.Table:
+    """A piece's documents, from numbers of its tokens to ids."""
+    counts, control, data = _documents(table)
+    ids = np.zeros(tokens.num_rows, np.int64)
+    ids[tokens["local"].to_numpy()] = tokens["id"].to_numpy()
+    out = ids[decode_ids(control, data, counts)]
+    control, control_at, data, data_at = encode_ids(out, counts)
+    wrong = np.flatnonzero(decode_ids(control, data, counts) != out)
+    same = np.ones(len(counts), bool)
+    same[np.searchsorted(offsets_of(counts), wrong, side="right") - 1] = False
+    return pa.table([table["doc_id"], pa.array(counts), binary_array(control, control_at), binary_array(data, data_at), pa.array(same)], ["doc_id", "n_ids", "control", "data", "round_trip"])
+
+
+def encoded_with(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_ids, control, data, round_trip (whether they decode to the same ids); and the vocabulary: token, n, id. Shuffled are the distinct tokens of each
+    piece, and the coded documents once."""
+    found = pieces(docs, id_col, text_col)
+    vocabulary = ranked(found)
+    # a token is at most once in a piece, so no key is hot; the hash table is of a partition's part of the vocabulary
+    tokens = found.where("token IS NOT NULL").select("token", "piece", "local").join(vocabulary.select("token", "id").hint("shuffle_hash"), "token").select(F.col("piece").alias("of"), "local", "id")
+    texts = found.where("doc_id IS NOT NULL").select("piece", "doc_id", "n", "control", "data")
+    out = texts.groupBy("piece").cogroup(tokens.groupBy("of")).applyInArrow(_translate, "doc_id long, n_ids long, control binary, data binary, round_trip boolean")
+    return out, vocabulary
+
+
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return encoded_with(docs, id_col, text_col)[0]
+
+
+def decoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """doc_id, text from what encoded_with() gives, the same way back: by the distinct ids of each piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(slices(batches, "data", PIECE_BYTES // 4)):
+            counts, control, data = _documents(pa.Table.from_batches([batch]).rename_columns(["doc_id", "n", "control", "data"]))
+            ids, local = np.unique(decode_ids(control, data, counts), return_inverse=True)
+            own, at = binary_array(local.astype(np.uint32).view(np.uint8), 4 * offsets_of(counts)), np.full(len(ids), part + k)
+            yield pa.RecordBatch.from_arrays([pa.array(at[:1].repeat(len(counts)) if len(at) else np.full(len(counts), part + k)), batch.column("doc_id"), own, pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.int32())], ["piece", "doc_id", "places", "id", "local"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(ids), pa.array(np.arange(len(ids)), pa.int32())], ["piece", "doc_id", "places", "id", "local"])
+
+    def spelled(table: pa.Table, tokens: pa.Table) -> pa.Table:
+        words = [None] * tokens.num_rows
+        for k, t in zip(tokens["local"].to_pylist(), tokens["token"].to_pylist()):
+            words[k] = t
+        texts = [joined_tokens([words[k] for k in np.frombuffer(p, np.uint32).tolist()]).decode("utf-8", "replace") for p in table["places"].to_pylist()]
+        return pa.table([table["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    found = written(coded.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "piece long, doc_id long, places binary, id long, local int"), "coded")
+    tokens = found.where("id IS NOT NULL").select("id", "piece", "local").join(vocabulary.select("id", "token"), "id").select(F.col("piece").alias("of"), "local", "token")
+    texts = found.where("doc_id IS NOT NULL").select("piece", "doc_id", "places")
+    return texts.groupBy("piece").cogroup(tokens.groupBy("of")).applyInArrow(spelled, "doc_id long, text string")

@@ -27,44 +27,48 @@ def wide(df):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, (1 << 32) - 1)), max_size=20), max_size=8))
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, (1 << 40) - 1), st.sampled_from([255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24])), max_size=20), max_size=8))
 def test_variable_length_coding(docs):
     counts = np.array([len(d) for d in docs], np.int64)
     control, control_at, data, data_at = token_ids.encode_ids(np.array([i for d in docs for i in d], np.int64), counts)
+    assert token_ids.decode_ids(control, data, counts).tolist() == [i for d in docs for i in d]
     for k, d in enumerate(docs):
-        c, b = control[control_at[k] : control_at[k + 1]].tobytes(), data[data_at[k] : data_at[k + 1]].tobytes()
-        assert len(c) == -(-len(d) // 4) and len(b) == sum(max(1, (i.bit_length() + 7) // 8) for i in d)
-        assert token_ids.decode_ids(c, b, len(d)).tolist() == d
-
-
-def test_token_round_trip(small, odd, empty):
-    for docs, rows in ((wide(odd), [(i, t) for i, t, *_ in LIVE]), (small, [(r["doc_id"], r["text"]) for r in small.collect()])):
-        for size in (0, 5, token_ids.VOCABULARY):
-            vocab = token_ids.vocabulary(docs, size)
-            back = [(r["doc_id"], r["text"]) for r in token_ids.decoded(token_ids.encoded(docs, vocab), vocab).collect()]
-            assert sorted(back) == sorted((i, t or "") for i, t in rows)
-    assert token_ids.encoded(empty).count() == 0
-
-
-def test_ids_are_ranks_by_frequency(small):
-    vocab = token_ids.vocabulary(small)
-    texts = [r["text"] for r in small.collect()]
-    n = Counter()
-    for t in texts:
-        for line_no, line in enumerate(t.split("\n")):
-            n.update(([b"\n"] if line_no else []) + ([w.encode() for w in line.split(" ")] if t else []))
-    ids = dict(zip(vocab.tokens, vocab.token_id.tolist()))
-    assert len(ids) == min(len([w for w in n]), token_ids.VOCABULARY) or abs(len(ids) - len(n)) <= 1
-    order = sorted(ids, key=ids.get)
-    counts = [n[w] for w in order if w not in (b"", b"\n")]
-    assert counts == sorted(counts, reverse=True)
-
-
-@pytest.mark.parametrize("size", [0, 1, 3, 10, 11, 1000])
-def test_most_frequent_with_ties(spark, size):
-    rows = [(bytes([97 + k % 26, k]), int(n)) for k, n in enumerate([5, 5, 5, 1, 1, 1, 1, 70000, 70001, 2, 9])]
-    got = token_ids.most_frequent(spark.createDataFrame(rows, "token binary, n long").repartition(3), size)
-    assert [(bytes(r["token"]), r["n"]) for r in got] == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+        own, bits = data[data_at[k] : data_at[k + 1]], control[control_at[k] : control_at[k + 1]]
+        assert len(bits) == -(-len(d) // 4) and len(own) == sum(1 if i < 1 << 8 else 2 if i < 1 << 16 else 3 if i < 1 << 24 else 5 for i in d)
+        assert token_ids.decode_ids(bits, own, counts[k : k + 1]).tolist() == d
+
+
+def tokens_by_force(text):
+    out = []
+    for line in (text or "").split("\n"):
+        out += [*line.split(" "), "\n"]
+    return out[:-1] if text else []
+
+
+@pytest.mark.parametrize("piece", [400, token_ids.PIECE_BYTES])
+def test_token_round_trip(small, odd, empty, monkeypatch, piece):
+    monkeypatch.setattr(token_ids, "PIECE_BYTES", piece)
+    for docs in (small.where("doc_id < 60"), odd, empty):
+        coded, vocabulary = token_ids.encoded_with(wide(docs))
+        rows = coded.collect()
+        assert all(r["round_trip"] for r in rows)
+        want = sorted((r["doc_id"], r["text"] or "") for r in docs.where("doc_id IS NOT NULL").collect())
+        assert sorted(map(tuple, token_ids.decoded(coded, vocabulary).collect())) == want
+        assert sorted((r["doc_id"], r["n_ids"]) for r in rows) == sorted((i, len(tokens_by_force(t))) for i, t in want)
+
+
+@pytest.mark.parametrize("piece", [2_000, token_ids.PIECE_BYTES])
+def test_ids_are_ranks_by_frequency(small, monkeypatch, piece):
+    """Of all tokens of all documents."""
+    monkeypatch.setattr(token_ids, "PIECE_BYTES", piece)
+    texts = {r["doc_id"]: r["text"] for r in small.collect()}
+    n = Counter(t for text in texts.values() for t in tokens_by_force(text))
+    rank = {t: i for i, t in enumerate(sorted(n, key=lambda t: (-n[t], t.encode())))}
+    coded, vocabulary = token_ids.encoded_with(small)
+    assert {bytes(r["token"]).decode(): (r["n"], r["id"]) for r in vocabulary.collect()} == {t: (n[t], rank[t]) for t in n}
+    for r in coded.collect():
+        ids = token_ids.decode_ids(np.frombuffer(r["control"], np.uint8), np.frombuffer(r["data"], np.uint8), np.array([r["n_ids"]]))
+        assert ids.tolist() == [rank[t] for t in tokens_by_force(texts[r["doc_id"]])]
 
 
 # --- language model ---
