@@ -1,17 +1,18 @@
-"""Exact top-k search by BM25 over an inverted index with block-max pruning.
+"""Exact top-k search by BM25 over an inverted index with block-max WAND.
 
-The corpus is indexed in shards, the part of it that a task reads. A shard's postings are in order of
-documents, in blocks of BLOCK documents, and each list knows its greatest contribution in each block. Statistics
-(number of documents, their mean length, document frequencies) are summed over all shards before
+The whole corpus is indexed once, every term of it, in shards of bounded text that a task makes of what it reads. A shard's postings are in order of
+documents, in blocks of BLOCK neighbouring documents; for each block that a list touches the index holds the greatest count of
+the term and the least length of a document there, from which any statistics give a bound on what the list adds to a score.
+
+Statistics (number of documents, their mean length, document frequencies) are summed over all shards before
 any is searched, so scores are those of one index over everything, and merging the shards' best k is exact.
 
-A shard is searched with the weak-AND bound at two levels. A block's bound is the sum of the greatest contributions
-of the query's lists there; blocks are taken from the highest bound down, and search ends when no
-bound reaches the k-th score so far. Within a block, a document's bound adds up the maxima of just the
-lists that hold it; only documents whose bound reaches that score are scored in full. Each step
-is a numpy operation over a block's postings.
+A shard is searched with a cursor for each list of the query, on the next block that it touches. With the cursors in order of their blocks, the pivot is the first list at
+which the lists' greatest bounds add up to the k-th score so far: no document before the pivot's block can be among the best, so the lists before it skip
+there. If the bounds of the block itself fall short, it is passed over too; else its documents are bounded one by one by the lists that hold them, and only
+those that can still be among the best are scored. Postings that are skipped are never read or scored.
 
-The index holds only terms that occur in queries. Scores are rounded to six digits; ties go to the smaller id.
+Scores are rounded to six digits; ties go to the smaller id.
 
 Defined results: null and empty documents match nothing but count as documents; a query without known
 terms has no rows; a term repeated in a query counts once for each time; a document row repeated with its id
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import coded_words, identified, offsets_of, slices, split_words, written
+from siltstone.llm.common import byte_buffer, coded_words, identified, offsets_of, slices, split_words, written
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 64
@@ -38,52 +39,84 @@ BLOCK = 64
 SHARD_BYTES = 64 << 20
 #: Text of the queries that are broadcast at a time.
 QUERY_BYTES = 16 << 20
-INDEX = "docs binary, lengths binary, terms binary, ends binary, places binary, counts binary"
+#: What rounding may add to a score.
+SLACK = 2e-6
+COLUMNS = ("docs", "lengths", "terms", "term_ends", "ends", "places", "counts", "list_ends", "blocks", "block_ends", "most", "shortest")
+INDEX = ", ".join(f"{c} binary" for c in COLUMNS)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In as few bytes as its greatest number needs."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
-def index_shards(docs: DataFrame, terms: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row a shard: ids and lengths of its documents in order of ids; for each known term that occurs, its number,
-    where its postings end, and the postings: places of documents and how often the term occurs there. One scan, no shuffle."""
+class Builder:
+    """Of one shard."""
 
-    def shard(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        base = offsets_of(np.array([len(p[0]) for p in parts]))
-        term, doc, n = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] + b for p, b in zip(parts, base)]), np.concatenate([p[4] for p in parts])
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, ids: np.ndarray, texts: pa.Array) -> None:
+        codes, distinct, lengths = coded_words(texts)
+        key, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(distinct)) + codes, return_counts=True)
+        self.parts.append((ids, lengths, distinct.cast(pa.binary()), key % max(1, len(distinct)), key // max(1, len(distinct)), n))
+        self.held += pc.sum(pc.binary_length(texts)).as_py() or 0
+
+    def row(self) -> pa.RecordBatch:
+        """ids and lengths of the documents in order of ids; the terms in order, where each one's postings end, and the postings: places of documents
+        and counts; where each list's blocks end, their numbers, where their postings end, the greatest count and least length in each."""
+        ids, lengths = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
+        base = offsets_of(np.array([len(p[0]) for p in self.parts]))
+        first = offsets_of(np.array([len(p[2]) for p in self.parts]))
+        coded = pa.concat_arrays([p[2] for p in self.parts]).dictionary_encode()
+        by = pc.sort_indices(coded.dictionary).to_numpy()
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        term_of = number[coded.indices.to_numpy(zero_copy_only=False)] if len(by) else number
+        term = np.concatenate([term_of[p[3] + f] for p, f in zip(self.parts, first)])
         order = np.argsort(ids, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        doc = rank[doc]
-        by = np.lexsort((doc, term))
-        term, doc, n = term[by], doc[by], n[by]
-        present, first = np.unique(term, return_index=True)
-        ends = np.append(first[1:], len(term)) if len(present) else first
-        columns = (ids[order].astype(np.int64), lengths[order].astype(np.int32), present.astype(np.int32), ends.astype(np.int64), doc.astype(np.int32), n.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["docs", "lengths", "terms", "ends", "places", "counts"])
+        doc, n = rank[np.concatenate([p[4] + b for p, b in zip(self.parts, base)])], np.concatenate([p[5] for p in self.parts])
+        sort = np.argsort(term * max(1, len(ids)) + doc)
+        term, doc, n = term[sort], doc[sort], n[sort]
+        ids, lengths, block = ids[order], lengths[order], doc // BLOCK
+        at = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        most, shortest = (f.reduceat(x, at) if len(at) else at for f, x in ((np.maximum, n), (np.minimum, lengths[doc])))
+        terms = coded.dictionary.take(pa.array(by))
+        data, offsets = byte_buffer(terms)
+        data = data[offsets[0] : offsets[-1]] if len(terms) else np.zeros(0, np.uint8)
+        everything = np.arange(len(terms))
+        columns = [ids.astype(np.int64), _narrow(lengths), data, _narrow(offsets[1:] - offsets[0]), _narrow(np.searchsorted(term, everything, side="right")), _narrow(doc), _narrow(n)]
+        columns += [_narrow(np.searchsorted(term[at], everything, side="right")), _narrow(block[at]), _narrow(np.append(at[1:], len(term)) if len(at) else at), _narrow(most), _narrow(shortest)]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], list(COLUMNS))
+
+
+def index_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a shard, as of Builder.row(). One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms, pa.binary())
-        parts, held = [], 0
+        shard = Builder()
         for batch in slices(batches, "text"):
-            codes, distinct, lengths = coded_words(batch.column("text"))
-            number = pc.fill_null(pc.index_in(distinct.cast(pa.binary()), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            term = number[codes] if len(codes) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            some = term >= 0
-            key, n = np.unique(doc[some] * max(1, len(known)) + term[some], return_counts=True)
-            parts.append((batch.column("doc_id").to_numpy(), lengths, key % max(1, len(known)), key // max(1, len(known)), n))
-            held += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-            if held >= SHARD_BYTES:
-                yield shard(parts)
-                parts, held = [], 0
-        if parts:
-            yield shard(parts)
+            shard.add(batch.column("doc_id").to_numpy(), batch.column("text"))
+            if shard.held >= SHARD_BYTES:
+                yield shard.row()
+                shard = Builder()
+        if shard.parts:
+            yield shard.row()
 
     return identified(docs, id_col, text_col).mapInArrow(run, INDEX)
 
 
 @dataclass
 class Statistics:
-    """Over all shards."""
+    """Over all shards. frequency: in how many documents each term of the queries occurs."""
 
     documents: int
     mean_length: float
@@ -93,117 +126,147 @@ class Statistics:
         return np.log(1 + (self.documents - self.frequency + 0.5) / (self.frequency + 0.5))
 
 
+def _terms(row: dict) -> pa.Array:
+    ends = _wide(row["term_ends"], _count(row["term_ends"], row["terms"]))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets_of(np.diff(ends, prepend=0))), pa.py_buffer(row["terms"])]).cast(pa.binary())
+
+
+def _count(ends: bytes, data: bytes) -> int:
+    """How many ends there are: the last is the data's length, in as few bytes as that needs."""
+    return len(ends) // _narrow(np.array([len(data)])).itemsize
+
+
 class Shard:
-    def __init__(self, row: dict, stats: Statistics):
+    """scored: how many postings were scored so far."""
+
+    def __init__(self, row: dict, asked: pa.Array, stats: Statistics):
         self.ids = np.frombuffer(row["docs"], np.int64)
-        lengths = np.frombuffer(row["lengths"], np.int32)
-        terms, self.ends = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["ends"], np.int64)
-        self.begins = np.concatenate(([0], self.ends))[: len(self.ends)]
-        self.place = np.frombuffer(row["places"], np.int32).astype(np.int64)
-        n = np.frombuffer(row["counts"], np.int32).astype(np.float64)
-        self.list_of = {t: i for i, t in enumerate(terms.tolist())}
-        span = self.ends - self.begins
-        norm = K1 * (1 - B + B * lengths / stats.mean_length) if stats.mean_length else np.full(len(lengths), K1)
-        self.gain = np.repeat(stats.idf()[terms], span) * n * (K1 + 1) / (n + norm[self.place])
-        # the lists' blocks: where each begins, which block it is, its greatest contribution
-        block = self.place // BLOCK
-        key = np.repeat(np.arange(len(terms)), span) * (1 << 40) + block
-        self.block_at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.block_no = block[self.block_at]
-        self.block_max = np.maximum.reduceat(self.gain, self.block_at) if len(key) else np.zeros(0)
-        self.block_end = np.append(self.block_at[1:], len(key))
-        self.first_block = np.searchsorted(self.block_at, self.begins)
-        self.last_block = np.searchsorted(self.block_at, self.ends)
-        self.blocks = -(-len(self.ids) // BLOCK)
-
-    def search(self, terms: list[tuple[int, int]], k: int) -> list[tuple[int, float]]:
-        """(term, times in the query) -> the best k (id, score), exactly."""
-        lists = [(self.list_of[t], times) for t, times in terms if t in self.list_of]
-        if not lists or not len(self.ids):
-            return []
-        at = np.concatenate([np.arange(self.first_block[i], self.last_block[i]) for i, _ in lists])
-        times = np.concatenate([np.full(self.last_block[i] - self.first_block[i], float(n)) for i, n in lists])
-        no, most = self.block_no[at], self.block_max[at] * times
-        bound = np.bincount(no, weights=most, minlength=self.blocks)
-        by = np.argsort(no, kind="stable")
-        at, times, most = at[by], times[by], most[by]
-        block_from = np.searchsorted(no[by], np.arange(self.blocks + 1))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        ids, scores, floor, done, step = np.zeros(0, np.int64), np.zeros(0), -np.inf, 0, 4
-        while done < len(order) and bound[order[done]] >= floor - 2e-6:
-            now = order[done : done + step]
-            now = now[bound[now] >= floor - 2e-6]
-            done, step = done + step, min(64, 2 * step)
-            width = block_from[now + 1] - block_from[now]
-            cell = np.repeat(block_from[now] - offsets_of(width)[:-1], width) + np.arange(int(width.sum()))
-            span = self.block_end[at[cell]] - self.block_at[at[cell]]
-            posting = np.repeat(self.block_at[at[cell]] - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))
-            doc, which = np.unique(self.place[posting], return_inverse=True)
-            if floor > -np.inf:
-                can = np.bincount(which, weights=np.repeat(most[cell], span)) >= floor - 2e-6
-                kept = can[which]
-                posting, weight = posting[kept], np.repeat(times[cell], span)[kept]
-                doc, which = np.unique(self.place[posting], return_inverse=True)
-            else:
-                weight = np.repeat(times[cell], span)
-            if not len(doc):
+        terms = _terms(row)
+        n = len(terms)
+        ends, list_ends = _wide(row["ends"], n), _wide(row["list_ends"], n)
+        postings, blocks = int(ends[-1]) if n else 0, int(list_ends[-1]) if n else 0
+        lengths = _wide(row["lengths"], len(self.ids))
+        self.norm = K1 * (1 - B + B * lengths / stats.mean_length) if stats.mean_length else np.full(len(lengths), K1)
+        self.place, self.n = (np.frombuffer(row[c], f"u{len(row[c]) // postings}") if postings else np.zeros(0, np.uint8) for c in ("places", "counts"))
+        self.block, self.end = _wide(row["blocks"], blocks), _wide(row["block_ends"], blocks)
+        self.begin = np.concatenate(([0], self.end))[:blocks]
+        most, shortest = _wide(row["most"], blocks), _wide(row["shortest"], blocks)
+        # which list each of the queries' terms has here
+        at = pc.index_in(asked, value_set=terms)
+        self.list_of = np.where(at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy(), -1)
+        self.first, self.last = np.concatenate(([0], list_ends))[:n], list_ends
+        self.idf = stats.idf()
+        least = K1 * (1 - B + B * shortest / stats.mean_length) if stats.mean_length else np.full(blocks, K1)
+        self.bound = most * (K1 + 1) / (most + least)  # of a block, before the term's weight
+        self.scored = 0
+
+    def search(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the query's terms, and how often each occurs in it -> ids and scores of the best k, exactly."""
+        lists = self.list_of[terms]
+        here = lists >= 0
+        lists, weight = lists[here], self.idf[terms[here]] * times[here]
+        ids, scores = np.zeros(0, np.int64), np.zeros(0)
+        if not len(lists):
+            return ids, scores
+        size = self.last[lists] - self.first[lists]
+        own = np.repeat(self.first[lists] - offsets_of(size)[:-1], size) + np.arange(int(size.sum()))
+        begin, end = offsets_of(size)[:-1], offsets_of(size)[1:]
+        block, bound = self.block[own], self.bound[own] * np.repeat(weight, size)
+        key = np.repeat(np.arange(len(lists)) << 32, size) | block  # for cursors that skip
+        most = np.maximum.reduceat(bound, begin)
+        cursor, past, floor = begin.copy(), 1 << 31, -np.inf
+        number = np.arange(len(lists)) << 32
+        while True:
+            now = np.where(cursor < end, block[np.minimum(cursor, len(block) - 1)], past)
+            order = np.argsort(now, kind="stable")
+            enough = np.cumsum(most[order]) >= floor - SLACK
+            pivot = int(enough.argmax())
+            if not enough[pivot] or (at := int(now[order[pivot]])) == past:
+                return ids, scores
+            behind = now < at
+            if behind.any():
+                cursor[behind] = np.minimum(np.searchsorted(key, number[behind] | at), end[behind])
+                now = np.where(cursor < end, block[np.minimum(cursor, len(block) - 1)], past)
+            there = np.flatnonzero(now == at)
+            cells = cursor[there]
+            cursor[there] += 1
+            if bound[cells].sum() < floor - SLACK:
+                continue
+            a, span = self.begin[own[cells]], self.end[own[cells]] - self.begin[own[cells]]
+            posting = np.repeat(a - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))
+            which = np.repeat(np.arange(len(there)), span)
+            inside = self.place[posting].astype(np.int64) - at * BLOCK
+            can = np.bincount(inside, weights=bound[cells][which], minlength=BLOCK)
+            fits = can[inside] >= floor - SLACK if floor > -np.inf else slice(None)
+            posting, inside, which = posting[fits], inside[fits], which[fits]
+            if not len(posting):
                 continue
-            score = np.round(np.bincount(which, weights=self.gain[posting] * weight), 6)
-            ids, scores = np.concatenate((ids, self.ids[doc])), np.concatenate((scores, score))
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            self.scored += len(posting)
+            n = self.n[posting].astype(np.float64)
+            score = np.bincount(inside, weights=weight[there][which] * n * (K1 + 1) / (n + self.norm[at * BLOCK + inside]), minlength=BLOCK)
+            found = np.unique(inside)
+            ids, scores = np.concatenate((ids, self.ids[at * BLOCK + found])), np.concatenate((scores, np.round(score[found], 6)))
+            if len(ids) > k:
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
             if len(scores) == k:
-                floor = scores[-1]
-        return list(zip(ids.tolist(), scores.tolist()))
+                floor = float(scores.min())
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, query_id: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """item_id, rank, doc_id, score: the k best documents of every query. What is broadcast are queries, QUERY_BYTES of
-    text at a time: more of them go round in several batches, each with an index of its own terms."""
+    """item_id, rank, doc_id, score: the k best documents of every query."""
+    return searched(written(index_shards(docs, id_col, text_col), "index"), queries, k, query_id, text_col)
+
+
+def searched(index: DataFrame, queries: DataFrame, k: int = K, query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The same over an index that is there already. What is broadcast are queries, QUERY_BYTES of text at a time; more of them go round in several batches."""
     asked = identified(queries, query_id, text_col)
     size = asked.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     rounds = max(1, -(-size // QUERY_BYTES))
     batches = [asked.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r) if rounds > 1 else asked for r in range(rounds)]
-    return reduce(DataFrame.unionByName, (_search(docs, batch, k, id_col, text_col) for batch in batches))
+    return reduce(DataFrame.unionByName, (_searched(index, batch, k) for batch in batches))
 
 
-def _search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    spark = docs.sparkSession
+def _searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    spark = index.sparkSession
     asked: dict[int, dict[bytes, int]] = {}
     for row in queries.toLocalIterator():
         own = asked.setdefault(row["doc_id"], {})
         for w in split_words(pa.array([row["text"]], pa.string()))[0].cast(pa.binary()).to_pylist():
             own[w] = own.get(w, 0) + 1
-    terms = sorted({w for own in asked.values() for w in own})
-    number = {w: i for i, w in enumerate(terms)}
-    index = written(index_shards(docs, terms, id_col, text_col), "index")
+    terms = pa.array(sorted({w for own in asked.values() for w in own}), pa.binary())
+    number = {w: i for i, w in enumerate(terms.to_pylist())}
+    wanted = [(q, np.array([number[w] for w in sorted(own)], np.int64), np.array([own[w] for w in sorted(own)], np.float64)) for q, own in sorted(asked.items())]
+    shared_terms = spark.sparkContext.broadcast(terms)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms) + 2, np.int64)
+        total = np.zeros(len(shared_terms.value) + 2, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                ends = np.frombuffer(row["ends"], np.int64)
-                total[np.frombuffer(row["terms"], np.int32)] += np.diff(np.concatenate(([0], ends)))
-                lengths = np.frombuffer(row["lengths"], np.int32)
-                total[-2:] += len(lengths), lengths.sum(dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["what", "n"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                own = _terms(row)
+                at = pc.index_in(shared_terms.value, value_set=own)
+                here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                total[here] += np.diff(_wide(row["ends"], len(own)), prepend=0)[at.drop_null().to_numpy()]
+                lengths = _wide(row["lengths"], len(row["docs"]) // 8)
+                total[-2:] += len(lengths), lengths.sum()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["what", "n"])
 
     total = np.zeros(len(terms) + 2, np.int64)
-    for row in index.select("terms", "ends", "lengths").mapInArrow(sums, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select("docs", "lengths", "terms", "term_ends", "ends").mapInArrow(sums, "what long, n long").groupBy("what").agg(F.sum("n").alias("n")).toLocalIterator():
         total[row["what"]] = row["n"]
     stats = Statistics(int(total[-2]), float(total[-1] / total[-2]) if total[-2] else 0.0, total[:-2])
-    wanted = [(q, sorted((number[w], n) for w, n in own.items())) for q, own in sorted(asked.items())]
     shared = spark.sparkContext.broadcast((stats, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, wanted = shared.value
         for batch in batches:
             for row in range(batch.num_rows):
-                shard = Shard(batch.slice(row, 1).to_pylist()[0], stats)
-                found = [(q, d, s) for q, own in wanted for d, s in shard.search(own, k)]
-                q, d, s = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], ["item_id", "doc_id", "score"])
+                shard = Shard(batch.slice(row, 1).to_pylist()[0], shared_terms.value, stats)
+                for q, own, times in wanted:
+                    ids, scores = shard.search(own, times, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(scores)], ["item_id", "doc_id", "score"])
 
     best = index.mapInArrow(run, "item_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
