@@ -1,4 +1,13 @@
-"""A corpus pipeline in five stages over `documents`; each reads what the one before wrote."""
+"""A corpus pipeline in five stages over `documents`; each reads what the one before wrote.
+
+Language ID drops what it rejects. Exact dedup keeps the least id of equal texts, the n-gram join the least id of what chains of similar texts connect.
+Mixing draws documents to the target weights, some more than once. BPE gives doc_id, n_tokens and tokens, a row for each row of the mixture; all stages
+before it return the columns of `documents`, and any further ones, unchanged.
+
+Defined results: a row with a null id goes in the first stage; null, empty and blank texts have no language and go there too; rows with null labels or
+sources are treated like others (a null source is a source of its own); a row repeated with its id stays once; a null size counts as 0, so a document
+without one is drawn as often as its source's others; an empty table passes all stages and gives no rows; columns may be called whatever they are.
+"""
 
 from __future__ import annotations
 
