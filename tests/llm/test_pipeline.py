@@ -4,11 +4,12 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone.llm import bpe, language_id, queries
 from tests.llm.conftest import ODD, SCHEMA
-from tests.llm.test_corpus import components_by_force, least_of_equals, pairs_by_force, shares_by_force
+from tests.llm.test_corpus import clashing, components_by_force, least_of_equals, pairs_by_force, shares_by_force
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -49,21 +50,41 @@ def test_run_against_brute_force(spark, sf_dir, small):
 
 
 def test_stages(spark, tmp_path, sf_dir, small):
+    """With further columns, named like what the operators use inside."""
     assert len(pipeline.STAGES) == 5
-    wide = small.withColumnRenamed("n_chars", "n_chars")
+    docs = clashing(small).withColumn("copy", F.lit(4)).withColumn("language", F.lit("x")).withColumn("tokens", F.lit(6)).withColumn("left", F.lit(7))
+    ids, columns = {r["doc_id"] for r in small.collect()}, docs.columns
+    plain = small
     for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
-        out = stage(spark, wide, sf_dir)
-        assert out.columns == small.columns, k
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == columns, k
         out.write.parquet(f"{tmp_path}/{k}")
-        wide = spark.read.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        stage(spark, plain, sf_dir).write.parquet(f"{tmp_path}/plain-{k}")
+        plain = spark.read.parquet(f"{tmp_path}/plain-{k}")
+        rows = docs.collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in plain.collect()) and {r["doc_id"] for r in rows} <= ids
+        assert {(r["digest"], r["_row"], r["times"], r["a"], r["copy"], r["language"], r["left"]) for r in rows} == {(1, "x", 2, None, 4, "x", 7)}
 
 
-@pytest.mark.parametrize("rows", [[], ODD])
-def test_odd_and_empty_tables_pass_all_stages(spark, tmp_path, rows):
+def _written(spark, at, rows):
     df = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], SCHEMA)
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    out = pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in out} <= {r[0] for r in rows} - {None}
+    df.write.parquet(f"{at}/documents.parquet")
+    return df
+
+
+def test_odd_tables_against_brute_force(spark, tmp_path):
+    """Enough text for the languages' dictionaries, next to null ids, texts, labels and sources, copies and repeated rows."""
+    rows = [*ODD, *((100 + k, " ".join(f"{w}{(k * j) % 17}" for j in range(1, 60)), lang, f"s{k % 4}") for k, (w, lang) in enumerate([("der", "de"), ("the", "en"), ("les", "fr"), ("los", "es")] * 5))]
+    docs = _written(spark, tmp_path, rows)
+    got = Counter(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert got and got == by_force(spark, docs)
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    _written(spark, tmp_path, [])
+    out = pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "tokens"]
 
 
 def test_each_operator_has_its_query():
