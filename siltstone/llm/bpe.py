@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.common import byte_buffer, identified, list_array, offsets_of, slices
 
-#: The registered query's vocabulary, a parameter of every function here.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The rank file that the registered query uses, and the session's setting that names another. It is a parameter of every function here.
+VOCABULARY, SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.siltstone.bpe.vocabulary"
 #: Longer words take a path that goes byte by byte, and whose time is linear too.
 LONG_WORD = 96
 WIDTH = 1 << 20
@@ -106,7 +107,13 @@ def pre_split(data: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> np.nda
     return at[np.flatnonzero(start[:n])]
 
 
+def _path(spark: SparkSession, vocabulary: str | None) -> str:
+    return vocabulary or spark.conf.get(SETTING, VOCABULARY)
+
+
 def read_ranks(path: str) -> list[bytes]:
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no rank file {path}: pass its path, or set {SETTING}")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     if sorted(ranks.values()) != list(range(len(ranks))):
@@ -370,10 +377,11 @@ class Automaton:
         return self.__dict__ | {"_edge_map": None, "_bounds_list": None}
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """doc_id, n_tokens, tokens, and with `check` round_trip: whether decoding gives the text's own bytes.
     One scan, no shuffle; the automaton is broadcast, at a size set by the vocabulary."""
-    automaton = docs.sparkSession.sparkContext.broadcast(Automaton.from_file(vocabulary))
+    spark = docs.sparkSession
+    automaton = spark.sparkContext.broadcast(Automaton.from_file(_path(spark, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value
@@ -395,11 +403,10 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
     return identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>" + ", round_trip boolean" * check)
 
 
-def decoded(coded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+def decoded(coded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """doc_id, text. Null tokens give the empty text; bytes that aren't UTF-8 are replaced."""
-    from pyspark.sql import functions as F
-
-    automaton = coded.sparkSession.sparkContext.broadcast(Automaton.from_file(vocabulary))
+    spark = coded.sparkSession
+    automaton = spark.sparkContext.broadcast(Automaton.from_file(_path(spark, vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton.value

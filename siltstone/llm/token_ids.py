@@ -21,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import binary_array, identified, in_order, offsets_of, slices, written
 
-#: Text in a piece.
-PIECE_BYTES = 16 << 20
+#: Text in a piece. Bits of a number that say which of a piece's tokens it is, and those before them which of a task's pieces.
+PIECE_BYTES, LOCAL_BITS, PIECE_BITS = 32 << 20, 28, 12
 #: Bytes of an id for each two control bits; and for each control byte those of its four ids.
 SIZES = np.array([1, 2, 3, 5], np.int64)
 LENGTHS = np.array([[SIZES[c >> 2 * k & 3] for k in range(4)] for c in range(256)], np.int64)
@@ -108,43 +108,55 @@ def token_counts(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np
     return identified(docs, id_col, text_col).mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_PIECES = "piece long, doc_id long, n long, control binary, data binary, token binary, local int"
+_PIECES = "piece long, doc_id long, n long, control binary, data binary, token binary"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document (piece, doc_id, n, control, data: numbers of the piece's tokens, coded) and for each distinct token of a piece (piece,
-    token, local: its number, n: how often it occurs there), as a scratch table. One scan, no shuffle."""
+    """A row for each document (piece, doc_id, n, control, data: numbers of the piece's tokens, coded) and for each distinct token of a piece (piece, with
+    the token's number in its last LOCAL_BITS; token, n: how often it occurs there), as a scratch table. One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, "text", PIECE_BYTES)):
             flat, counts = blank_tokens(batch.column("text"))
             coded = flat.dictionary_encode()
             local, tokens = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
-            n = np.bincount(local, minlength=len(tokens))
+            n, piece = np.bincount(local, minlength=len(tokens)), piece_of(part, k, len(tokens))
             by = np.argsort(-n, kind="stable")  # frequent ones have small numbers here too
             number = np.empty(len(by), np.int64)
             number[by] = np.arange(len(by))
             control, control_at, data, data_at = encode_ids(number[local], counts)
-            yield rows(part + k, len(counts), doc_id=batch.column("doc_id"), n=pa.array(counts), control=binary_array(control, control_at), data=binary_array(data, data_at))
+            yield rows(piece=np.full(len(counts), piece), doc_id=batch.column("doc_id"), n=counts, control=binary_array(control, control_at), data=binary_array(data, data_at))
             for at in range(0, len(tokens), 100_000):
-                own = slice(at, at + 100_000)
-                yield rows(part + k, len(by[own]), token=tokens.take(pa.array(by[own])), n=pa.array(n[by[own]]), local=pa.array(np.arange(len(by))[own], pa.int32()))
+                own = by[at : at + 100_000]
+                yield rows(piece=piece + at + np.arange(len(own)), token=tokens.take(pa.array(own)), n=n[own])
 
-    def rows(piece: int, many: int, **columns: pa.Array) -> pa.RecordBatch:
-        kinds = {"piece": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "control": pa.binary(), "data": pa.binary(), "token": pa.binary(), "local": pa.int32()}
-        columns["piece"] = pa.array(np.full(many, piece))
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(many, t)) for c, t in kinds.items()], list(kinds))
+    def rows(**columns: pa.Array | np.ndarray) -> pa.RecordBatch:
+        kinds = {"piece": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "control": pa.binary(), "data": pa.binary(), "token": pa.binary()}
+        columns = {c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in columns.items()}
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(columns["piece"]), t)) for c, t in kinds.items()], list(kinds))
 
     return written(identified(docs, id_col, text_col).mapInArrow(run, _PIECES), "pieces")
 
 
+def piece_of(part: int, k: int, tokens: int) -> int:
+    """The number of a task's k-th piece, with room for those of its tokens."""
+    if k >> PIECE_BITS or tokens >> LOCAL_BITS:
+        raise ValueError("a task has too many pieces, or a piece too many different tokens")
+    return (part << PIECE_BITS | k) << LOCAL_BITS
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """token, n, id of what pieces() gives, as a scratch table."""
     counts = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
     return written(in_order(counts, F.desc("n"), F.asc("token")).withColumnRenamed("place", "id"), "vocabulary")
 
 
+def _of(at: str) -> Column:
+    """The piece of a token's number."""
+    return F.shiftright(at, LOCAL_BITS) * (1 << LOCAL_BITS)
+
+
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """counts, control bytes, data bytes of a piece's documents."""
     control, data = (np.frombuffer(b"".join(table[c].to_pylist()), np.uint8) for c in ("control", "data"))
@@ -155,7 +167,7 @@ def _translate(table: pa.Table, tokens: pa.Table) -> pa.Table:
     """A piece's documents, from numbers of its tokens to ids."""
     counts, control, data = _documents(table)
     ids = np.zeros(tokens.num_rows, np.int64)
-    ids[tokens["local"].to_numpy()] = tokens["id"].to_numpy()
+    ids[tokens["at"].to_numpy() & (1 << LOCAL_BITS) - 1] = tokens["id"].to_numpy()
     out = ids[decode_ids(control, data, counts)]
     control, control_at, data, data_at = encode_ids(out, counts)
     wrong = np.flatnonzero(decode_ids(control, data, counts) != out)
@@ -170,9 +182,9 @@ def encoded_with(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = pieces(docs, id_col, text_col)
     vocabulary = ranked(found)
     # a token is at most once in a piece, so no key is hot; the hash table is of a partition's part of the vocabulary
-    tokens = found.where("token IS NOT NULL").select("token", "piece", "local").join(vocabulary.select("token", "id").hint("shuffle_hash"), "token").select(F.col("piece").alias("of"), "local", "id")
+    tokens = found.where("token IS NOT NULL").select("token", "piece").join(vocabulary.select("token", "id").hint("shuffle_hash"), "token").select(F.col("piece").alias("at"), "id")
     texts = found.where("doc_id IS NOT NULL").select("piece", "doc_id", "n", "control", "data")
-    out = texts.groupBy("piece").cogroup(tokens.groupBy("of")).applyInArrow(_translate, "doc_id long, n_ids long, control binary, data binary, round_trip boolean")
+    out = texts.groupBy("piece").cogroup(tokens.groupBy(_of("at"))).applyInArrow(_translate, "doc_id long, n_ids long, control binary, data binary, round_trip boolean")
     return out, vocabulary
 
 
@@ -184,22 +196,23 @@ def decoded(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, text from what encoded_with() gives, the same way back: by the distinct ids of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 32
+        part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, "data", PIECE_BYTES // 4)):
             counts, control, data = _documents(pa.Table.from_batches([batch]).rename_columns(["doc_id", "n", "control", "data"]))
             ids, local = np.unique(decode_ids(control, data, counts), return_inverse=True)
-            own, at = binary_array(local.astype(np.uint32).view(np.uint8), 4 * offsets_of(counts)), np.full(len(ids), part + k)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:1].repeat(len(counts)) if len(at) else np.full(len(counts), part + k)), batch.column("doc_id"), own, pa.nulls(len(counts), pa.int64()), pa.nulls(len(counts), pa.int32())], ["piece", "doc_id", "places", "id", "local"])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(ids), pa.array(np.arange(len(ids)), pa.int32())], ["piece", "doc_id", "places", "id", "local"])
+            piece = piece_of(part, k, len(ids))
+            places = binary_array(local.astype(np.uint32).view(np.uint8), 4 * offsets_of(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), piece)), batch.column("doc_id"), places, pa.nulls(len(counts), pa.int64())], ["piece", "doc_id", "places", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(piece + np.arange(len(ids))), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), pa.array(ids)], ["piece", "doc_id", "places", "id"])
 
     def spelled(table: pa.Table, tokens: pa.Table) -> pa.Table:
         words = [None] * tokens.num_rows
-        for k, t in zip(tokens["local"].to_pylist(), tokens["token"].to_pylist()):
-            words[k] = t
+        for at, t in zip(tokens["at"].to_pylist(), tokens["token"].to_pylist()):
+            words[at & (1 << LOCAL_BITS) - 1] = t
         texts = [joined_tokens([words[k] for k in np.frombuffer(p, np.uint32).tolist()]).decode("utf-8", "replace") for p in table["places"].to_pylist()]
         return pa.table([table["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    found = written(coded.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "piece long, doc_id long, places binary, id long, local int"), "coded")
-    tokens = found.where("id IS NOT NULL").select("id", "piece", "local").join(vocabulary.select("id", "token"), "id").select(F.col("piece").alias("of"), "local", "token")
+    found = written(coded.select("doc_id", "n_ids", "control", "data").mapInArrow(run, "piece long, doc_id long, places binary, id long"), "coded")
+    tokens = found.where("id IS NOT NULL").select("id", "piece").join(vocabulary.select("id", "token"), "id").select(F.col("piece").alias("at"), "token")
     texts = found.where("doc_id IS NOT NULL").select("piece", "doc_id", "places")
-    return texts.groupBy("piece").cogroup(tokens.groupBy("of")).applyInArrow(spelled, "doc_id long, text string")
+    return texts.groupBy("piece").cogroup(tokens.groupBy(_of("at"))).applyInArrow(spelled, "doc_id long, text string")

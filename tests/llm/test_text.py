@@ -411,6 +411,15 @@ def test_automata_of_small_vocabularies(seed):
         assert a.encode_word(w) == want
 
 
+def test_the_rank_file_is_a_setting(spark, odd):
+    spark.conf.set(bpe.SETTING, "/no/such/file")
+    try:
+        with pytest.raises(FileNotFoundError, match=bpe.SETTING):
+            bpe.encoded(odd)
+    finally:
+        spark.conf.unset(bpe.SETTING)
+
+
 def test_bpe_of_odd_rows(odd, empty):
     rows = bpe.encoded(wide(odd)).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(i for i, *_ in LIVE)
