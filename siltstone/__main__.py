@@ -1,15 +1,18 @@
-"""python -m siltstone: query, ingest, ingest-iceberg, ingest-delta, ingest-corpus, explain, summary, history."""
+"""python -m siltstone: query, ingest, ingest-iceberg, ingest-delta, ingest-corpus, explain, summary, history, serve."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
 from siltstone.errors import EngineError
+from siltstone.nl import ChatService
+from siltstone.server import Api, serve
 from siltstone.session import Session, query_file
 
 
@@ -36,6 +39,9 @@ def main(args: list[str] | None = None) -> int:
     s.add_argument("sql")
     sub.add_parser("summary").add_argument("dataset")
     sub.add_parser("history")
+    s = sub.add_parser("serve", help="answer over HTTP; the environment variable SILTSTONE_SECRET signs the tokens")
+    s.add_argument("--host", default="127.0.0.1")
+    s.add_argument("--port", type=int, default=8080)
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("siltstone").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,6 +49,10 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "query" and a.file:
             print(_shown(query_file(spark, a.file, a.sql)))
             return 0
+        if a.command == "serve":
+            api = Api(spark, a.root, os.environ.get("SILTSTONE_SECRET", "").encode(), ChatService.from_environment() if "SILTSTONE_MODEL_URL" in os.environ else None)
+            serve(api, a.host, a.port).serve_forever()
+            return 0
         session = Session(spark, a.root, a.workspace)
         if a.command == "query":
             print(_shown(session.query(a.dataset, a.sql).table))

@@ -1,11 +1,14 @@
-"""Corpora of text chunks with vectors, kept as Parquet: a folder for each corpus, a version for each ingest."""
+"""Corpora of text chunks with vectors, kept as Parquet: a folder for each ingest, and a list of the folders for each version."""
 
 from __future__ import annotations
 
+import json
 import logging
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.errors import EngineError
 from siltstone.fs import Files
@@ -14,6 +17,9 @@ from siltstone.research import Found
 
 log = logging.getLogger(__name__)
 
+#: Ingests after which the parts become one.
+MOST_PARTS = 16
+
 
 class Corpora:
     def __init__(self, spark: SparkSession, root: str, embedder: text.Embedder):
@@ -24,32 +30,51 @@ class Corpora:
             raise EngineError(f"{corpus!r} is no name for a corpus")
         return f"{self.root}/{corpus}"
 
-    def _current(self, corpus: str) -> str | None:
-        names = [n for n in self.files.names(self._folder(corpus)) if n.endswith(".current")]
-        return f"{self._folder(corpus)}/{self.files.read(f'{self._folder(corpus)}/{names[-1]}').decode()}" if names else None
+    def _versions(self, corpus: str) -> list[str]:
+        return [n for n in self.files.names(self._folder(corpus)) if n.endswith(".current")]
+
+    def _parts(self, corpus: str) -> list[str]:
+        """The folders of the current version, the oldest first."""
+        names, folder = self._versions(corpus), self._folder(corpus)
+        return [f"{folder}/{p}" for p in json.loads(self.files.read(f"{folder}/{names[-1]}"))] if names else []
 
     def chunks(self, corpus: str) -> DataFrame | None:
-        at = self._current(corpus)
-        return None if at is None else self.spark.read.parquet(at)
+        """Of each document the chunks of the last ingest that had it."""
+        parts = self._parts(corpus)
+        if not parts:
+            return None
+        if len(parts) == 1:
+            return self.spark.read.parquet(f"{parts[0]}/chunks")
+        read = [(self.spark.read.parquet(f"{p}/chunks").withColumn("part", F.lit(k)), self.spark.read.parquet(f"{p}/documents").withColumn("part", F.lit(k))) for k, p in enumerate(parts)]
+        chunks, documents = (reduce(DataFrame.unionByName, side) for side in zip(*read))
+        last = documents.groupBy("doc_id").agg(F.max("part").alias("part"))
+        return chunks.join(last, ["doc_id", "part"], "left_semi").drop("part")
 
     def ingest(self, corpus: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
-        """Chunks and vectors of these documents in place of any that the corpus has of them; how many chunks. The new version is
-        complete before it becomes the current one."""
+        """Chunks and vectors of these documents in place of any that the corpus has of them; how many chunks. Only they are written; what they replace
+        is left out when read. After MOST_PARTS ingests the parts become one. The new version is complete before it becomes the current one, and
+        of two ingests at once one fails."""
+        folder, number, parts = self._folder(corpus), len(self._versions(corpus)), self._parts(corpus)
         docs = docs.withColumn("doc_id", docs[id_col].cast("string"))
-        new = text.embedded(text.chunked(docs, "doc_id", text_col), self.embedder).select("doc_id", "chunk_index", "text", "embedding")
-        folder, part, name = self._folder(corpus), f"new-{uuid.uuid4().hex}", f"v-{uuid.uuid4().hex}"
-        new.write.parquet(f"{folder}/{part}")
-        new = self.spark.read.parquet(f"{folder}/{part}")
-        old = self.chunks(corpus)
-        if old is not None:
-            old = old.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
-            new = old.unionByName(new)
-        new.write.parquet(f"{folder}/{name}")
-        number = len([n for n in self.files.names(folder) if n.endswith(".current")])
-        self.files.write_new(f"{folder}/{number:012d}.current", name.encode())
-        added = self.spark.read.parquet(f"{folder}/{part}").count()
-        self.files.delete(f"{folder}/{part}")
-        return added
+        at = f"{folder}/v-{uuid.uuid4().hex}"
+        text.embedded(text.chunked(docs, "doc_id", text_col), self.embedder).select("doc_id", "chunk_index", "text", "embedding").write.parquet(f"{at}/chunks")
+        docs.select("doc_id").distinct().write.parquet(f"{at}/documents")
+        self._commit(corpus, number, [*parts, at])
+        if len(parts) + 1 >= MOST_PARTS:
+            self.compact(corpus)
+        return self.spark.read.parquet(f"{at}/chunks").count()
+
+    def _commit(self, corpus: str, number: int, parts: list[str]) -> None:
+        self.files.write_new(f"{self._folder(corpus)}/{number:012d}.current", json.dumps([p.rsplit("/", 1)[1] for p in parts]).encode())
+
+    def compact(self, corpus: str) -> None:
+        """One part instead of many. Earlier versions stay readable."""
+        number, at = len(self._versions(corpus)), f"{self._folder(corpus)}/v-{uuid.uuid4().hex}"
+        chunks = self.chunks(corpus)
+        if chunks is not None:
+            chunks.write.parquet(f"{at}/chunks")
+            self.spark.read.parquet(f"{at}/chunks").select("doc_id").distinct().write.parquet(f"{at}/documents")
+            self._commit(corpus, number, [at])
 
     def retrieve(self, query: str, corpus: str, k: int = text.TOP) -> list[Found]:
         """The nearest chunks; nothing, with a log entry, if anything fails."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from siltstone.errors import EngineError, NotFound
@@ -54,17 +57,41 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, content: bytes) -> None:
-        """The whole file or none of it, and never over another: it appears under its name by renaming."""
-        target, part = self._path(path), self._path(f"{path}.{self.jvm.java.util.UUID.randomUUID()}.part")
-        fs = self._fs(path)
-        out = fs.create(part, True)
+        """The whole file or none of it, and never over another, also if two processes write at once: one of them gets an error.
+        Local disks: a hard link to the finished file. HDFS: a rename, which doesn't replace. Object stores, where files appear whole when they
+        are closed: creation on condition that there is none, for which stores that know it are asked."""
+        target, fs = self._path(path), self._fs(path)
+        kind = fs.getUri().getScheme()
+        if kind in ("file", "hdfs", "viewfs"):
+            part = self._path(f"{path}.{self.jvm.java.util.UUID.randomUUID()}.part")
+            self._put(fs.create(part, True), content)
+            try:
+                done = self._linked(part, target) if kind == "file" else not fs.exists(target) and fs.rename(part, target)
+            finally:
+                fs.delete(part, False)
+            if not done:
+                raise EngineError(f"{path} was written by another process")
+            return
+        try:
+            self._put(fs.createFile(target).overwrite(False).opt("fs.option.create.conditional.overwrite", "true").recursive().build(), content)
+        except Py4JJavaError as e:
+            if "Exist" in e.java_exception.getClass().getName():
+                raise EngineError(f"{path} was written by another process") from None
+            raise
+
+    @staticmethod
+    def _put(out, content: bytes) -> None:  # noqa: ANN001  a JVM stream
         try:
             out.write(bytearray(content))
         finally:
             out.close()
-        if fs.exists(target) or not fs.rename(part, target):
-            fs.delete(part, False)
-            raise EngineError(f"{path} was written by another process")
+
+    def _linked(self, part, target) -> bool:  # noqa: ANN001  JVM paths
+        try:
+            os.link(part.toUri().getPath(), target.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
 
     def delete(self, path: str) -> None:
         self._fs(path).delete(self._path(path), True)

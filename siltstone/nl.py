@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from typing import Protocol
 
 from siltstone.errors import EngineError, InvalidPlan
 from siltstone.plans import ir
+from siltstone.telemetry import METRICS
 
 QUESTIONS = 5
 
@@ -17,6 +22,44 @@ class Provider(Protocol):
     def complete(self, prompt: str) -> str: ...
 
 
+class ChatService:
+    """A provider over HTTP: any service with the widespread chat-completions interface. The key comes from the environment variable `key_from`."""
+
+    def __init__(self, url: str, model: str, key_from: str = "SILTSTONE_MODEL_KEY", timeout: float = 60.0, attempts: int = 3):
+        self.url, self.model, self.key_from, self.timeout, self.attempts = url, model, key_from, timeout, attempts
+
+    @classmethod
+    def from_environment(cls) -> ChatService:
+        """SILTSTONE_MODEL_URL and SILTSTONE_MODEL say which."""
+        try:
+            return cls(os.environ["SILTSTONE_MODEL_URL"], os.environ["SILTSTONE_MODEL"])
+        except KeyError as e:
+            raise EngineError(f"the environment variable {e.args[0]} isn't set") from None
+
+    def complete(self, prompt: str) -> str:
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0}).encode()
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if (key := os.environ.get(self.key_from)) else {})
+        with METRICS.timed("siltstone_model_call", model=self.model):
+            for k in range(self.attempts):
+                try:
+                    with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.timeout) as r:
+                        found = json.load(r)
+                    break
+                except urllib.error.HTTPError as e:
+                    if k + 1 == self.attempts or e.code < 500 and e.code != 429:
+                        raise EngineError(f"the model's service answered {e.code}") from None
+                except OSError as e:
+                    if k + 1 == self.attempts:
+                        raise EngineError(f"the model's service can't be reached: {e}") from None
+                time.sleep(2**k / 4)
+            for kind in ("prompt", "completion"):
+                METRICS.count("siltstone_model_tokens_total", (found.get("usage") or {}).get(f"{kind}_tokens") or 0, model=self.model, kind=kind)
+            try:
+                return found["choices"][0]["message"]["content"]
+            except (KeyError, IndexError, TypeError):
+                raise EngineError("the model's service gave no answer") from None
+
+
 class Canned:
     """A provider for use without a model: answers by the first entry whose key is in the prompt's last line, else by a function."""
 

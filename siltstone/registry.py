@@ -16,7 +16,7 @@ from siltstone import nl
 from siltstone.catalog import Manifest
 from siltstone.fs import Files
 from siltstone.functions.stats import distinct_estimate, file_stats
-from siltstone.operators import profile, text
+from siltstone.operators import joins, profile, text
 from siltstone.plans import ir, lower, pruning, sqlfront
 from siltstone.session import CONF, Session
 from siltstone.sources import avro, csv, external, mixed
@@ -365,6 +365,30 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+# --- joins on order ---
+
+
+@query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type = 'view'),
+b AS (SELECT l.event_id, l.user_id, l.ts, r.id, r.ts AS seen_ts, ROW_NUMBER() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC NULLS LAST, r.id DESC) AS k FROM l LEFT JOIN r ON l.user_id = r.user_id AND r.ts <= l.ts)
+SELECT event_id, user_id, ts, id AS seen_id, seen_ts FROM b WHERE k = 1""")
+def ext_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase with the same user's last view before it."""
+    _ready(spark)
+    events = table(spark, sf_dir, "events")
+    left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = events.where("event_type = 'view'").select("ts", F.col("event_id").alias("id"), "user_id")
+    return joins.asof(left, right, "ts", ["user_id"], prefix="seen_").withColumn("seen_ts", F.col("seen_ts").cast("timestamp_ntz"))
+
+
+@query("SELECT s_suppkey, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS total FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 50 AND s_acctbal + 50 GROUP BY s_suppkey")
+def ext_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each supplier the customers whose balance is within 50 of its own."""
+    _ready(spark)
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("low"), (F.col("s_acctbal") + 50).alias("high"))
+    pairs = joins.in_range(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), bands, "c_acctbal", "low", "high")
+    return pairs.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 # --- sources and sinks, through a scratch folder on a file system that executors share ---
 
 
@@ -493,6 +517,19 @@ def ext_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("key", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
 
 
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type AS key, COUNT(*) AS n, ROUND(SUM(value), 2) AS total FROM events GROUP BY ALL")
+def ext_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed counts as a stream that ends when it has read all there is; its state and results are in the shared folder."""
+    _ready(spark)
+    at, schema = _folder(spark), table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = streaming.windowed(stream)
+    run = out.writeStream.outputMode("complete").foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.parquet(f"{at}/out")
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "key", "n", F.round("total", 2).alias("total"))
+
+
 # --- the engine as a whole: catalog, snapshots, corpora ---
 
 
@@ -519,6 +556,21 @@ def dataset_earlier_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.frame("lines", first)
 
 
+@query("""WITH d AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey < 500 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 200000))
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 7 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM d UNION ALL SELECT -1, 'M', 5.0""")
+def dataset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows deleted, then updated, then merged with others of which one is new."""
+    session, df = Session(spark, _folder(spark)), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    session.ingest("orders", df.where("o_totalprice <= 100000"))
+    session.ingest("orders", df.where("o_totalprice > 100000"), partition_by=["o_orderstatus"])
+    session.delete("orders", "o_orderstatus = 'F' AND o_totalprice > 200000")
+    session.update("orders", {"o_totalprice": "o_totalprice * 2"}, "o_orderkey < 500")
+    source = session.frame("orders").where("o_orderkey % 10 = 7").withColumn("o_orderstatus", F.lit("M"))
+    new = spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit("M").alias("o_orderstatus"), F.lit(5.0).alias("o_totalprice"))
+    session.merge("orders", source.unionByName(new), ["o_orderkey"])
+    return session.frame("orders")
+
+
 @query("SELECT 'lines' AS dataset, CAST(COUNT(*) AS BIGINT) AS rows, CAST(2 AS BIGINT) AS commits FROM lineitem")
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the catalog's manifests say, without reading the data."""

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone import cache, nl, research
@@ -23,6 +24,7 @@ from siltstone.operators import profile
 from siltstone.operators.text import Embedder, HashEmbedder
 from siltstone.plans import ir, lower, pruning, sqlfront
 from siltstone.sources import csv, external, mixed
+from siltstone.telemetry import METRICS
 
 log = logging.getLogger(__name__)
 
@@ -97,6 +99,8 @@ class Session:
     provider: nl.Provider | None = None
     embedder: Embedder = field(default_factory=HashEmbedder)
     results: cache.ResultCache = field(default_factory=cache.ResultCache)
+    #: Tables of this session alone, by name; they hide datasets of the same name.
+    inline: dict[str, pa.Table] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for k, v in CONF.items():
@@ -118,6 +122,9 @@ class Session:
         return self._committed(dataset, folder, operation, partition_by or [])
 
     def _committed(self, dataset: Dataset, folder: str, operation: str, partition_by: list[str]) -> Snapshot:
+        return self.catalog.commit(dataset, self._manifests(dataset, folder, partition_by), operation)
+
+    def _manifests(self, dataset: Dataset, folder: str, partition_by: list[str]) -> list[Manifest]:
         sizes = {_plain(p): n for p, n in self.catalog.files.data_files(folder)}
         written = self.spark.read.parquet(folder) if sizes else None
         stats = {_plain(p): s for p, s in (file_stats(written, [c for c in dataset.columns if c not in partition_by]).items() if written is not None else ())}
@@ -126,7 +133,59 @@ class Session:
         for path, size in sorted(sizes.items()):
             own = stats.get(path, {"rows": 0, "stats": {}})
             manifests.append(Manifest(path, "parquet", {c: _hive_value(path, c, kinds[c]) for c in partition_by}, own["rows"], size, own["stats"]))
-        return self.catalog.commit(dataset, manifests, operation)
+        return manifests
+
+    # --- changes: files that can't hold a changed row stay as they are, the others are written anew; of two changes at once one fails ---
+
+    def _changed(self, name: str, condition: str | None, change) -> Snapshot:  # noqa: ANN001
+        """change: of a frame of the files that may hold rows with the condition (SQL; None: all), to what they shall hold."""
+        dataset = self.catalog.get(name, self.workspace)
+        base = self.catalog.current(dataset)
+        files, predicates = self.catalog.manifests(base), []
+        if condition is not None:
+            parsed = self.parse(name, f"SELECT * FROM `{name}` WHERE {condition}")
+            predicates = [p for own in ir.scan_predicates(parsed.plan).values() for p in own] if parsed.plan is not None else []
+        touched = pruning.prune(files, predicates)
+        folder = self.catalog.data_folder(dataset)
+        out = change(mixed.read(self.spark, dataset.schema, touched))
+        out.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in dataset.schema)).write.option("compression", "zstd").parquet(folder)
+        paths = {m.path for m in touched}
+        return self.catalog.commit(dataset, [*(m for m in files if m.path not in paths), *self._manifests(dataset, folder, [])], "overwrite", base=base)
+
+    def delete(self, name: str, condition: str) -> Snapshot:
+        """Without the rows for which the condition is true; those for which it is null stay."""
+        return self._changed(name, condition, lambda df: df.where(~F.coalesce(F.expr(condition), F.lit(False))))
+
+    def update(self, name: str, values: dict[str, str], condition: str = "true") -> Snapshot:
+        """Columns set to SQL expressions of the old row, where the condition is true."""
+        unknown = set(values) - set(self._columns(name))
+        if unknown:
+            raise EngineError(f"{name!r} has no column {min(unknown)!r}")
+        hit = F.coalesce(F.expr(condition), F.lit(False))
+        return self._changed(name, condition, lambda df: df.select(*((F.when(hit, F.expr(values[c])).otherwise(F.col(f"`{c}`")) if c in values else F.col(f"`{c}`")).alias(c) for c in df.columns)))
+
+    def merge(self, name: str, source: DataFrame, on: list[str], matched: str = "update", insert: bool = True) -> Snapshot:
+        """Rows whose keys the source has become the source's (matched: update), go (delete) or stay (keep); the source's others are added. Null keys match nothing.
+        Keys must be distinct in the source."""
+        if matched not in ("update", "delete", "keep"):
+            raise EngineError(f"unknown action {matched!r}")
+        columns, keyed = self._columns(name), source.dropna(subset=on)
+        if source.columns != columns:
+            raise EngineError(f"{name!r} has the columns {', '.join(columns)}")
+        if not keyed.groupBy(*on).count().where("count > 1").isEmpty():
+            raise EngineError("the source has several rows with the same keys")
+        rows = [F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_new"), *(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(on))]
+
+        def change(df: DataFrame) -> DataFrame:
+            same = [F.col(f"`{k}`") == F.col(f"_k{i}") for i, k in enumerate(on)]
+            found = keyed.select(*rows)
+            out = df if matched == "keep" else df.join(found.drop("_new"), same, "left_anti")
+            if matched == "update":
+                out = out.unionByName(df.select(*(F.col(f"`{k}`") for k in on)).distinct().join(found, same).select("_new.*"))
+            more = source.join(df.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(on))), same, "left_anti")
+            return out.unionByName(more) if insert else out
+
+        return self._changed(name, None, change)
 
     def ingest_csv(self, name: str, path: str, operation: str = "append", partition_by: list[str] | None = None) -> Snapshot:
         """The dataset's schema is that of the first file; later ones must fit it."""
@@ -158,6 +217,10 @@ class Session:
     def register_delta(self, name: str, table: str, operation: str = "overwrite") -> Snapshot:
         return self._register(name, external.delta(self.spark, table), operation)
 
+    def register_arrow(self, name: str, table: pa.Table | bytes) -> None:
+        """Batches that are there already, as a table or an Arrow stream: plans and SQL of this session read them like a dataset."""
+        self.inline[name] = from_ipc(table) if isinstance(table, bytes) else table
+
     def create_dataset(self, name: str, schema: T.StructType) -> Dataset:
         return self.catalog.create(name, schema, self.workspace)
 
@@ -171,6 +234,8 @@ class Session:
 
     def frame(self, name: str, snapshot_id: str = "", predicates: list[ir.Expr] | None = None) -> DataFrame:
         """A dataset's rows, from the files that the predicates leave possible."""
+        if name in self.inline:
+            return self.spark.createDataFrame(self.inline[name])
         dataset = self.catalog.get(name, self.workspace)
         files = self.catalog.manifests(self.catalog.snapshot(dataset, snapshot_id))
         return mixed.read(self.spark, dataset.schema, pruning.prune(files, predicates or []))
@@ -181,21 +246,27 @@ class Session:
         return lower.lower(plan, lambda s: self.frame(s.dataset, s.snapshot_id, by.get(s, [])))
 
     def _schemas(self, plan: ir.Plan) -> dict[str, list[str]]:
-        return {s.dataset: self.catalog.get(s.dataset, self.workspace).columns for s in ir.scans(plan)}
+        return {s.dataset: self._columns(s.dataset) for s in ir.scans(plan)}
+
+    def _columns(self, name: str) -> list[str]:
+        return self.inline[name].column_names if name in self.inline else self.catalog.get(name, self.workspace).columns
 
     def _snapshot_key(self, plan: ir.Plan) -> str:
         out = []
         for s in sorted(set(ir.scans(plan)), key=lambda s: (s.dataset, s.snapshot_id)):
+            if s.dataset in self.inline:
+                out.append(f"{s.dataset}@{id(self.inline[s.dataset])}")
+                continue
             found = self.catalog.snapshot(self.catalog.get(s.dataset, self.workspace), s.snapshot_id)
             out.append(f"{self.workspace}/{s.dataset}@{found.id if found else ''}")
         return ",".join(out)
 
     def parse(self, dataset: str, sql: str) -> sqlfront.Parsed:
-        return sqlfront.parse(self.spark, sql, dataset, self.catalog.get(dataset, self.workspace).columns)
+        return sqlfront.parse(self.spark, sql, dataset, self._columns(dataset))
 
     def _direct(self, dataset: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
         """SQL beyond the plan language, as Spark runs it. It may read all datasets of the workspace by name."""
-        names = {d.name for d in self.datasets()}
+        names = {d.name for d in self.datasets()} | set(self.inline)
         with _lock:
             for t in {dataset, *tables}:
                 if t in names:
@@ -233,11 +304,15 @@ class Session:
         return self.provider
 
     def _types(self, dataset: str) -> dict[str, str]:
+        if dataset in self.inline:
+            return {f.name: f.dataType.simpleString() for f in self.frame(dataset).schema}
         return {f.name: f.dataType.simpleString() for f in self.catalog.get(dataset, self.workspace).schema}
 
     def _recorded(self, k: str, run) -> Result:  # noqa: ANN001
         try:
-            result = run()
+            with METRICS.timed("siltstone_query"):
+                result = run()
+            METRICS.count("siltstone_result_cache_total", hit=str(result.cache_hit).lower())
         except PySparkException as e:
             self.past.finish(k, error=str(e))
             raise EngineError(str(e)) from e
@@ -270,13 +345,15 @@ class Session:
         """What a query would do; nothing runs and nothing is recorded."""
         parsed = self.parse(dataset, sql)
         if parsed.plan is None:
-            files = self.catalog.manifests(self.catalog.current(self.catalog.get(dataset, self.workspace)))
+            files = [] if dataset in self.inline else self.catalog.manifests(self.catalog.current(self.catalog.get(dataset, self.workspace)))
             return Explained(None, None, "runs as Spark SQL", len(files), len(files), False, _physical(self._direct(dataset, sql, parsed.tables)))
         schemas = self._schemas(parsed.plan)
         ir.validate(parsed.plan, schemas)
         optimized = ir.optimize(parsed.plan, schemas)
         before = after = 0
         for scan, predicates in ir.scan_predicates(optimized).items():
+            if scan.dataset in self.inline:
+                continue
             files = self.catalog.manifests(self.catalog.snapshot(self.catalog.get(scan.dataset, self.workspace), scan.snapshot_id))
             before, after = before + len(files), after + len(pruning.prune(files, predicates))
         at = self._snapshot_key(parsed.plan)
