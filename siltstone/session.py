@@ -18,7 +18,7 @@ from siltstone import cache, nl, research
 from siltstone.catalog import DEFAULT_WORKSPACE, Catalog, Dataset, Manifest, Snapshot
 from siltstone.corpora import Corpora
 from siltstone.errors import BadFile, EngineError, UnsupportedSql
-from siltstone.functions.stats import file_stats
+from siltstone.functions.stats import file_stats, footer_stats
 from siltstone.history import History
 from siltstone.operators import profile
 from siltstone.operators.text import Embedder, HashEmbedder
@@ -111,23 +111,26 @@ class Session:
 
     # --- data in ---
 
-    def ingest(self, name: str, df: DataFrame, operation: str = "append", partition_by: list[str] | None = None, compression: str = "zstd") -> Snapshot:
-        """Rows as Parquet files of the dataset, with statistics for skipping files."""
+    def ingest(self, name: str, df: DataFrame, operation: str = "append", partition_by: list[str] | None = None, compression: str = "zstd", distinct: bool = True) -> Snapshot:
+        """Rows as Parquet files of the dataset, with statistics for skipping files. Without `distinct` they come from the files' footers, and the
+        written rows aren't read again to count distinct values."""
         dataset = self.catalog.ensure(name, df.schema, self.workspace)
         if [f.name for f in dataset.schema] != df.columns:
             raise EngineError(f"{name!r} has the columns {', '.join(dataset.columns)}")
         folder = self.catalog.data_folder(dataset)
         out = df.write.option("compression", compression)
         (out.partitionBy(*partition_by) if partition_by else out).parquet(folder)
-        return self._committed(dataset, folder, operation, partition_by or [])
+        return self._committed(dataset, folder, operation, partition_by or [], distinct)
 
-    def _committed(self, dataset: Dataset, folder: str, operation: str, partition_by: list[str]) -> Snapshot:
-        return self.catalog.commit(dataset, self._manifests(dataset, folder, partition_by), operation)
+    def _committed(self, dataset: Dataset, folder: str, operation: str, partition_by: list[str], distinct: bool) -> Snapshot:
+        return self.catalog.commit(dataset, self._manifests(dataset, folder, partition_by, distinct), operation)
 
-    def _manifests(self, dataset: Dataset, folder: str, partition_by: list[str]) -> list[Manifest]:
+    def _manifests(self, dataset: Dataset, folder: str, partition_by: list[str], distinct: bool = True) -> list[Manifest]:
         sizes = {_plain(p): n for p, n in self.catalog.files.data_files(folder)}
-        written = self.spark.read.parquet(folder) if sizes else None
-        stats = {_plain(p): s for p, s in (file_stats(written, [c for c in dataset.columns if c not in partition_by]).items() if written is not None else ())}
+        found = {} if distinct or not sizes else footer_stats(self.spark, sorted(sizes))
+        if sizes and len(found) < len(sizes):
+            found = file_stats(self.spark.read.parquet(folder), [c for c in dataset.columns if c not in partition_by])
+        stats = {_plain(p): s for p, s in found.items()}
         kinds = {f.name: f.dataType for f in dataset.schema}
         manifests = []
         for path, size in sorted(sizes.items()):
@@ -200,7 +203,9 @@ class Session:
         if schema is None:
             schema = csv.infer_file(self.spark, paths) if format == "csv" else self.spark.read.format(format).load(paths).schema
         dataset = self.catalog.ensure(name, schema, self.workspace)
-        found = file_stats(self.spark.read.format(format).load(paths)) if format in ("parquet", "orc") else {}
+        found = footer_stats(self.spark, paths) if format == "parquet" else {}
+        unread = [p for p in paths if p not in found] if format in ("parquet", "orc") else []
+        found |= file_stats(self.spark.read.format(format).load(unread)) if unread else {}
         stats = {_plain(p): s for p, s in found.items()}
         manifests = [Manifest(p, format, {}, stats.get(_plain(p), {}).get("rows"), self.catalog.files.size(p), stats.get(_plain(p), {}).get("stats", {})) for p in paths]
         return self.catalog.commit(dataset, manifests, operation)

@@ -1,13 +1,15 @@
-import io
+import datetime as dt
 import json
+import re
 import struct
-import zlib
 
 import pytest
 from pyspark.sql import types as T
 
 from siltstone.catalog import Manifest
 from siltstone.errors import BadFile
+from siltstone.functions import stats
+from siltstone.session import Session
 from siltstone.sources import avro, csv, external, mixed
 
 CASES = [
@@ -120,6 +122,27 @@ def test_delta_without_its_beginning(spark, tmp_path):
         external.delta(spark, str(tmp_path))
 
 
+def test_statistics_from_footers(spark, tmp_path):
+    """Those of the rows, without the distinct counts."""
+    rows = [(k, None if k % 3 == 0 else f"n{k:03}", k / 2, k % 2 == 0, dt.date(2024, 1, 1 + k % 28), None) for k in range(100)]
+    schema = "a long, b string, c double, d boolean, e date, f int"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/x")
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{tmp_path}/none")
+    paths = [str(p) for d in ("x", "none") for p in (tmp_path / d).glob("*.parquet")]
+    want = {re.sub("^file:/+", "/", p): s for p, s in stats.file_stats(spark.read.parquet(f"{tmp_path}/x")).items()}
+    got = stats.footer_stats(spark, [*paths, f"{tmp_path}/missing.parquet"])
+    assert set(got) == set(paths) and sum(s["rows"] for s in got.values()) == 100
+    for p, w in want.items():
+        assert got[p]["rows"] == w["rows"] and got[p]["stats"]["c"].pop("has_nan")
+        assert got[p]["stats"] == {c: {k: v for k, v in s.items() if k != "distinct"} for c, s in w["stats"].items()}
+    session = Session(spark, str(tmp_path / "root"))
+    session.ingest("t", spark.read.parquet(f"{tmp_path}/x"), distinct=False)
+    session.register_files("u", paths, "parquet")
+    for name in ("t", "u"):
+        assert session.query(name, f"SELECT COUNT(*) AS n FROM {name} WHERE a > 90").rows() == [{"n": 9}]
+        assert session.explain(name, f"SELECT a FROM {name} WHERE a > 1000").files_after == 0
+
+
 # --- Avro and Iceberg ---
 
 
