@@ -2,7 +2,8 @@
 
 The whole corpus is indexed once, every term of it, in shards of bounded text that a task makes of what it reads. A shard's postings are in order of
 documents, in blocks of BLOCK neighbouring documents; for each block that a list touches the index holds the greatest count of
-the term and the least length of a document there, from which any statistics give a bound on what the list adds to a score.
+the term and the least length of a document there, from which any statistics give a bound on what the list adds to a score. A list of up to SHORT
+postings has no such table, which would be larger than itself: its blocks' bounds are found from its postings when it is asked for.
 
 Statistics (number of documents, their mean length, document frequencies) are summed over all shards before
 any is searched, so scores are those of one index over everything, and merging the shards' best k is exact.
@@ -35,13 +36,15 @@ from siltstone.llm.common import byte_buffer, coded_words, identified, offsets_o
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 64
+#: Postings up to which a list has no table of its blocks.
+SHORT = 64
 #: Text in a shard at most; a task with more makes several shards.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Text of the queries that are broadcast at a time.
 QUERY_BYTES = 16 << 20
 #: What rounding may add to a score.
 SLACK = 2e-6
-COLUMNS = ("docs", "lengths", "terms", "term_ends", "ends", "places", "counts", "list_ends", "blocks", "block_ends", "most", "shortest")
+COLUMNS = ("docs", "lengths", "terms", "term_ends", "ends", "places", "counts", "long", "list_ends", "blocks", "block_ends", "most", "shortest")
 INDEX = ", ".join(f"{c} binary" for c in COLUMNS)
 
 
@@ -65,36 +68,41 @@ class Builder:
     def add(self, ids: np.ndarray, texts: pa.Array) -> None:
         codes, distinct, lengths = coded_words(texts)
         key, n = np.unique(np.repeat(np.arange(len(lengths)), lengths) * max(1, len(distinct)) + codes, return_counts=True)
-        self.parts.append((ids, lengths, distinct.cast(pa.binary()), key % max(1, len(distinct)), key // max(1, len(distinct)), n))
+        self.parts.append((ids, lengths, distinct.cast(pa.binary()), *(x.astype(np.int32) for x in (key % max(1, len(distinct)), key // max(1, len(distinct)), n))))
         self.held += pc.sum(pc.binary_length(texts)).as_py() or 0
 
     def row(self) -> pa.RecordBatch:
         """ids and lengths of the documents in order of ids; the terms in order, where each one's postings end, and the postings: places of documents
-        and counts; where each list's blocks end, their numbers, where their postings end, the greatest count and least length in each."""
+        and counts; the numbers of the long lists, where the blocks of each end, the blocks' numbers, where their postings end, the greatest count and least length in each."""
         ids, lengths = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
         base = offsets_of(np.array([len(p[0]) for p in self.parts]))
         first = offsets_of(np.array([len(p[2]) for p in self.parts]))
         coded = pa.concat_arrays([p[2] for p in self.parts]).dictionary_encode()
         by = pc.sort_indices(coded.dictionary).to_numpy()
-        number = np.empty(len(by), np.int64)
+        number = np.empty(len(by), np.int32)
         number[by] = np.arange(len(by))
         term_of = number[coded.indices.to_numpy(zero_copy_only=False)] if len(by) else number
         term = np.concatenate([term_of[p[3] + f] for p, f in zip(self.parts, first)])
         order = np.argsort(ids, kind="stable")
-        rank = np.empty_like(order)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        doc, n = rank[np.concatenate([p[4] + b for p, b in zip(self.parts, base)])], np.concatenate([p[5] for p in self.parts])
-        sort = np.argsort(term * max(1, len(ids)) + doc)
+        doc, n = np.concatenate([rank[p[4] + b] for p, b in zip(self.parts, base)]), np.concatenate([p[5] for p in self.parts])
+        self.parts = []
+        sort = np.argsort(term.astype(np.int64) << 32 | doc)
         term, doc, n = term[sort], doc[sort], n[sort]
-        ids, lengths, block = ids[order], lengths[order], doc // BLOCK
-        at = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
-        most, shortest = (f.reduceat(x, at) if len(at) else at for f, x in ((np.maximum, n), (np.minimum, lengths[doc])))
+        ids, lengths = ids[order], lengths[order]
+        size = np.bincount(term, minlength=len(by))
+        ends, long = np.cumsum(size), np.flatnonzero(size > SHORT)
+        own = np.flatnonzero((size > SHORT)[term])  # the long lists' postings
+        of, block = term[own], doc[own] // BLOCK
+        at = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1])))) if len(own) else np.zeros(0, np.int64)
+        most, shortest = (f.reduceat(x, at) if len(at) else at for f, x in ((np.maximum, n[own]), (np.minimum, lengths[doc[own]])))
+        block_ends = own[np.append(at[1:], len(own)) - 1] + 1 if len(at) else at
         terms = coded.dictionary.take(pa.array(by))
         data, offsets = byte_buffer(terms)
         data = data[offsets[0] : offsets[-1]] if len(terms) else np.zeros(0, np.uint8)
-        everything = np.arange(len(terms))
-        columns = [ids.astype(np.int64), _narrow(lengths), data, _narrow(offsets[1:] - offsets[0]), _narrow(np.searchsorted(term, everything, side="right")), _narrow(doc), _narrow(n)]
-        columns += [_narrow(np.searchsorted(term[at], everything, side="right")), _narrow(block[at]), _narrow(np.append(at[1:], len(term)) if len(at) else at), _narrow(most), _narrow(shortest)]
+        columns = [ids.astype(np.int64), _narrow(lengths), data, _narrow(offsets[1:] - offsets[0]), _narrow(ends), _narrow(doc), _narrow(n)]
+        columns += [long.astype(np.int32), _narrow(np.searchsorted(of[at], long, side="right")), _narrow(block[at]), _narrow(block_ends), _narrow(most), _narrow(shortest)]
         return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], list(COLUMNS))
 
 
@@ -143,39 +151,68 @@ class Shard:
         self.ids = np.frombuffer(row["docs"], np.int64)
         terms = _terms(row)
         n = len(terms)
-        ends, list_ends = _wide(row["ends"], n), _wide(row["list_ends"], n)
-        postings, blocks = int(ends[-1]) if n else 0, int(list_ends[-1]) if n else 0
-        lengths = _wide(row["lengths"], len(self.ids))
-        self.norm = K1 * (1 - B + B * lengths / stats.mean_length) if stats.mean_length else np.full(len(lengths), K1)
+        ends = _wide(row["ends"], n)
+        postings = int(ends[-1]) if n else 0
+        self.lengths = _wide(row["lengths"], len(self.ids))
         self.place, self.n = (np.frombuffer(row[c], f"u{len(row[c]) // postings}") if postings else np.zeros(0, np.uint8) for c in ("places", "counts"))
-        self.block, self.end = _wide(row["blocks"], blocks), _wide(row["block_ends"], blocks)
-        self.begin = np.concatenate(([0], self.end))[:blocks]
-        most, shortest = _wide(row["most"], blocks), _wide(row["shortest"], blocks)
-        # which list each of the queries' terms has here
+        long = np.frombuffer(row["long"], np.int32)
+        list_ends = _wide(row["list_ends"], len(long))
+        blocks = int(list_ends[-1]) if len(long) else 0
+        self.block, self.end, most, shortest = (_wide(row[c], blocks) for c in ("blocks", "block_ends", "most", "shortest"))
+        self.mean = stats.mean_length
+        self.bound = self._gain(most, shortest)  # of a block of a long list, before the term's weight
+        # which list each of the queries' terms has here, where its postings are, and its blocks if it is long
         at = pc.index_in(asked, value_set=terms)
-        self.list_of = np.where(at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy(), -1)
-        self.first, self.last = np.concatenate(([0], list_ends))[:n], list_ends
+        here = at.is_valid().to_numpy(zero_copy_only=False)
+        own = pc.fill_null(at, 0).to_numpy()
+        self.from_, self.to = np.where(here, np.concatenate(([0], ends))[own], 0), np.where(here, np.append(ends, 0)[own], 0)
+        which = np.minimum(np.searchsorted(long, own), max(0, len(long) - 1))
+        is_long = here & (long[which] == own) if len(long) else np.zeros(len(own), bool)
+        self.first = np.where(is_long, np.concatenate(([0], list_ends))[which], 0)
+        self.last = np.where(is_long, np.append(list_ends, 0)[which], 0)
         self.idf = stats.idf()
-        least = K1 * (1 - B + B * shortest / stats.mean_length) if stats.mean_length else np.full(blocks, K1)
-        self.bound = most * (K1 + 1) / (most + least)  # of a block, before the term's weight
         self.scored = 0
 
+    def _gain(self, n: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """What a count in a document of that length adds to a score, before the term's weight: more with more, and the shorter the more."""
+        n = n.astype(np.float64)
+        return n * (K1 + 1) / (n + K1 * (1 - B + B * length / self.mean)) if self.mean else n * (K1 + 1) / (n + K1)
+
+    def _blocks(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lists' blocks, list by list: which of the terms, number, where the postings begin and end, bound before the term's weight."""
+        long = self.last[terms] > 0
+        size = (self.last - self.first)[terms]
+        which = np.repeat(np.arange(len(terms)), size)
+        own = np.repeat(self.first[terms] - offsets_of(size)[:-1], size) + np.arange(int(size.sum()))
+        begin = np.where(own == self.first[terms][which], self.from_[terms][which], self.end[own - 1])
+        parts = [(which, self.block[own], begin, self.end[own], self.bound[own])]
+        span = np.where(long, 0, (self.to - self.from_)[terms])
+        if span.any():
+            posting = np.repeat(self.from_[terms] - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))
+            place, which = self.place[posting].astype(np.int64), np.repeat(np.arange(len(terms)), span)
+            block = place // BLOCK
+            at = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1]))))
+            parts.append((which[at], block[at], posting[at], posting[np.append(at[1:], len(posting)) - 1] + 1, np.maximum.reduceat(self._gain(self.n[posting], self.lengths[place]), at)))
+        which, *rest = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(which, kind="stable")
+        return which[order], *(x[order] for x in rest)
+
     def search(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the query's terms, and how often each occurs in it -> ids and scores of the best k, exactly."""
-        lists = self.list_of[terms]
-        here = lists >= 0
-        lists, weight = lists[here], self.idf[terms[here]] * times[here]
+        here = self.to[terms] > 0
+        terms, times = terms[here], times[here]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        if not len(lists):
+        if not len(terms):
             return ids, scores
-        size = self.last[lists] - self.first[lists]
-        own = np.repeat(self.first[lists] - offsets_of(size)[:-1], size) + np.arange(int(size.sum()))
+        weight = self.idf[terms] * times
+        of, block, first, last, bound = self._blocks(terms)
+        bound = bound * weight[of]
+        size = np.bincount(of, minlength=len(terms))
         begin, end = offsets_of(size)[:-1], offsets_of(size)[1:]
-        block, bound = self.block[own], self.bound[own] * np.repeat(weight, size)
-        key = np.repeat(np.arange(len(lists)) << 32, size) | block  # for cursors that skip
+        key = of << 32 | block  # for cursors that skip
         most = np.maximum.reduceat(bound, begin)
         cursor, past, floor = begin.copy(), 1 << 31, -np.inf
-        number = np.arange(len(lists)) << 32
+        number = np.arange(len(terms)) << 32
         while True:
             now = np.where(cursor < end, block[np.minimum(cursor, len(block) - 1)], past)
             order = np.argsort(now, kind="stable")
@@ -192,7 +229,7 @@ class Shard:
             cursor[there] += 1
             if bound[cells].sum() < floor - SLACK:
                 continue
-            a, span = self.begin[own[cells]], self.end[own[cells]] - self.begin[own[cells]]
+            a, span = first[cells], last[cells] - first[cells]
             posting = np.repeat(a - offsets_of(span)[:-1], span) + np.arange(int(span.sum()))
             which = np.repeat(np.arange(len(there)), span)
             inside = self.place[posting].astype(np.int64) - at * BLOCK
@@ -202,8 +239,7 @@ class Shard:
             if not len(posting):
                 continue
             self.scored += len(posting)
-            n = self.n[posting].astype(np.float64)
-            score = np.bincount(inside, weights=weight[there][which] * n * (K1 + 1) / (n + self.norm[at * BLOCK + inside]), minlength=BLOCK)
+            score = np.bincount(inside, weights=weight[there][which] * self._gain(self.n[posting], self.lengths[at * BLOCK + inside]), minlength=BLOCK)
             found = np.unique(inside)
             ids, scores = np.concatenate((ids, self.ids[at * BLOCK + found])), np.concatenate((scores, np.round(score[found], 6)))
             if len(ids) > k:

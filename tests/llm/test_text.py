@@ -288,8 +288,9 @@ def ranked_by_force(rows, queries, k):
     return out
 
 
-@pytest.mark.parametrize(("shard_bytes", "query_bytes"), [(1, 1 << 20), (20_000, 800), (topk_search.SHARD_BYTES, topk_search.QUERY_BYTES)])
-def test_search_is_exact(spark, small, shard_bytes, query_bytes, monkeypatch):
+@pytest.mark.parametrize(("shard_bytes", "query_bytes", "short"), [(1, 1 << 20, 0), (20_000, 800, 2), (topk_search.SHARD_BYTES, topk_search.QUERY_BYTES, topk_search.SHORT)])
+def test_search_is_exact(spark, small, shard_bytes, query_bytes, short, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHORT", short)
     monkeypatch.setattr(topk_search, "SHARD_BYTES", shard_bytes)
     monkeypatch.setattr(topk_search, "QUERY_BYTES", query_bytes)
     monkeypatch.setattr(topk_search, "BLOCK", 4)
@@ -308,8 +309,10 @@ def test_search_is_exact(spark, small, shard_bytes, query_bytes, monkeypatch):
     assert all(a[3] < b[3] for a, b in itertools.pairwise(tied) if a[0] == b[0] and a[2] == b[2])
 
 
-def test_search_skips_postings():
+@pytest.mark.parametrize("short", [0, 64, 10_000])
+def test_search_skips_postings(monkeypatch, short):
     """A few documents match a rare word; the lists of common words are hardly read. The results are those of the whole."""
+    monkeypatch.setattr(topk_search, "SHORT", short)
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["the", "of", "and", "to", *(f"w{k}" for k in range(400))], 40, p=[0.1] * 4 + [0.6 / 400] * 400)) for _ in range(4000)]
     for k in range(0, 4000, 300):
