@@ -54,7 +54,7 @@ def file_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, dic
 
 
 def footer_stats(spark: SparkSession, paths: list[str]) -> dict[str, dict]:
-    """The same from the files' own footers, without reading their rows: tasks open the Parquet files' ends. There is no distinct count in footers. A file whose
+    """The same from the files' own footers, without reading their rows: tasks open the Parquet files' ends. There is no distinct count in footers, but the names of the file's columns. A file whose
     file system they can't open has no entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,4 +87,4 @@ def _footer(path: str) -> str | None:
             found["has_nan"] = True  # footers don't tell
         if found["min"] is not None or found["null_count"] == meta.num_rows:
             stats[name] = found
-    return json.dumps({"rows": meta.num_rows, "stats": stats})
+    return json.dumps({"rows": meta.num_rows, "columns": meta.schema.to_arrow_schema().names, "stats": stats})

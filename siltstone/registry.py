@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
 import tempfile
@@ -18,8 +19,8 @@ from siltstone.fs import Files
 from siltstone.functions.stats import distinct_estimate, file_stats
 from siltstone.operators import joins, profile, text
 from siltstone.plans import ir, lower, pruning, sqlfront
-from siltstone.session import CONF, Session
-from siltstone.sources import avro, csv, external, mixed
+from siltstone.session import CONF, Session, to_ipc
+from siltstone.sources import avro, csv, mixed
 from siltstone.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,13 +51,28 @@ def run_plan(spark: SparkSession, sf_dir: str, plan: ir.Plan, opened: dict[str,
     return lower.lower(ir.optimize(plan, schemas), lambda s: frames[s.dataset])
 
 
+_made: list[str] = []
+
+
 def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share; it goes when the driver's process ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"siltstone-{os.getpid()}")
-    return f"{at}/sources-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_clean, spark)
+    _made.append(f"{at}/sources-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def _clean(spark: SparkSession) -> None:
+    for at in _made:
+        try:
+            Files(spark).delete(at)
+        except Exception:  # noqa: BLE001  the session may be gone when the process ends
+            return
 
 
 def nodes(plan: ir.Plan) -> list[ir.Plan]:
@@ -468,8 +484,9 @@ def iceberg_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = [{"id": i, "name": f.name, "required": False, "type": kinds[f.dataType.simpleString()]} for i, f in enumerate(df.schema, 1)]
     meta = {"location": at, "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": fields}], "partition-specs": [{"spec-id": 0, "fields": []}], "current-snapshot-id": 7, "snapshots": [{"snapshot-id": 7, "manifest-list": f"{at}/metadata/list.avro"}]}
     files.write_new(f"{at}/metadata/v1.metadata.json", json.dumps(meta).encode())
-    found = external.iceberg(spark, f"{at}/metadata/v1.metadata.json")
-    return mixed.read(spark, found.schema, found.files)
+    session = Session(spark, f"{at}/root")
+    session.register_iceberg("lines", f"{at}/metadata/v1.metadata.json")
+    return session.frame("lines")
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, NULLIF(l_returnflag, 'N') AS l_returnflag, l_quantity FROM lineitem")
@@ -481,6 +498,23 @@ def csv_roundtrip_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.read(spark, at)
 
 
+@query("SELECT l_returnflag, COUNT(*) AS n, MAX(l_quantity) AS most, CAST(SUM(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_returnflag")
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset from CSV files, partitioned, then asked in SQL."""
+    at, session = _folder(spark), Session(spark, _folder(spark))
+    _lines(spark, sf_dir).write.csv(at, header=True)
+    session.ingest_csv("lines", at, partition_by=["l_returnflag"])
+    return session.lowered(session.parse("lines", "SELECT l_returnflag, COUNT(*) AS n, MAX(l_quantity) AS most, SUM(l_orderkey) AS keys FROM lines WHERE l_linenumber <= 4 GROUP BY l_returnflag").plan)
+
+
+@query("SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS first FROM nation GROUP BY n_regionkey")
+def inline_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan over an Arrow stream that is there already."""
+    session = Session(spark, _folder(spark))
+    session.register_arrow("nation", to_ipc(table(spark, sf_dir, "nation").toArrow()))
+    return session.lowered(session.parse("nation", "SELECT n_regionkey, COUNT(*) AS n, MIN(n_name) AS first FROM nation GROUP BY n_regionkey").plan)
+
+
 @query(f"{_PARTS} WHERE l_returnflag <> 'A'")
 def delta_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log that adds three partitions and removes one; the partition's value is only in the log."""
@@ -494,8 +528,9 @@ def delta_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     adds = [{"add": {"path": p, "partitionValues": {"l_returnflag": p[len("l_returnflag=")]}, "size": 1}} for p in paths]
     files.write_new(f"{at}/_delta_log/{0:020d}.json", "\n".join(map(json.dumps, [meta, *adds])).encode())
     files.write_new(f"{at}/_delta_log/{1:020d}.json", "\n".join(json.dumps({"remove": {"path": p}}) for p in paths if p.startswith("l_returnflag=A")).encode())
-    found = external.delta(spark, at)
-    return mixed.read(spark, found.schema, found.files)
+    session = Session(spark, f"{at}/root")
+    session.register_delta("lines", at)
+    return session.frame("lines")
 
 
 # --- streams ---

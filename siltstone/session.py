@@ -204,6 +204,9 @@ class Session:
             schema = csv.infer_file(self.spark, paths) if format == "csv" else self.spark.read.format(format).load(paths).schema
         dataset = self.catalog.ensure(name, schema, self.workspace)
         found = footer_stats(self.spark, paths) if format == "parquet" else {}
+        for p, own in found.items():
+            if missing := [c for c in dataset.columns if c not in own["columns"]]:
+                raise BadFile(f"{p} lacks the column {missing[0]!r}")
         unread = [p for p in paths if p not in found] if format in ("parquet", "orc") else []
         found |= file_stats(self.spark.read.format(format).load(unread)) if unread else {}
         stats = {_plain(p): s for p, s in found.items()}
@@ -226,6 +229,15 @@ class Session:
         """Batches that are there already, as a table or an Arrow stream: plans and SQL of this session read them like a dataset."""
         self.inline[name] = from_ipc(table) if isinstance(table, bytes) else table
 
+    def register_function(self, name: str, function, returns: str | T.DataType, kind: str = "scalar") -> None:  # noqa: ANN001
+        """For this session's SQL. scalar and aggregate: of pandas series, in Arrow batches (an aggregate's group is in memory at once); table: a class whose eval() yields rows."""
+        if kind == "table":
+            self.spark.udtf.register(name, F.udtf(function, returnType=returns))
+        elif kind in ("scalar", "aggregate"):
+            self.spark.udf.register(name, F.pandas_udf(function, returns, F.PandasUDFType.SCALAR if kind == "scalar" else F.PandasUDFType.GROUPED_AGG))
+        else:
+            raise EngineError(f"unknown kind of function {kind!r}")
+
     def create_dataset(self, name: str, schema: T.StructType) -> Dataset:
         return self.catalog.create(name, schema, self.workspace)
 

@@ -1,4 +1,4 @@
-"""Joins on order against brute force; changes of datasets."""
+"""Joins on order against brute force; changes of datasets; functions of one's own."""
 
 import numpy as np
 import pytest
@@ -94,3 +94,19 @@ def test_a_change_from_an_old_snapshot_fails(session, spark):
     with pytest.raises(EngineError, match="another process"):
         session.catalog.commit(dataset, [], "overwrite", base=old)
     assert len(rows(session)) == 6
+
+
+def test_functions(session):
+    class Twice:
+        def eval(self, k):
+            yield k, None if k is None else 2 * k
+
+    session.register_function("plus_one", lambda v: v + 1, "double")
+    session.register_function("spread", lambda v: v.max() - v.min(), "double", "aggregate")
+    session.register_function("twice", Twice, "k long, double long", "table")
+    assert session.query("t", "SELECT k, plus_one(v) AS w FROM t WHERE k < 3 ORDER BY k").rows() == [{"k": 1, "w": 2.0}, {"k": 2, "w": None}]
+    assert session.query("t", "SELECT spread(v) AS s FROM t").rows() == [{"s": 4.0}]
+    assert session.query("t", "SELECT k, upper(g) AS u FROM t WHERE k = 3").rows() == [{"k": 3, "u": "C"}]
+    assert session.query("t", "SELECT t.k, double FROM t, LATERAL twice(t.k) WHERE t.k IN (3, 4) ORDER BY t.k").rows() == [{"k": 3, "double": 6}, {"k": 4, "double": 8}]
+    with pytest.raises(EngineError):
+        session.register_function("x", len, "long", "other")

@@ -138,6 +138,9 @@ def test_statistics_from_footers(spark, tmp_path):
     session = Session(spark, str(tmp_path / "root"))
     session.ingest("t", spark.read.parquet(f"{tmp_path}/x"), distinct=False)
     session.register_files("u", paths, "parquet")
+    spark.createDataFrame([(1,)], "a long").coalesce(1).write.parquet(f"{tmp_path}/less")
+    with pytest.raises(BadFile, match="lacks the column 'b'"):
+        session.register_files("u", [str(next((tmp_path / "less").glob("*.parquet")))], "parquet")
     for name in ("t", "u"):
         assert session.query(name, f"SELECT COUNT(*) AS n FROM {name} WHERE a > 90").rows() == [{"n": 9}]
         assert session.explain(name, f"SELECT a FROM {name} WHERE a > 1000").files_after == 0
