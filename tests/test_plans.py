@@ -185,7 +185,7 @@ def test_plan_of_whole_stage(spark, sf_dir):
     """Two of eleven columns are read, the filter reaches the scan, the aggregate is partial before its only exchange."""
     from siltstone import registry
 
-    plan = registry.compiled(spark, sf_dir, "lineitem", "SELECT l_returnflag, COUNT(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
+    plan = registry.compiled(spark, registry.table(spark, sf_dir, "lineitem"), "lineitem", "SELECT l_returnflag, COUNT(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
     text = registry.run_plan(spark, sf_dir, plan)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in text.replace("\n", "")
     assert "GreaterThan(l_quantity,25.0)" in text and text.count("Exchange") == 1 and "partial_count" in text
