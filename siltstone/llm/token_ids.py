@@ -147,9 +147,9 @@ def piece_of(part: int, k: int, tokens: int) -> int:
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """token, n, id of what pieces() gives, as a scratch table."""
+    """token, n, id of what pieces() gives."""
     counts = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n"))
-    return written(in_order(counts, F.desc("n"), F.asc("token")).withColumnRenamed("place", "id"), "vocabulary")
+    return in_order(counts, F.desc("n"), F.asc("token")).withColumnRenamed("place", "id")
 
 
 def _of(at: str) -> Column:
