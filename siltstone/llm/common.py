@@ -12,6 +12,7 @@ Rules that hold for every operator here, unless its docstring says otherwise:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,7 +80,7 @@ def in_order(df: DataFrame, *order: Column) -> DataFrame:
 
 
 #: Rows of identifiers and digests up to which a table is broadcast: some tens of megabytes.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
@@ -88,9 +89,19 @@ def bounded(table: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(table) if small else table), small
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_C = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker process outlives its task, and would keep what the task needed at its peak while later stages run."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, tidy: bool = True) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices with about `limit` bytes of `column` each, which bounds a worker's memory
-    whatever the texts' length; a longer text is a slice of its own, and whole."""
+    whatever the texts' length; a longer text is a slice of its own, and whole. tidy: memory is released at the end, as a task's is."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -102,6 +113,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    if tidy:
+        release()
 
 
 def offsets_of(counts: np.ndarray) -> np.ndarray:

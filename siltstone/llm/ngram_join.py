@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded, coded_words, identified, offsets_of, slices, written
+from siltstone.llm.common import bounded, coded_words, identified, offsets_of, release, slices, written
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.95
 #: Nodes in a block: the texts of two blocks are in a task's memory at once.
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int, id_col: str = "doc_
 def _sets(texts: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, int]:
     """For a task's texts: dense numbers of the distinct n-grams of each, where each begins, how many n-grams there are."""
     parts, counts = [], []
-    for batch in slices(texts.select(["text"]).combine_chunks().to_batches(), "text"):
+    for batch in slices(texts.select(["text"]).combine_chunks().to_batches(), "text", tidy=False):
         hashes, grams = ngram_hashes(batch.column("text"), n)
         at = offsets_of(grams)
         for i in range(len(grams)):
@@ -291,7 +291,10 @@ class _Join:
         texts = texts.groupBy("task", "node").agg(F.first("weight").alias("weight"), F.first("text").alias("text"))
 
         def verify(left: pa.Table, right: pa.Table) -> pa.Table:
-            return _verify(left, right, n, threshold, what)
+            out = _verify(left, right, n, threshold, what)
+            if left.nbytes > 4 << 20:
+                release()
+            return out
 
         of = entries.select(F.col("task").alias("of"), *(F.col(c).alias(c) for c in ("node", "key", "side", "root")))
         return written(texts.groupBy("task").cogroup(of.groupBy("of")).applyInArrow(verify, _FOUND), "found")
