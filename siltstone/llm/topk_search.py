@@ -39,7 +39,7 @@ BLOCK = 64
 #: Postings up to which a list has no table of its blocks.
 SHORT = 64
 #: Text in a shard at most; a task with more makes several shards.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 #: Text of the queries that are broadcast at a time.
 QUERY_BYTES = 16 << 20
 #: What rounding may add to a score.
