@@ -34,13 +34,15 @@ def json_value(x: object) -> object:
 
 def file_stats(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
     """For each data file that `df` reads, by path: its rows and its columns' statistics. One job over all files,
-    aggregated before the shuffle; the driver gets a row a file."""
+    aggregated before the shuffle; the driver gets a row a file. Least and greatest texts don't fit the rows of Spark's hash aggregate, and a task would
+    sort all of its rows by path; an aggregate that holds an object, here a set that stays empty, has it hash the groups."""
     fields = [f for f in df.schema if isinstance(f.dataType, ORDERED) and (columns is None or f.name in columns)]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         aggs += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"), F.count(c).alias(f"n{i}"), distinct_estimate(c).alias(f"d{i}")]
         aggs += [F.max(F.isnan(c)).alias(f"nan{i}")] * isinstance(f.dataType, _FLOATS)
+    aggs.append(F.collect_set(F.lit(None).cast("int")).alias("held"))
     out = {}
     for row in df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggs).toLocalIterator():
         stats = {}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from siltstone import registry
+from siltstone.functions import stats
 
 
 def plan_of(df):
@@ -19,3 +20,25 @@ def test_exact_counts_stand_apart_from_sketches(spark, tmp_path):
         assert sorted(map(tuple, df.collect())) == sorted(want)
         # a value's row in the aggregate of all at once would have held the registers of three sketches
         assert "Expand" not in plan_of(df)
+
+
+def test_statistics_of_files_sort_no_rows(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"t{i % 9}") for i in range(100)], "k long, t string").repartition(3).write.parquet(f"{tmp_path}/x")
+    df, plans = spark.read.parquet(f"{tmp_path}/x"), []
+    own = type(df).toLocalIterator
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or own(self, *a, **k))
+    found = stats.file_stats(df)
+    assert len(plans) == 1 and "Sort" not in plans[0]
+    assert sum(s["rows"] for s in found.values()) == 100 and {s["stats"]["t"]["min"] for s in found.values()} == {"t0"}
+
+
+@pytest.mark.parametrize("name", ["manifest_prune_equiv", "iceberg_read"])
+def test_a_larger_table_has_more_files_of_the_same_size(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(registry, "FILE_ROWS", 500)
+    df = registry.QUERIES[name](spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(df.columns)
+    want = lines.where("l_orderkey < 1000") if name == "manifest_prune_equiv" else lines
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    made = registry._made[-1]
+    files = [p for p, _ in registry.Files(spark).data_files(f"{made}/data/live" if name == "iceberg_read" else made)]
+    assert len(files) == -(-lines.count() // 500)
