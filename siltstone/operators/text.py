@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ CHUNK, OVERLAP = 1000, 100
 TOP = 5
 #: Characters of chunks that leave together.
 CHUNK_BYTES = 8 << 20
+#: Texts that are embedded together.
+EMBEDDED = 512
 #: Vectors in a block of the search of all by all. Digits of its scores, which are equal beyond them.
 BLOCK, DIGITS = 2048, 6
 #: White space, as SQL's patterns have it.
@@ -76,26 +77,40 @@ class HashEmbedder:
         self.dims = dims
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            v = [0.0] * self.dims
+        return self.matrix(texts).tolist()
+
+    def matrix(self, texts: list[str]) -> np.ndarray:
+        """The vectors as rows, without an object for each number."""
+        out = np.zeros((len(texts), self.dims))
+        for v, t in zip(out, texts):
             for w in t.lower().split():
                 h = int.from_bytes(hashlib.md5(w.strip(".,;:!?").encode()).digest()[:8], "big")
                 v[h % self.dims] += 1.0 if h >> 63 else -1.0
-            n = math.sqrt(sum(x * x for x in v)) or 1.0
-            out.append([x / n for x in v])
+        norm = np.sqrt((out * out).sum(axis=1))
+        norm[norm == 0] = 1.0
+        out /= norm[:, None]
         return out
 
 
+def _vectors(embedder: Embedder, texts: list[str]) -> pa.Array:
+    if hasattr(embedder, "matrix"):
+        x = embedder.matrix(texts).astype(np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    return pa.array(embedder.embed(texts), pa.list_(pa.float32()))
+
+
 def embedded(chunks: DataFrame, embedder: Embedder, text_col: str = "text") -> DataFrame:
-    """The chunks with a column embedding, made in Arrow batches."""
+    """The chunks with a column embedding. The embedder gets EMBEDDED texts at a time, and what it returned leaves at once: a worker holds the vectors of
+    so many, however many rows a batch of Spark's has."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(embedder.embed(texts.tolist()), index=texts.index)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EMBEDDED):
+                part = batch.slice(at, EMBEDDED)
+                yield pa.RecordBatch.from_arrays([*part.columns, _vectors(embedder, part.column(text_col).to_pylist())], [*part.schema.names, "embedding"])
 
-    return chunks.withColumn("embedding", vectors(F.col(text_col)))
+    chunks = chunks.drop("embedding")
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
 def _doubles(c: Column) -> Column:

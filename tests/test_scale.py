@@ -5,6 +5,7 @@ import pytest
 
 from siltstone import registry
 from siltstone.functions import stats
+from siltstone.operators import joins, text
 
 
 def plan_of(df):
@@ -42,3 +43,28 @@ def test_a_larger_table_has_more_files_of_the_same_size(spark, sf_dir, monkeypat
     made = registry._made[-1]
     files = [p for p, _ in registry.Files(spark).data_files(f"{made}/data/live" if name == "iceberg_read" else made)]
     assert len(files) == -(-lines.count() // 500)
+
+
+def test_embedders_get_few_texts_at_a_time(spark):
+    class Counting:
+        def embed(self, texts):
+            assert len(texts) <= 512
+            return [[float(len(t)), 1.0] for t in texts]
+
+    chunks = spark.range(0, 1500, 1, 1).selectExpr("id", "repeat('x', cast(id % 7 as int)) AS text")
+    rows = text.embedded(chunks, Counting()).collect()
+    assert sorted((r["id"], r["text"], tuple(r["embedding"])) for r in rows) == [(i, "x" * (i % 7), (i % 7, 1.0)) for i in range(1500)]
+    vectors = text.HashEmbedder(4).embed(["a", ""])
+    assert vectors[1] == [0.0] * 4 and abs(sum(x * x for x in vectors[0]) - 1) < 1e-12
+
+
+@pytest.mark.parametrize("piece", [100_000, 7])
+def test_totals_in_range(spark, monkeypatch, piece):
+    monkeypatch.setattr(joins, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(piece)
+    points = [None if i == 3 else float(rng.integers(-20, 20)) for i in range(90)] + [1e17, 0.0, -0.0]
+    ranges = [(i, float(a), float(a + n)) for i, (a, n) in enumerate(zip(rng.integers(-25, 20, 40), rng.integers(-2, 30, 40)))] + [(90, None, 1.0), (91, 0.0, None), (92, -0.0, 0.0), (92, -0.0, 0.0), (93, float("-inf"), float("inf"))]
+    got = joins.totals_in_range(spark.createDataFrame([(x,) for x in points], "x double"), spark.createDataFrame(ranges, "r long, low double, high double"), "x", "low", "high")
+    inside = [(r, a, z, [x for x in points if None not in (x, a, z) and a <= x <= z]) for r, a, z in ranges]
+    assert sorted(map(tuple, got.collect())) == sorted((r, a, z, len(x), sum(x)) for r, a, z, x in inside if x)
+    assert "x" not in got.columns
