@@ -6,6 +6,7 @@ import pytest
 from siltstone import registry
 from siltstone.functions import stats
 from siltstone.operators import joins, text
+from siltstone.session import Session
 
 
 def plan_of(df):
@@ -68,3 +69,13 @@ def test_totals_in_range(spark, monkeypatch, piece):
     inside = [(r, a, z, [x for x in points if None not in (x, a, z) and a <= x <= z]) for r, a, z in ranges]
     assert sorted(map(tuple, got.collect())) == sorted((r, a, z, len(x), sum(x)) for r, a, z, x in inside if x)
     assert "x" not in got.columns
+
+
+def test_corpora_embed_few_texts_at_a_time(spark, tmp_path):
+    class Counting:
+        def embed(self, texts):
+            assert len(texts) <= 512
+            return [[1.0] for _ in texts]
+
+    session = Session(spark, str(tmp_path), embedder=Counting())
+    assert session.ingest_corpus("c", spark.createDataFrame([(i, "x" * 100) for i in range(1200)], "doc_id long, text string").coalesce(1)) == 1200
