@@ -62,7 +62,8 @@ def _valued(df: DataFrame, schema: T.StructType, names: tuple[str, ...], files:
         fixed = dict(zip(names, values[0]))
         return df.select(*((F.lit(fixed[f.name]) if f.name in fixed else F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema))
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    rows = [(path(m.path).toString().removeprefix("file:").replace("//", "/"), *v) for m, v in zip(files, values)]
+    plain = lambda p: p if p.startswith(("/", "file:/")) and not p.endswith("/") and "//" not in p and "/." not in p and "\\" not in p else path(p).toString()  # noqa: E731  a call of the JVM for each of many files takes long
+    rows = [(plain(m.path).removeprefix("file:").replace("//", "/"), *v) for m, v in zip(files, values)]
     of = spark.createDataFrame(rows, T.StructType([T.StructField("of_file", T.StringType())] + [T.StructField(f"value_{c}", T.StringType()) for c in names]))
     of = F.broadcast(of) if len(rows) <= BROADCAST_FILES else of
     here = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:", ""), "//+", "/")

@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 
 from siltstone import registry
+from siltstone.catalog import Manifest
+from siltstone.fs import Files
 from siltstone.functions import stats
 from siltstone.operators import joins, text
 from siltstone.session import Session
+from siltstone.sources import mixed
 
 
 def plan_of(df):
@@ -79,3 +82,14 @@ def test_corpora_embed_few_texts_at_a_time(spark, tmp_path):
 
     session = Session(spark, str(tmp_path), embedder=Counting())
     assert session.ingest_corpus("c", spark.createDataFrame([(i, "x" * 100) for i in range(1200)], "doc_id long, text string").coalesce(1)) == 1200
+
+
+def test_paths_of_files_with_values(spark, tmp_path):
+    for k in range(3):
+        spark.range(k, k + 1, 1, 1).write.parquet(f"{tmp_path}/p={k}")
+    files = [p for k in range(3) for p, _ in Files(spark).data_files(f"{tmp_path}/p={k}")]
+    odd = [files[0], files[1].replace("/p=1/", "//p=1/"), files[2].replace("/p=2/", "/./p=2/")]
+    schema = "id long, p long"
+    for paths in (files, odd):
+        df = mixed.read(spark, spark.createDataFrame([], schema).schema, [Manifest(p, "delta", {"p": k}) for k, p in enumerate(paths)])
+        assert sorted(map(tuple, df.collect())) == [(0, 0), (1, 1), (2, 2)]
