@@ -57,7 +57,7 @@ class Corpora:
         folder, number, parts = self._folder(corpus), len(self._versions(corpus)), self._parts(corpus)
         docs = docs.withColumn("doc_id", docs[id_col].cast("string"))
         at = f"{folder}/v-{uuid.uuid4().hex}"
-        text.embedded(text.chunked(docs, "doc_id", text_col), self.embedder).select("doc_id", "chunk_index", "text", "embedding").write.parquet(f"{at}/chunks")
+        text.chunked(docs, "doc_id", text_col, embedder=self.embedder).select("doc_id", "chunk_index", "text", "embedding").write.parquet(f"{at}/chunks")
         docs.select("doc_id").distinct().write.parquet(f"{at}/documents")
         self._commit(corpus, number, [*parts, at])
         if len(parts) + 1 >= MOST_PARTS:

@@ -35,10 +35,11 @@ def _cut(text: str, size: int, step: int) -> Iterator[tuple[int, int, str]]:
             yield k, k * step, chunk
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP, embedder: Embedder | None = None) -> DataFrame:
     """doc_id, chunk_index, start, text: windows of `size` characters that overlap. White space at the ends of texts and chunks goes, and
     empty chunks with it (their numbers are then missing). One scan, no shuffle. The JVM's substring counts characters from a text's beginning for
-    each chunk; here the time follows the text's length."""
+    each chunk; here the time follows the text's length. With an embedder there is a column embedding too, as embedded() adds it, from the worker that
+    cuts the chunks: a second one for each task would hold its own batches of them."""
     step = size - overlap
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -50,16 +51,20 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                     rows.append(i)
                     found.append(chunk)
                     held += len(chunk[2])
-                    if held > CHUNK_BYTES:
+                    if held > CHUNK_BYTES or embedder is not None and len(found) == EMBEDDED:
                         yield out(batch, rows, found)
                         rows, found, held = [], [], 0
-            yield out(batch, rows, found)
+            if found:
+                yield out(batch, rows, found)
 
     def out(batch: pa.RecordBatch, rows: list[int], found: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        index, begin, chunks = zip(*found) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(begin, pa.int64()), pa.array(chunks, pa.string())], ["doc_id", "chunk_index", "start", "text"])
+        index, begin, chunks = zip(*found)
+        columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(begin, pa.int64()), pa.array(chunks, pa.string())]
+        return pa.RecordBatch.from_arrays(columns + ([_vectors(embedder, list(chunks))] if embedder is not None else []), kinds.names)
 
     kinds = T.StructType([own.schema["doc_id"], T.StructField("chunk_index", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("text", T.StringType())])
+    if embedder is not None:
+        kinds = kinds.add("embedding", T.ArrayType(T.FloatType()))
     return own.where(F.col("text").isNotNull()).mapInArrow(run, kinds)
 
 

@@ -93,3 +93,21 @@ def test_paths_of_files_with_values(spark, tmp_path):
     for paths in (files, odd):
         df = mixed.read(spark, spark.createDataFrame([], schema).schema, [Manifest(p, "delta", {"p": k}) for k, p in enumerate(paths)])
         assert sorted(map(tuple, df.collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_corpora_cut_and_embed_in_one_worker(spark, tmp_path):
+    rows = [(i, None if i == 3 else " " * (i % 2) + "añ b. " * (i * i * 9)) for i in range(40)] + [(40, "short one")] * 700
+    docs, embedder = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), text.HashEmbedder(16)
+    both, one = text.embedded(text.chunked(docs), embedder), text.chunked(docs, embedder=embedder)
+    assert both.schema == one.schema
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, one.collect()))
+    assert plan_of(one).count("MapInArrow") == 1
+    session, plans = Session(spark, str(tmp_path), embedder=embedder), []
+    own = type(docs).mapInArrow
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, *a, **k: plans.append(own(self, *a, **k)) or plans[-1])
+        assert session.ingest_corpus("c", docs) == one.count()
+    assert len(plans) == 1
+    got = session.corpora.chunks("c").select("doc_id", "chunk_index", "text", "embedding")
+    want = both.selectExpr("cast(doc_id as string)", "chunk_index", "text", "embedding")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
